@@ -2,7 +2,15 @@
 
 
 def _loaded():
-    from checks import functions, registry, reports  # noqa: F401
+    from checks import (  # noqa: F401
+        functions,
+        ingest,
+        passthrough,
+        registry,
+        relational,
+        reports,
+        shaping,
+    )
 
     return registry
 

@@ -35,7 +35,7 @@ def _repo() -> Column:
     return F.concat(F.col("c_mktsegment"), F.lit("/"), F.col("n_name"))
 
 
-def _keyed_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def keyed_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """f_commit with the order key and priority beside it."""
     orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer")
@@ -70,7 +70,7 @@ def _keyed_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _keyed_commits(spark, sf_dir).select(*schemas.columns(schemas.COMMIT))
+    return keyed_commits(spark, sf_dir).select(*schemas.columns(schemas.COMMIT))
 
 
 def _line_ext() -> Column:
@@ -97,13 +97,13 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("l_orderkey", "ext")
         .agg(F.sum("ins").alias("insertion"), F.sum("del").alias("deletion"))
     )
-    joined = _keyed_commits(spark, sf_dir).join(churn, F.col("o_orderkey") == F.col("l_orderkey"))
+    joined = keyed_commits(spark, sf_dir).join(churn, F.col("o_orderkey") == F.col("l_orderkey"))
     return joined.select(*schemas.columns(schemas.CHANGE))
 
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
-        _keyed_commits(spark, sf_dir)
+        keyed_commits(spark, sf_dir)
         .filter(F.col("o_orderpriority") == "1-URGENT")
         .select(
             "repo_name",
@@ -186,7 +186,7 @@ def log_lines(spark: SparkSession, sf_dir: str, damaged: bool = False) -> DataFr
     With ``damaged``, commits of status P with a low priority get a header without its hash,
     and the other commits of status P a change line without its counters.
     """
-    commit = _keyed_commits(spark, sf_dir)
+    commit = keyed_commits(spark, sf_dir)
     in_p = F.col("o_orderstatus") == "P"
     low = F.col("o_orderpriority") == "5-LOW"
     shown_hash = F.concat(F.lit(" <"), F.col("hash"), F.lit(">"))
@@ -270,7 +270,7 @@ def damaged_log_path(spark: SparkSession, sf_dir: str) -> str:
 
 def refs_path(spark: SparkSession, sf_dir: str) -> str:
     refs = (
-        _keyed_commits(spark, sf_dir)
+        keyed_commits(spark, sf_dir)
         .filter(F.col("o_orderpriority") == "1-URGENT")
         .select(
             "repo_name",
