@@ -12,13 +12,17 @@ from annalist.functions import timefn
 
 
 def enrich(df: DataFrame) -> DataFrame:
-    """Add the parsed columns a stored table carries beside its ``datetime`` text."""
-    return df.withColumns(
+    """Add the parsed columns a stored table carries beside its ``datetime`` text.
+
+    The text is parsed once, in a projection of its own; the rest derives from the result.
+    """
+    parsed = df.withColumn("local_ts", timefn.local_ts("datetime"))
+    local = F.col("local_ts")
+    return parsed.withColumns(
         {
-            "local_ts": timefn.local_ts("datetime"),
-            "utc_ts": F.timestamp_seconds(timefn.timestamp("datetime")),
-            "tz": timefn.timezone("datetime"),
-            "commit_year": timefn.year("datetime"),
+            "utc_ts": F.timestamp_seconds(timefn.seconds_of(local, "datetime")),
+            "tz": F.when(local.isNotNull(), timefn.offset_text("datetime")),
+            "commit_year": F.year(local),
         }
     )
 

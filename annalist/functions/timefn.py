@@ -98,10 +98,8 @@ def period(c: "Column | str") -> Column:
     return period_of_hour(hour(c))
 
 
-def timestamp(c: "Column | str") -> Column:
-    """Unix seconds."""
-    c = _col(c)
-    local = local_ts(c)
+def seconds_of(local: Column, c: "Column | str") -> Column:
+    """Unix seconds of a parsed wall clock, with the offset of its text."""
     return (
         F.unix_date(local.cast("date")).cast("bigint") * DAY
         + F.hour(local) * 3600
@@ -111,11 +109,21 @@ def timestamp(c: "Column | str") -> Column:
     )
 
 
-def timezone(c: "Column | str") -> Column:
+def timestamp(c: "Column | str") -> Column:
+    """Unix seconds."""
+    return seconds_of(local_ts(c), c)
+
+
+def offset_text(c: "Column | str") -> Column:
+    """UTC offset of valid text, ``+00:00`` for every form of zero."""
     c = _col(c)
     tail = F.substring(c, -6, 6)
     zero = (F.upper(F.substring(c, -1, 1)) == "Z") | (tail == "-00:00")
-    return F.when(local_ts(c).isNotNull(), F.when(zero, "+00:00").otherwise(tail))
+    return F.when(zero, "+00:00").otherwise(tail)
+
+
+def timezone(c: "Column | str") -> Column:
+    return F.when(local_ts(c).isNotNull(), offset_text(c))
 
 
 def utc_clock(seconds: "Column | str") -> Column:

@@ -11,42 +11,43 @@ from pyspark.sql import functions as F
 from annalist import schemas
 from annalist.functions import timefn
 
-# The line shapes, month names and ref prefix of the exported text.
+# The line shapes, month names and path shapes of the exported text.
 HEADER = r"(?d)<(.*?)> <(.*)> <(.*)> <(.*?)>"
 CHANGE = r"(?d)([0-9-]+)\t([0-9-]+)\t(.*)"
 MAIL_DATE = (
-    r"^([A-Za-z]{3}, )?\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} "
-    r"[+-]([01]\d|2[0-3])[0-5]\d\z"
+    r"^([A-Za-z]{3}, )?\d{1,2} [A-Za-z]{3} \d{4} "
+    r"([01]\d|2[0-3]):[0-5]\d:([0-5]\d|60) [+-]([01]\d|2[0-3])[0-5]\d\z"
 )
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+EXTENSION = r"(?s)^(?:.*/)?[^/]+\.([^./]*)/*\z"
+CLOSED_EXTENSION = r"(?s)^(?:.*/)?[^/]+\.([^./]*?)[^A-Za-z0-9./]?/*\z"
 
 
 def mail_date_to_rfc3339(c: "Column | str") -> Column:
     """RFC 2822 date to RFC 3339 text with the same offset; ``''`` if it is not one.
 
-    A weekday in front is optional, but must be the right one.
+    A weekday in front is optional, but must be the right one. The parts are cut at fixed
+    places from the end, where only the day of the month varies in width.
     """
     c = F.col(c) if isinstance(c, str) else c
-    words = F.split(F.regexp_replace(c, "^[A-Za-z]{3}, ", ""), " ")
-    day, month, year, clock, zone = (F.get(words, F.lit(i)) for i in range(5))
-    month_at = F.instr(F.lit(MONTHS), F.lower(month))
-    text = F.concat(
-        year,
+    month_at = F.instr(F.lit(MONTHS), F.lower(F.substring(c, -23, 3)))
+    date = F.concat(
+        F.substring(c, -19, 4),
         F.lit("-"),
         F.lpad(F.call_function("div", month_at + 2, F.lit(3)).cast("string"), 2, "0"),
         F.lit("-"),
-        F.lpad(day, 2, "0"),
-        F.lit("T"),
-        clock,
-        F.when(zone == "-0000", "+00:00").otherwise(
-            F.concat(F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, 4, 2))
-        ),
+        F.lpad(F.ltrim(F.substring(c, -26, 2)), 2, "0"),
     )
-    right_day = ~c.contains(",") | (
-        F.lower(F.substring(c, 1, 3)) == F.lower(timefn.weekday(text))
+    offset = F.concat(F.substring(c, -5, 3), F.lit(":"), F.substring(c, -2, 2))
+    text = F.concat(
+        date,
+        F.lit("T"),
+        F.substring(c, -14, 8),
+        F.when(offset == "-00:00", "+00:00").otherwise(offset),
     )
-    valid = c.rlike(MAIL_DATE) & (month_at % 3 == 1) & timefn.year(text).isNotNull() & right_day
-    return F.when(valid, text).otherwise("")
+    named = F.when(c.contains(","), F.initcap(F.substring(c, 1, 3))).otherwise(timefn.WEEKDAYS)
+    right_day = F.instr(named, timefn.weekday_name(F.weekday(date.try_cast("date")))) > 0
+    return F.when(c.rlike(MAIL_DATE) & (month_at % 3 == 1) & right_day, text).otherwise("")
 
 
 def email_domain(c: "Column | str") -> Column:
@@ -58,14 +59,16 @@ def email_domain(c: "Column | str") -> Column:
 def file_ext(path: "Column | str") -> Column:
     """Extension of the last path part: ``''`` for dot files and names without a dot.
 
-    One trailing character that is no letter or digit is removed, such as the brace of
-    ``{a.c => b.rs}`` or the quote of a quoted path.
+    One trailing character that is no letter or digit is removed from an ASCII extension,
+    such as the brace of ``{a.c => b.rs}`` or the quote of a quoted path.
     """
     path = F.col(path) if isinstance(path, str) else path
-    name = F.substring_index(F.rtrim(path, F.lit("/")), "/", -1)
-    ext = F.when(F.locate(".", name, 2) > 0, F.substring_index(name, ".", -1)).otherwise("")
-    closed = ~F.right(ext, F.lit(1)).rlike("[A-Za-z0-9]") & (F.octet_length(ext) == F.length(ext))
-    return F.when((ext != "") & closed, F.left(ext, F.length(ext) - 1)).otherwise(ext)
+    raw = F.regexp_extract(path, EXTENSION, 1)
+    is_ascii = F.octet_length(path) == F.length(path)
+    return F.when(
+        is_ascii | (F.octet_length(raw) == F.length(raw)),
+        F.regexp_extract(path, CLOSED_EXTENSION, 1),
+    ).otherwise(raw)
 
 
 def _count(text: Column) -> Column:
