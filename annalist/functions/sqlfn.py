@@ -1,13 +1,13 @@
 """The same functions for SQL text, as temporary SQL functions that Catalyst inlines.
 
 Names that would hide a Spark built-in get the prefix ``rfc_``; the others keep their own.
-The streak aggregates are a scalar function over a set of days, so that they fit any
-``GROUP BY``; write the set as ``collect_set(DISTINCT ...)``: Spark then removes duplicate
-days in a first shuffle on (group, day), and no task sees more than the distinct days of a
-group::
+The streak aggregates are scalar functions over the days of a group, so that they fit any
+``GROUP BY``. Reduce the events to distinct days first: that step aggregates before and
+after a shuffle on (group, day), and leaves a group no more rows than the calendar has::
 
-    SELECT repo_name, streak_days(collect_set(DISTINCT rfc_utc_day(datetime)))
-    FROM commit GROUP BY repo_name
+    SELECT repo_name, streak_days(collect_list(day))
+    FROM (SELECT DISTINCT repo_name, rfc_utc_day(datetime) AS day FROM commit)
+    GROUP BY repo_name
 """
 
 from pyspark.sql import SparkSession

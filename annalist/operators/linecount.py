@@ -1,6 +1,8 @@
 """Code, comment and blank lines per language."""
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist import schemas
@@ -38,39 +40,60 @@ LANGUAGES = (
 BLANKS = " \t\r\f\v"
 
 
-def default_languages(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(e, n, list(p), b) for e, n, p, b in LANGUAGES], schemas.LANGUAGE)
-
-
-def count_lines(sources: DataFrame, languages: DataFrame) -> DataFrame:
+def count_lines(
+    sources: DataFrame,
+    languages: Sequence[tuple] = LANGUAGES,
+    other_prefixes: "Sequence[str] | None" = None,
+) -> DataFrame:
     """``repo_name, ext, code, comments, blanks`` from whole source texts.
 
     ``sources`` has ``repo_name, path, text``; ``ext`` in the result is the lower-case
-    language name, as in the ``snapshot`` table. Files of no listed language are skipped.
-    Lines are counted inside the row of their file; only one row of totals per file reaches
-    the aggregation. Comments are recognised by their line prefix alone.
+    language name, as in the ``snapshot`` table. Files of no listed language are skipped,
+    unless ``other_prefixes`` gives comment prefixes for them; then each unlisted extension
+    counts as a language of that name. Comments are recognised by their line prefix alone.
+
+    The language is looked up in a constant, so the texts are neither joined nor shuffled.
+    Lines are counted inside the row of their file, and only totals reach the aggregation.
     """
+
+    def entry(language, prefixes, prose):
+        texts = F.array(*[F.lit(p) for p in prefixes]).cast("array<string>")
+        return F.struct(
+            language.alias("language"), texts.alias("prefixes"), F.lit(prose).alias("prose")
+        )
+
+    language = F.lit(None)
+    if languages:
+        pairs = [
+            column
+            for ext, name, prefixes, prose in languages
+            for column in (F.lit(ext), entry(F.lit(name), prefixes, prose))
+        ]
+        language = F.create_map(*pairs)[F.col("__ext")]
+    if other_prefixes is not None:
+        language = F.coalesce(language, entry(F.col("__ext"), other_prefixes, False))
+
     known = (
-        sources.withColumn("__ext", file_ext("path"))
-        .join(languages.withColumnRenamed("ext", "__ext"), "__ext")
-        .select("repo_name", "language", "prefixes", "prose", "text")
+        sources.filter(F.col("text") != "")
+        .select("repo_name", file_ext("path").alias("__ext"), "text")
+        .select("repo_name", language.alias("__language"), "text")
+        .filter(F.col("__language").isNotNull())
     )
     # The line break that ends a file starts no further line.
     body = F.regexp_replace("text", r"\n\z", "")
-    lines = F.transform(F.split(body, "\n", -1), lambda line: F.btrim(line, F.lit(BLANKS)))
-    blank = F.size(F.filter(F.col("__lines"), lambda line: line == ""))
+    lines = F.transform(F.split(body, "\n"), lambda line: F.btrim(line, F.lit(BLANKS)))
+    prefixes, prose = F.col("__language.prefixes"), F.col("__language.prose")
+    blank = F.size(F.filter("__lines", lambda line: line == ""))
     comment = F.size(
         F.filter(
-            F.col("__lines"),
+            "__lines",
             lambda line: (line != "")
-            & (F.col("prose") | F.exists("prefixes", lambda prefix: line.startswith(prefix))),
+            & (prose | F.exists(prefixes, lambda prefix: line.startswith(prefix))),
         )
     )
-    per_file = known.filter(F.col("text") != "").select(
-        "repo_name", "language", "prefixes", "prose", lines.alias("__lines")
-    ).select(
+    per_file = known.select("repo_name", "__language", lines.alias("__lines")).select(
         "repo_name",
-        F.lower("language").alias("ext"),
+        F.lower("__language.language").alias("ext"),
         F.size("__lines").alias("__all"),
         comment.alias("__comments"),
         blank.alias("__blanks"),

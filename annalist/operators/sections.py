@@ -5,7 +5,10 @@ is local to the record, so parsing and the churn per extension need no shuffle;
 repository of any size is spread over as many tasks as its log has input splits.
 """
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist import schemas
@@ -127,6 +130,17 @@ def parse_sections(sections: DataFrame) -> DataFrame:
     )
 
 
+def author_rules(spark: SparkSession, rules: Sequence[tuple[str, str, str, str]]) -> DataFrame:
+    """A mapping from ``(source name, source mail, new name, new mail)`` rules, in order.
+
+    Made from Arrow data, so the planner knows how small it is.
+    """
+    names = schemas.columns(schemas.AUTHOR_MAPPING)
+    columns = [pa.array(range(len(rules)), pa.int32())]
+    columns += [pa.array([rule[i] for rule in rules], pa.string()) for i in range(4)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, names=names))
+
+
 def map_authors(commits: DataFrame, mapping: DataFrame) -> DataFrame:
     """Replace authors whose name and email both match a mapping; the first mapping wins.
 

@@ -1,5 +1,7 @@
 """Load: exported history text to the five stored tables."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 from annalist.operators import linecount, sections, tags
@@ -14,7 +16,8 @@ def load(
     refs_path: "str | None" = None,
     sources: "DataFrame | None" = None,
     mapping: "DataFrame | None" = None,
-    languages: "DataFrame | None" = None,
+    languages: Sequence[tuple] = linecount.LANGUAGES,
+    other_prefixes: "Sequence[str] | None" = None,
 ) -> DataFrame:
     """Write the tables below ``out`` and return the rejected sections per repository.
 
@@ -37,11 +40,10 @@ def load(
     tables.write_table("active", manifests.active(manifest), out)
     commits = tables.read_table(spark, "commit", out)
     if refs_path is not None:
-        tables.write_table("tag", tags.tags(logs.read_refs(spark, refs_path), commits, manifest), out)
+        refs = logs.read_refs(spark, refs_path)
+        tables.write_table("tag", tags.tags(refs, commits, manifest), out)
     if sources is not None:
-        counts = linecount.count_lines(
-            sources, linecount.default_languages(spark) if languages is None else languages
-        )
+        counts = linecount.count_lines(sources, languages, other_prefixes)
         tables.write_table(
             "snapshot", linecount.snapshot(counts, tags.heads(commits), manifest), out
         )

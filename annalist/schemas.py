@@ -48,13 +48,6 @@ AUTHOR_MAPPING = T.StructType(
     [T.StructField("ord", T.IntegerType())]
     + _strings("src_name", "src_email", "dst_name", "dst_email")
 )
-LANGUAGE = T.StructType(
-    _strings("ext", "language")
-    + [
-        T.StructField("prefixes", T.ArrayType(T.StringType())),
-        T.StructField("prose", T.BooleanType()),
-    ]
-)
 
 
 def columns(schema: T.StructType) -> list[str]:

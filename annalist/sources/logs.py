@@ -44,11 +44,33 @@ def read_refs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
-    """Source files of checked-out repositories: ``repo_name, path, text``, a row per file."""
+    """Source files of checked-out repositories: ``repo_name, path, text``, a row per file.
+
+    Folders may nest to any depth below ``repo_name=<name>/``. Spark's file listing leaves
+    out names that start with ``.`` or ``_``; where those count, as ``__init__.py`` does,
+    export the sources as records and use ``read_source_records``.
+    """
+    # The metadata path is URL-encoded, and the repository name is escaped once more in it.
+    plain = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
     return (
-        spark.read.schema("value STRING, repo_name STRING")
-        .option("wholetext", True)
-        .option("recursiveFileLookup", False)
-        .text(path)
-        .select("repo_name", F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+        spark.read.option("recursiveFileLookup", True)
+        .text(path, wholetext=True)
+        .select(plain.alias("__at"), F.col("value").alias("text"))
+        .select(
+            F.url_decode(
+                F.replace(
+                    F.regexp_extract("__at", "/repo_name=([^/]+)/", 1), F.lit("+"), F.lit("%2B")
+                )
+            ).alias("repo_name"),
+            F.regexp_extract("__at", "(?s)/repo_name=[^/]+/(.*)", 1).alias("path"),
+            "text",
+        )
     )
+
+
+def read_source_records(spark: SparkSession, path: str) -> DataFrame:
+    """Source files exported as JSON lines of ``repo_name, path, text``.
+
+    Many small files in few large ones: the form to prefer for large trees.
+    """
+    return spark.read.schema("repo_name STRING, path STRING, text STRING").json(path)

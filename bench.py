@@ -78,9 +78,7 @@ def main():
 
     log, refs = views.log_path(spark, sf_dir), views.refs_path(spark, sf_dir)
     base = shared.folder(spark, "bench")
-    manifest_at = shared.folder(spark, "bench-manifest")
-    views.manifest(spark, sf_dir).write.parquet(manifest_at)
-    manifest = spark.read.parquet(manifest_at)
+    manifest = views.stored_manifest(spark, sf_dir)
 
     times = {}
     times["load"], rejects = timed(lambda: load(spark, base, manifest, log, refs))
@@ -89,9 +87,7 @@ def main():
     times["line_count"], _ = timed(
         lambda: tables.write_table(
             "snapshot",
-            linecount.count_lines(
-                views.sources(spark, sf_dir), views.source_languages(spark, sf_dir)
-            ),
+            linecount.count_lines(views.sources(spark, sf_dir), (), views.COMMENT_PREFIXES),
             base,
         )
     )

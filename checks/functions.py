@@ -122,8 +122,9 @@ def agg_streak_sql(spark, sf_dir):
         "repo_name", "rfc_utc_day(datetime) AS day"
     )
     return (
-        days.groupBy("repo_name")
-        .agg(F.expr("collect_set(DISTINCT day)").alias("days"))
+        days.distinct()
+        .groupBy("repo_name")
+        .agg(F.collect_list("day").alias("days"))
         .selectExpr(
             "repo_name",
             "streak_days(days) AS n",

@@ -16,9 +16,10 @@ _CHANGE = ", ".join(schemas.columns(schemas.CHANGE))
 
 def _finished(spark, sf_dir, path=None):
     """The exported log, read and parsed again."""
-    read = logs.read_log(spark, path or views.log_path(spark, sf_dir))
-    parsed = sections.parse_sections(manifests.with_branch(read, views.manifest(spark, sf_dir)))
-    return sections.finish(parsed)
+    parsed = sections.parse_sections(
+        logs.read_log(spark, path or views.log_path(spark, sf_dir))
+    )
+    return sections.finish(manifests.with_branch(parsed, views.stored_manifest(spark, sf_dir)))
 
 
 @check(
@@ -87,7 +88,7 @@ def ingest_damaged_change(spark, sf_dir):
 def ingest_tags(spark, sf_dir):
     commits = sections.commits(sections.accepted(_finished(spark, sf_dir)))
     refs = logs.read_refs(spark, views.refs_path(spark, sf_dir))
-    return tags.tags(refs, commits, views.manifest(spark, sf_dir))
+    return tags.tags(refs, commits, views.stored_manifest(spark, sf_dir))
 
 
 @check(
@@ -121,11 +122,11 @@ def head_commit(spark, sf_dir):
 # Fixed mapping: a rename, a second rule for the same source, a chain, a name with the wrong
 # mail address.
 _MAPPING = (
-    (0, "user7", "user7@d7.example.com", "seven", "seven@example.org"),
-    (1, "user7", "user7@d7.example.com", "late", "late@example.org"),
-    (2, "user8", "user8@d0.example.com", "user9", "user9@d1.example.com"),
-    (3, "user9", "user9@d1.example.com", "nine", "nine@nine@example.org"),
-    (4, "user10", "user10@d3.example.com", "never", "never@example.org"),
+    ("user7", "user7@d7.example.com", "seven", "seven@example.org"),
+    ("user7", "user7@d7.example.com", "late", "late@example.org"),
+    ("user8", "user8@d0.example.com", "user9", "user9@d1.example.com"),
+    ("user9", "user9@d1.example.com", "nine", "nine@nine@example.org"),
+    ("user10", "user10@d3.example.com", "never", "never@example.org"),
 )
 
 
@@ -144,7 +145,7 @@ _MAPPING = (
        FROM f_commit""",
 )
 def author_mapping(spark, sf_dir):
-    mapping = spark.createDataFrame(_MAPPING, schemas.AUTHOR_MAPPING)
+    mapping = sections.author_rules(spark, _MAPPING)
     mapped = sections.map_authors(views.commits(spark, sf_dir), mapping)
     return mapped.select(
         "hash",
@@ -208,9 +209,7 @@ def file_ext(spark, sf_dir):
     "snapshot_lines", "SELECT repo_name, ext, code, comments, blanks FROM f_snapshot"
 )
 def snapshot_lines(spark, sf_dir):
-    return linecount.count_lines(
-        views.sources(spark, sf_dir), views.source_languages(spark, sf_dir)
-    )
+    return linecount.count_lines(views.sources(spark, sf_dir), (), views.COMMENT_PREFIXES)
 
 
 @check("active_from_manifest", "SELECT repo_name, forks, stars FROM f_active")
@@ -337,7 +336,7 @@ def load_all(spark, sf_dir):
     load(
         spark,
         out,
-        views.manifest(spark, sf_dir),
+        views.stored_manifest(spark, sf_dir),
         views.log_path(spark, sf_dir),
         views.refs_path(spark, sf_dir),
     )

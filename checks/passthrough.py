@@ -42,16 +42,16 @@ _sql(
        GROUP BY c_mktsegment""",
 )
 # The range condition stands beside an equality on the year, so that the join hashes on the
-# year and each order meets the quarters of its own year only.
+# year; the orders are counted per month first, so that a year is twelve rows in the join.
 _sql(
     "sql_join_range",
-    """SELECT q.y, q.first_month, count(*) AS orders
-       FROM orders JOIN (
-         SELECT DISTINCT year(o_orderdate) AS y,
-                CAST(month(o_orderdate) - (month(o_orderdate) - 1) % 3 AS INT) AS first_month
-         FROM orders) q
-       ON year(o_orderdate) = q.y AND month(o_orderdate) >= q.first_month
-          AND month(o_orderdate) < q.first_month + 3
+    """SELECT q.y, q.first_month, CAST(sum(orders) AS BIGINT) AS orders
+       FROM (SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS orders
+             FROM orders GROUP BY 1, 2) o
+       JOIN (SELECT DISTINCT year(o_orderdate) AS y,
+                    CAST(month(o_orderdate) - (month(o_orderdate) - 1) % 3 AS INT) AS first_month
+             FROM orders) q
+         ON o.y = q.y AND o.m >= q.first_month AND o.m < q.first_month + 3
        GROUP BY q.y, q.first_month""",
     """SELECT CAST(year(o_orderdate) AS INTEGER) AS y,
               CAST(quarter(o_orderdate) * 3 - 2 AS INTEGER) AS first_month, count(*) AS orders

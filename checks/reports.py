@@ -148,7 +148,7 @@ _report(
     f"SELECT repo_name, ext, code, comments, blanks FROM f_snapshot WHERE repo_name IN {SOURCES}",
 )
 def q_snapshot_lookup(spark, sf_dir):
-    counts = count_lines(views.sources(spark, sf_dir), views.source_languages(spark, sf_dir))
+    counts = count_lines(views.sources(spark, sf_dir), (), views.COMMENT_PREFIXES)
     return reports.snapshot_of(counts, SOURCES)
 
 

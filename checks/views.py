@@ -149,15 +149,8 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def source_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document language counts as a language with the two comment prefixes."""
-    lang = table(spark, sf_dir, "documents").select(F.col("lang").alias("ext")).distinct()
-    return lang.select(
-        "ext",
-        F.col("ext").alias("language"),
-        F.array(F.lit("#"), F.lit("//")).alias("prefixes"),
-        F.lit(False).alias("prose"),
-    )
+# What starts a comment line in every document language.
+COMMENT_PREFIXES = ("#", "//")
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,6 +251,13 @@ def _once(spark: SparkSession, sf_dir: str, label: str, write) -> str:
     return _written[key]
 
 
+def stored_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest as a stored table, whose size the planner knows."""
+    return spark.read.parquet(
+        _once(spark, sf_dir, "manifest", lambda p: manifest(spark, sf_dir).write.parquet(p))
+    )
+
+
 def log_path(spark: SparkSession, sf_dir: str) -> str:
     return _once(spark, sf_dir, "log", lambda p: write_log(log_lines(spark, sf_dir), p))
 
