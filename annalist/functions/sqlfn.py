@@ -12,7 +12,16 @@ after a shuffle on (group, day), and leaves a group no more rows than the calend
 
 from pyspark.sql import SparkSession
 
-from annalist.functions.timefn import DAY, MONTH, RFC3339, WEEKDAYS, YEAR
+from annalist.functions.timefn import (
+    AFTERNOON_LAST_HOUR,
+    DAY,
+    MIDNIGHT_LAST_HOUR,
+    MONTH,
+    MORNING_LAST_HOUR,
+    RFC3339,
+    WEEKDAYS,
+    YEAR,
+)
 
 _FUNCTIONS = (
     (
@@ -40,9 +49,10 @@ _FUNCTIONS = (
     ("rfc_hour(s STRING) RETURNS INT", "hour(rfc_local(s))"),
     (
         "period(s STRING) RETURNS STRING",
-        """CASE WHEN rfc_hour(s) <= 7 THEN 'Midnight' WHEN rfc_hour(s) <= 11 THEN 'Morning'
-                WHEN rfc_hour(s) <= 18 THEN 'Afternoon'
-                WHEN rfc_hour(s) IS NOT NULL THEN 'Evening' END""",
+        f"""CASE WHEN rfc_hour(s) <= {MIDNIGHT_LAST_HOUR} THEN 'Midnight'
+                 WHEN rfc_hour(s) <= {MORNING_LAST_HOUR} THEN 'Morning'
+                 WHEN rfc_hour(s) <= {AFTERNOON_LAST_HOUR} THEN 'Afternoon'
+                 WHEN rfc_hour(s) IS NOT NULL THEN 'Evening' END""",
     ),
     (
         "rfc_timestamp(s STRING) RETURNS BIGINT",

@@ -1,7 +1,9 @@
 """Load: exported history text to the five stored tables."""
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 from annalist.operators import linecount, sections, tags
@@ -23,7 +25,8 @@ def load(
 
     The log is parsed once, into a staged columnar table in the shared folder; commits,
     changes and rejects are cheap column reads of it, and a lost executor costs a re-read
-    of the stage, not of the log.
+    of the stage, not of the log. Tables that do not need each other are written by
+    concurrent jobs, so that the last tasks of one leave no executor idle.
     """
     parsed = manifests.with_branch(
         sections.parse_sections(logs.read_log(spark, log_path)), manifest
@@ -35,16 +38,25 @@ def load(
     staged = spark.read.parquet(staged_at)
     finished = sections.accepted(staged)
 
-    tables.write_table("commit", sections.commits(finished), out)
-    tables.write_table("change", sections.changes(finished), out)
-    tables.write_table("active", manifests.active(manifest), out)
-    commits = tables.read_table(spark, "commit", out)
-    if refs_path is not None:
-        refs = logs.read_refs(spark, refs_path)
-        tables.write_table("tag", tags.tags(refs, commits, manifest), out)
-    if sources is not None:
-        counts = linecount.count_lines(sources, languages, other_prefixes)
-        tables.write_table(
-            "snapshot", linecount.snapshot(counts, tags.heads(commits), manifest), out
-        )
+    with ThreadPoolExecutor(max_workers=4) as pool:
+
+        def start(name, table):
+            write = inheritable_thread_target(spark)(tables.write_table)
+            return pool.submit(write, name, table, out)
+
+        running = [
+            start("change", sections.changes(finished)),
+            start("active", manifests.active(manifest)),
+        ]
+        tables.write_table("commit", sections.commits(finished), out)
+        commits = tables.read_table(spark, "commit", out)
+        if refs_path is not None:
+            refs = logs.read_refs(spark, refs_path)
+            running.append(start("tag", tags.tags(refs, commits, manifest)))
+        if sources is not None:
+            counts = linecount.count_lines(sources, languages, other_prefixes)
+            dated = linecount.snapshot(counts, tags.heads(commits), manifest)
+            running.append(start("snapshot", dated))
+        for table in running:
+            table.result()
     return sections.reject_counts(staged)

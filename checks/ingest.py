@@ -212,6 +212,20 @@ def snapshot_lines(spark, sf_dir):
     return linecount.count_lines(views.sources(spark, sf_dir), (), views.COMMENT_PREFIXES)
 
 
+@check(
+    "scan_source_records",
+    """SELECT repo_name, path, CAST(length(text) AS INTEGER) AS chars, md5(text) AS digest
+       FROM f_source""",
+)
+def scan_source_records(spark, sf_dir):
+    """Source files written as records and read again, whole texts compared by digest."""
+    path = shared.folder(spark, "sources")
+    views.sources(spark, sf_dir).select("repo_name", "path", "text").write.json(path)
+    return logs.read_source_records(spark, path).select(
+        "repo_name", "path", F.length("text").alias("chars"), F.md5("text").alias("digest")
+    )
+
+
 @check("active_from_manifest", "SELECT repo_name, forks, stars FROM f_active")
 def active_from_manifest(spark, sf_dir):
     return manifests.active(views.manifest(spark, sf_dir))
