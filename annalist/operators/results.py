@@ -76,6 +76,40 @@ def chart_series(
     )
 
 
+def chart_arrays(
+    results: Sequence[DataFrame],
+    orders: Sequence[Sequence[str]],
+    labels: Sequence,
+    datasets: Mapping[str, Sequence],
+) -> DataFrame:
+    """The data part of a chart: one row with ``labels`` and an array per dataset.
+
+    Labels and datasets are lists of items. A binding stands for all values of its column,
+    in the order given for its result; anything else is kept as it is; a binding to an
+    unknown statement or column adds nothing. Each bound array is a scalar subquery.
+    """
+    arrays = [column_arrays(result, order) for result, order in zip(results, orders)]
+
+    def joined(items, kind):
+        parts = [F.array().cast(f"array<{kind}>")]
+        for item in items:
+            at = parse_binding(item) if isinstance(item, str) else None
+            if at is None:
+                parts.append(F.array(F.lit(item)).cast(f"array<{kind}>"))
+            elif at[0] < len(arrays) and at[1] in arrays[at[0]].columns:
+                parts.append(arrays[at[0]].select(F.col(at[1]).cast(f"array<{kind}>")).scalar())
+        return F.concat(*parts)
+
+    return (
+        results[0]
+        .sparkSession.range(1)
+        .select(
+            joined(labels, "string").alias("labels"),
+            *[joined(items, "double").alias(name) for name, items in datasets.items()],
+        )
+    )
+
+
 def with_share(result: DataFrame, value: str) -> DataFrame:
     """Add ``share``, the percentage of the total as text with two decimals.
 

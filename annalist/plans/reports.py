@@ -289,3 +289,7 @@ def tags_until(tags: DataFrame, until: int) -> DataFrame:
 
 def active_of(active: DataFrame, repo: str) -> DataFrame:
     return active.filter(F.col("repo_name") == repo)
+
+
+def first_active(active: DataFrame, n: int = 5) -> DataFrame:
+    return active.select("repo_name", "stars").orderBy("repo_name").limit(n)

@@ -37,6 +37,14 @@ TABLES = {
     "active": ACTIVE,
 }
 
+# What a stored table with a ``datetime`` carries beside it; see ``functions.fields``.
+PARSED_TIME = [
+    T.StructField("local_ts", T.TimestampNTZType()),
+    T.StructField("utc_ts", T.TimestampType()),
+    T.StructField("tz", T.StringType()),
+    T.StructField("commit_year", T.IntegerType()),
+]
+
 MANIFEST = T.StructType(
     _strings("name", "branch", "remote", "path") + _counters("forks_count", "stargazers_count")
 )
@@ -52,3 +60,9 @@ AUTHOR_MAPPING = T.StructType(
 
 def columns(schema: T.StructType) -> list[str]:
     return schema.fieldNames()
+
+
+def stored(name: str) -> T.StructType:
+    """Schema of a table on storage."""
+    fields = TABLES[name].fields
+    return T.StructType(fields + (PARSED_TIME if "datetime" in TABLES[name].names else []))

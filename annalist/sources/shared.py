@@ -3,6 +3,7 @@
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 _local_base: list[str] = []
@@ -23,3 +24,14 @@ def folder(spark: SparkSession, label: str) -> str:
             _local_base.append(tempfile.mkdtemp(prefix="annalist-"))
         base = _local_base[0]
     return f"{base.rstrip('/')}/annalist/{label}-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path."""
+    try:
+        spark.read.schema("value STRING").text(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True

@@ -1,11 +1,10 @@
 """The five history tables on storage: Parquet for work, CSV for exchange."""
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from annalist import schemas
 from annalist.functions import fields
+from annalist.sources import shared
 
 _PARTITIONED = ("commit", "change")
 _CSV = {"header": True, "escape": '"', "emptyValue": ""}
@@ -35,22 +34,52 @@ def write_csv(name: str, df: DataFrame, base: str) -> None:
 
 
 def read_table(spark: SparkSession, name: str, base: str) -> DataFrame:
-    return spark.read.parquet(f"{base}/{name}")
+    return spark.read.schema(schemas.stored(name)).parquet(f"{base}/{name}")
+
+
+def _csv_path(spark: SparkSession, name: str, base: str) -> "str | None":
+    """Where a CSV table lies: a folder ``name`` or a single file ``name.csv``."""
+    for path in (f"{base}/{name}", f"{base}/{name}.csv"):
+        if shared.exists(spark, path):
+            return path
+    return None
 
 
 def read_csv(spark: SparkSession, name: str, base: str) -> DataFrame:
     """One CSV table with its fixed schema; an empty text field is ``''``, never NULL."""
-    schema = schemas.TABLES[name]
-    return spark.read.schema(schema).options(**_CSV).csv(f"{base}/{name}").na.fill("")
+    path = _csv_path(spark, name, base) or f"{base}/{name}"
+    return spark.read.schema(schemas.TABLES[name]).options(**_CSV).csv(path).na.fill("")
+
 
+def _ddl(schema) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
-def _existing(read):
-    try:
-        return read()
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+
+def _register_parquet(spark: SparkSession, table: str, name: str, path: str) -> None:
+    by_year = "PARTITIONED BY (commit_year)" if name in _PARTITIONED else ""
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    spark.sql(
+        f"CREATE TABLE {table} ({_ddl(schemas.stored(name))}) USING parquet {by_year}"
+        f" LOCATION '{path}'"
+    )
+    if by_year:
+        spark.catalog.recoverPartitions(table)
+
+
+def _register_csv(spark: SparkSession, table: str, raw: str, name: str, path: str) -> None:
+    """The files as one table, and a view on it without NULL texts."""
+    schema = schemas.TABLES[name]
+    filled = ", ".join(
+        f"coalesce({f.name}, '') AS {f.name}" if f.dataType.typeName() == "string" else f.name
+        for f in schema.fields
+    )
+    spark.sql(f"DROP VIEW IF EXISTS {table}")
+    spark.sql(f"DROP TABLE IF EXISTS {raw}")
+    spark.sql(
+        f"CREATE TABLE {raw} ({_ddl(schema)}) USING csv"
+        f" OPTIONS (header 'true', escape '\"') LOCATION '{path}'"
+    )
+    spark.sql(f"CREATE VIEW {table} AS SELECT {filled} FROM {raw}")
 
 
 def register_database(spark: SparkSession, db: str, base: str, fmt: str = "parquet") -> list[str]:
@@ -60,36 +89,16 @@ def register_database(spark: SparkSession, db: str, base: str, fmt: str = "parqu
     """
     spark.sql(f"CREATE SCHEMA IF NOT EXISTS `{db}` LOCATION '{base}'")
     found = []
-    for name, schema in schemas.TABLES.items():
+    for name in schemas.TABLES:
+        table = f"`{db}`.`{name}`"
         if fmt == "parquet":
-            stored = _existing(lambda: read_table(spark, name, base))
-            if stored is None:
+            if not shared.exists(spark, f"{base}/{name}"):
                 continue
-            spark.sql(f"DROP TABLE IF EXISTS `{db}`.`{name}`")
-            spark.catalog.createTable(f"`{db}`.`{name}`", path=f"{base}/{name}", source="parquet")
-            if "commit_year" in stored.columns and name in _PARTITIONED:
-                spark.catalog.recoverPartitions(f"`{db}`.`{name}`")
+            _register_parquet(spark, table, name, f"{base}/{name}")
         else:
-            if _existing(lambda: read_csv(spark, name, base)) is None:
+            path = _csv_path(spark, name, base)
+            if path is None:
                 continue
-            spark.sql(f"DROP VIEW IF EXISTS `{db}`.`{name}`")
-            spark.sql(f"DROP TABLE IF EXISTS `{db}`.`{name}_csv`")
-            spark.catalog.createTable(
-                f"`{db}`.`{name}_csv`",
-                path=f"{base}/{name}",
-                source="csv",
-                schema=schema,
-                header="true",
-                escape='"',
-            )
-            filled = ", ".join(
-                f"coalesce({f.name}, '') AS {f.name}"
-                if f.dataType.typeName() == "string"
-                else f.name
-                for f in schema.fields
-            )
-            spark.sql(
-                f"CREATE VIEW `{db}`.`{name}` AS SELECT {filled} FROM `{db}`.`{name}_csv`"
-            )
+            _register_csv(spark, table, f"`{db}`.`{name}_csv`", name, path)
         found.append(name)
     return found

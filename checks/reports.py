@@ -278,3 +278,9 @@ _report(
     f"SELECT repo_name, forks, stars FROM f_active WHERE repo_name = '{REPO}'",
     lambda t: reports.active_of(t, REPO),
 )
+_report(
+    "q_active_first",
+    "active",
+    "SELECT repo_name, stars FROM f_active ORDER BY repo_name LIMIT 5",
+    reports.first_active,
+)

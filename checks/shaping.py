@@ -54,6 +54,27 @@ def result_series(spark, sf_dir):
     )
 
 
+@check(
+    "result_chart_arrays",
+    f"""SELECT list_concat(['hour of day'], list(CAST(w.label AS STRING) ORDER BY w.label)) AS labels,
+               list(CAST(w.count AS DOUBLE) ORDER BY w.label) AS workday,
+               list_concat(list(CAST(e.count AS DOUBLE) ORDER BY w.label),
+                           [CAST(0 AS DOUBLE)]) AS weekend,
+               CAST([] AS DOUBLE[]) AS nothing
+        FROM ({_hours('NOT IN (5, 6)')}) w JOIN ({_hours('IN (5, 6)')}) e ON w.label = e.label""",
+)
+def result_chart_arrays(spark, sf_dir):
+    """Labels and datasets made of bindings, literals and an unknown column."""
+    commits = views.commits(spark, sf_dir)
+    statements = [reports.hours_filled(commits, AUTHOR, 1998, weekend) for weekend in (False, True)]
+    return results.chart_arrays(
+        statements,
+        [["hour"], ["hour"]],
+        ["hour of day", "${hour}"],
+        {"workday": ["${0:count}"], "weekend": ["${1:count}", 0], "nothing": ["${2:count}"]},
+    )
+
+
 @check(
     "result_share",
     f"""SELECT period, count,

@@ -242,9 +242,9 @@ _written: dict[tuple, str] = {}
 
 
 def _once(spark: SparkSession, sf_dir: str, label: str, write) -> str:
-    """Path of scratch input written once per application and data folder."""
+    """Path of scratch input, written once per application and data folder."""
     key = (spark.sparkContext.applicationId, sf_dir, label)
-    if key not in _written:
+    if key not in _written or not shared.exists(spark, _written[key]):
         path = shared.folder(spark, label)
         write(path)
         _written[key] = path

@@ -47,6 +47,19 @@ def test_series_joins_on_the_label(spark):
         results.chart_series([first], "literal", {})
 
 
+def test_chart_arrays(spark):
+    first = spark.createDataFrame([(2, 20), (1, 10)], "hour int, count int")
+    second = spark.createDataFrame([("b", None), ("a", 5)], "k string, n int")
+    row = results.chart_arrays(
+        [first, second],
+        [["hour"], ["k"]],
+        ["before", "${hour}", "${1:k}", "${no}"],
+        {"x": ["${count}", 7, "${9:count}"], "y": ["${1:n}"], "z": []},
+    ).first()
+    assert row.labels == ["before", "1", "2", "a", "b"]
+    assert (row.x, row.y, row.z) == ([10.0, 20.0, 7.0], [5.0, None], [])
+
+
 def test_share(spark):
     df = spark.createDataFrame([("a", 1), ("b", 3), ("c", 4)], "k string, n int")
     got = {r.k: r.share for r in results.with_share(df, "n").collect()}

@@ -32,6 +32,14 @@ def test_csv_written_elsewhere(spark, tmp_path):
     assert tuple(row) == ("o/a", "", "", "20210101")
 
 
+def test_csv_in_single_files(spark, tmp_path):
+    (tmp_path / "active.csv").write_text("repo_name,forks,stars\no/a,3,4\n")
+    (tmp_path / "tag.csv").write_text("repo_name,branch,datetime,tag\no/a,,,v1\n")
+    assert tables.register_database(spark, "files", str(tmp_path), "csv") == ["tag", "active"]
+    assert tuple(spark.table("files.active").first()) == ("o/a", 3, 4)
+    assert tuple(spark.table("files.tag").first()) == ("o/a", "", "", "v1")
+
+
 def test_databases_side_by_side(spark):
     first, second = shared.folder(spark, "db"), shared.folder(spark, "db")
     active = spark.createDataFrame([("o/a", 1, 2)], schemas.ACTIVE)
@@ -63,6 +71,17 @@ def test_a_rewrite_replaces_the_table(spark):
     assert tables.read_table(spark, "active", base).count() == 1
 
 
+def test_empty_tables(spark):
+    """A load of nothing leaves tables that can be read and queried."""
+    base = shared.folder(spark, "empty")
+    for name, schema in schemas.TABLES.items():
+        tables.write_table(name, spark.createDataFrame([], schema), base)
+        stored = tables.read_table(spark, name, base)
+        assert stored.count() == 0 and stored.schema == schemas.stored(name)
+    assert tables.register_database(spark, "nothing", base) == list(schemas.TABLES)
+    assert spark.sql("SELECT count(*) FROM nothing.change WHERE commit_year = 2020").first()[0] == 0
+
+
 def test_year_filter_prunes_partitions(spark, commits):
     from annalist.plans import reports
 
