@@ -15,14 +15,16 @@ def write_table(name: str, df: DataFrame, base: str) -> None:
 
     Tables with a ``datetime`` get the parsed columns of ``fields.enrich``. Commits and
     changes are partitioned by the local year; the rebalance hint lets adaptive execution
-    merge small years and split large ones into files of an even size.
+    merge small years and split large ones into files of an even size. Inside a file the rows
+    lie by author and repository, the usual filters, so that the pages of others are skipped.
     """
     if "datetime" in df.columns:
         df = fields.enrich(df)
     if name in _PARTITIONED:
-        df.hint("rebalance", "commit_year").write.mode("overwrite").partitionBy(
-            "commit_year"
-        ).parquet(f"{base}/{name}")
+        even = df.hint("rebalance", "commit_year")
+        even.sortWithinPartitions("commit_year", "author_name", "repo_name").write.mode(
+            "overwrite"
+        ).partitionBy("commit_year").parquet(f"{base}/{name}")
     else:
         df.hint("rebalance").write.mode("overwrite").parquet(f"{base}/{name}")
 
