@@ -23,11 +23,12 @@ def combine(inline: "DataFrame | None", files: "DataFrame | None") -> DataFrame:
 def read_api_pages(spark: SparkSession, path: str, clone_dir: str) -> DataFrame:
     """Saved API responses, each file a JSON array of repositories, as a manifest."""
     pages = spark.read.schema(schemas.API_REPOSITORY).json(path, multiLine=True)
+    below = clone_dir if clone_dir.endswith("/") or not clone_dir else f"{clone_dir}/"
     return pages.select(
         F.col("full_name").alias("name"),
         F.col("default_branch").alias("branch"),
         F.col("clone_url").alias("remote"),
-        F.concat_ws("/", F.lit(clone_dir.rstrip("/")), "full_name").alias("path"),
+        F.concat(F.lit(below), "full_name").alias("path"),
         "forks_count",
         "stargazers_count",
     )

@@ -129,6 +129,9 @@ def test_api_pages(spark, tmp_path):
         ("o/p1", "main", "u", "/srv/clones/o/p1", 1, 9),
         ("o/p2", "main", "u", "/srv/clones/o/p2", 2, 9),
     ]
+    for clone_dir, start in (("", ""), ("/", "/"), ("./db/", "./db/"), (".", "./")):
+        row = manifests.read_api_pages(spark, str(tmp_path), clone_dir).orderBy("path").first()
+        assert row.path == f"{start}o/p1"
 
 
 def test_exclusion_by_prefix(spark):
