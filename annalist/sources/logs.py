@@ -38,7 +38,7 @@ def read_refs(spark: SparkSession, path: str) -> DataFrame:
         .select(
             "repo_name",
             F.get(part, F.lit(0)).alias("hash"),
-            F.expr(f"substring(split(value, ' ', 2)[1], {len(TAG_PREFIX) + 1})").alias("tag"),
+            F.substr(F.get(part, F.lit(1)), F.lit(len(TAG_PREFIX) + 1)).alias("tag"),
         )
     )
 

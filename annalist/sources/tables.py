@@ -7,7 +7,13 @@ from annalist.functions import fields
 from annalist.sources import shared
 
 _PARTITIONED = ("commit", "change")
-_CSV = {"header": True, "escape": '"', "emptyValue": ""}
+_CSV = {
+    "header": True,
+    "escape": '"',
+    "emptyValue": "",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 
 
 def write_table(name: str, df: DataFrame, base: str) -> None:

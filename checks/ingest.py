@@ -320,7 +320,7 @@ def scan_db_tables(spark, sf_dir):
 
 @check(
     "sink_tables_roundtrip",
-    f"""SELECT {_CHANGE}, {LOCAL} AS local_ts, {UNIX} AS unix, {TIMEZONE} AS tz,
+    f"""SELECT {_CHANGE}, CAST({LOCAL} AS STRING) AS local_ts, {UNIX} AS unix, {TIMEZONE} AS tz,
                {YEAR} AS commit_year
         FROM f_change""",
 )
@@ -330,7 +330,7 @@ def sink_tables_roundtrip(spark, sf_dir):
     stored = tables.read_table(spark, "change", base)
     return stored.select(
         *schemas.columns(schemas.CHANGE),
-        "local_ts",
+        F.col("local_ts").cast("string").alias("local_ts"),
         fields.seconds(stored).alias("unix"),
         "tz",
         "commit_year",

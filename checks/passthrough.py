@@ -116,16 +116,18 @@ _sql(
 )
 
 
-@check("sql_stats_approx")
-def sql_stats_approx(spark, sf_dir):
-    views.table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
-    return spark.sql(
-        """SELECT l_returnflag, approx_count_distinct(l_orderkey) AS orders,
-                  percentile_approx(l_extendedprice, 0.5) AS middle
-           FROM lineitem GROUP BY l_returnflag"""
-    )
-
-
+# Approximate results differ by engine; what can be compared is that they are close.
+_sql(
+    "sql_stats_approx",
+    """SELECT l_returnflag,
+              abs(approx_count_distinct(l_partkey) / count(DISTINCT l_partkey) - 1) < 0.2
+                AS parts_close,
+              abs(percentile_approx(l_quantity, 0.5) - percentile(l_quantity, 0.5)) <= 1
+                AS middle_close
+       FROM lineitem GROUP BY l_returnflag""",
+    """SELECT l_returnflag, TRUE AS parts_close, TRUE AS middle_close
+       FROM lineitem GROUP BY l_returnflag""",
+)
 _sql(
     "sql_scalar_builtin",
     """SELECT p_partkey, upper(p_name) AS name, length(p_type) AS len,

@@ -4,23 +4,15 @@ import pytest
 
 from checks import all_queries, all_twins, compare
 
-ROWS_ONLY = {"report_run", "sql_stats_approx"}
-
-
 def test_every_query_has_a_twin():
-    assert set(all_queries()) - set(all_twins()) == ROWS_ONLY
+    assert set(all_queries()) == set(all_twins())
 
 
-@pytest.mark.parametrize("name", sorted(set(all_queries()) - ROWS_ONLY))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_twin(spark, duck, sf, name):
     assert compare.differences(spark, duck, sf, all_queries()[name], all_twins()[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(ROWS_ONLY))
-def test_rows_only(spark, sf, name):
-    assert all_queries()[name](spark, sf).count() > 0
-
-
 def test_flagship(spark):
     import __spark_entry__
 

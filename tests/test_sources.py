@@ -14,6 +14,7 @@ def test_csv_keeps_empty_text_and_quotes(spark):
     rows = [
         ("o/a", "123", "", "2021-10-12T14:20:50+08:00", 'An "x", Lee', "a@b", "b", "", 1, 2),
         ("o/b", "0001", "main", "", "back\\slash", "", "", "py", 0, 0),
+        ("o/c", "12e3", " main ", "", "  two  blanks ", '"', "\\", "c\\", 0, 0),
     ]
     df = spark.createDataFrame(rows, schemas.CHANGE)
     base = shared.folder(spark, "csv")
