@@ -6,10 +6,32 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+from annalist import schemas
 from annalist.operators import linecount, sections, tags
 from annalist.sources import logs, manifest as manifests, shared, tables
 
 
+def stage(
+    spark: SparkSession,
+    path: str,
+    manifest: DataFrame,
+    log_path: str,
+    mapping: "DataFrame | None" = None,
+) -> DataFrame:
+    """Parse the log into a columnar table at ``path`` and return that table.
+
+    Without it every table would parse the log again, and Catalyst would push the filter on
+    good sections below the parsing, which then runs once in the filter and once after it.
+    """
+    parsed = manifests.with_branch(
+        sections.parse_sections(logs.read_log(spark, log_path)), manifest
+    )
+    if mapping is not None:
+        parsed = sections.map_authors(parsed, mapping)
+    sections.finish(parsed).write.mode("overwrite").parquet(path)
+    return spark.read.schema(schemas.PARSED).parquet(path)
+
+
 def load(
     spark: SparkSession,
     out: str,
@@ -28,14 +50,7 @@ def load(
     of the stage, not of the log. Tables that do not need each other are written by
     concurrent jobs, so that the last tasks of one leave no executor idle.
     """
-    parsed = manifests.with_branch(
-        sections.parse_sections(logs.read_log(spark, log_path)), manifest
-    )
-    if mapping is not None:
-        parsed = sections.map_authors(parsed, mapping)
-    staged_at = shared.folder(spark, "parsed")
-    sections.finish(parsed).write.parquet(staged_at)
-    staged = spark.read.parquet(staged_at)
+    staged = stage(spark, shared.folder(spark, "parsed"), manifest, log_path, mapping)
     finished = sections.accepted(staged)
 
     with ThreadPoolExecutor(max_workers=4) as pool:

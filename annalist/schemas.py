@@ -37,6 +37,19 @@ TABLES = {
     "active": ACTIVE,
 }
 
+# Parsed log sections on storage, between the log and the tables.
+PARSED = T.StructType(
+    _strings(*_COMMIT_FIELDS)
+    + _counters("files")
+    + [
+        T.StructField(
+            "churn",
+            T.ArrayType(T.StructType(_strings("ext") + _counters("insertion", "deletion"))),
+        )
+    ]
+    + _strings("reject")
+)
+
 # What a stored table with a ``datetime`` carries beside it; see ``functions.fields``.
 PARSED_TIME = [
     T.StructField("local_ts", T.TimestampNTZType()),

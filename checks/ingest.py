@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from annalist import schemas
 from annalist.functions import fields, sqlfn, timefn
 from annalist.operators import linecount, sections, tags
-from annalist.plans.load import load
+from annalist.plans.load import load, stage
 from annalist.sources import logs, manifest as manifests, shared, tables
 from checks import views
 from checks.registry import LOCAL, OFFSET, TIMEZONE, UNIX, YEAR, check
@@ -14,12 +14,17 @@ _COMMIT = ", ".join(schemas.columns(schemas.COMMIT))
 _CHANGE = ", ".join(schemas.columns(schemas.CHANGE))
 
 
-def _finished(spark, sf_dir, path=None):
-    """The exported log, read and parsed again."""
-    parsed = sections.parse_sections(
-        logs.read_log(spark, path or views.log_path(spark, sf_dir))
+def _staged(spark, sf_dir, damaged=False):
+    """The exported log, parsed and staged once; reading it is what every query shares."""
+    log = (views.damaged_log_path if damaged else views.log_path)(spark, sf_dir)
+    manifest = views.stored_manifest(spark, sf_dir)
+    path = views.once(
+        spark,
+        sf_dir,
+        "damaged-parsed" if damaged else "parsed",
+        lambda p: stage(spark, p, manifest, log),
     )
-    return sections.finish(manifests.with_branch(parsed, views.stored_manifest(spark, sf_dir)))
+    return spark.read.schema(schemas.PARSED).parquet(path)
 
 
 @check(
@@ -41,12 +46,12 @@ def ingest_log_sections(spark, sf_dir):
 
 @check("ingest_commit", f"SELECT {_COMMIT} FROM f_commit")
 def ingest_commit(spark, sf_dir):
-    return sections.commits(sections.accepted(_finished(spark, sf_dir)))
+    return sections.commits(sections.accepted(_staged(spark, sf_dir)))
 
 
 @check("ingest_change", f"SELECT {_CHANGE} FROM f_change")
 def ingest_change(spark, sf_dir):
-    return sections.changes(sections.accepted(_finished(spark, sf_dir)))
+    return sections.changes(sections.accepted(_staged(spark, sf_dir)))
 
 
 @check(
@@ -56,7 +61,7 @@ def ingest_change(spark, sf_dir):
        GROUP BY repo_name, hash""",
 )
 def commit_file_count(spark, sf_dir):
-    return sections.file_counts(sections.accepted(_finished(spark, sf_dir)))
+    return sections.file_counts(sections.accepted(_staged(spark, sf_dir)))
 
 
 @check(
@@ -68,9 +73,7 @@ def commit_file_count(spark, sf_dir):
        WHERE o_orderstatus = 'P' GROUP BY ALL""",
 )
 def ingest_rejects(spark, sf_dir):
-    return sections.reject_counts(
-        _finished(spark, sf_dir, views.damaged_log_path(spark, sf_dir))
-    )
+    return sections.reject_counts(_staged(spark, sf_dir, damaged=True))
 
 
 @check(
@@ -80,13 +83,12 @@ def ingest_rejects(spark, sf_dir):
 )
 def ingest_damaged_change(spark, sf_dir):
     """A commit with one bad line loses all its changes; the others keep theirs."""
-    finished = _finished(spark, sf_dir, views.damaged_log_path(spark, sf_dir))
-    return sections.changes(sections.accepted(finished))
+    return sections.changes(sections.accepted(_staged(spark, sf_dir, damaged=True)))
 
 
 @check("ingest_tags", "SELECT repo_name, branch, datetime, tag FROM f_tag")
 def ingest_tags(spark, sf_dir):
-    commits = sections.commits(sections.accepted(_finished(spark, sf_dir)))
+    commits = sections.commits(sections.accepted(_staged(spark, sf_dir)))
     refs = logs.read_refs(spark, views.refs_path(spark, sf_dir))
     return tags.tags(refs, commits, views.stored_manifest(spark, sf_dir))
 

@@ -241,10 +241,10 @@ def write_log(lines: DataFrame, path: str) -> None:
 _written: dict[tuple, str] = {}
 
 
-def _once(spark: SparkSession, sf_dir: str, label: str, write) -> str:
+def once(spark: SparkSession, sf_dir: str, label: str, write) -> str:
     """Path of scratch input, written once per application and data folder."""
     key = (spark.sparkContext.applicationId, sf_dir, label)
-    if key not in _written or not shared.exists(spark, _written[key]):
+    if key not in _written or not shared.exists(spark, f"{_written[key]}/_SUCCESS"):
         path = shared.folder(spark, label)
         write(path)
         _written[key] = path
@@ -254,16 +254,16 @@ def _once(spark: SparkSession, sf_dir: str, label: str, write) -> str:
 def stored_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest as a stored table, whose size the planner knows."""
     return spark.read.parquet(
-        _once(spark, sf_dir, "manifest", lambda p: manifest(spark, sf_dir).write.parquet(p))
+        once(spark, sf_dir, "manifest", lambda p: manifest(spark, sf_dir).write.parquet(p))
     )
 
 
 def log_path(spark: SparkSession, sf_dir: str) -> str:
-    return _once(spark, sf_dir, "log", lambda p: write_log(log_lines(spark, sf_dir), p))
+    return once(spark, sf_dir, "log", lambda p: write_log(log_lines(spark, sf_dir), p))
 
 
 def damaged_log_path(spark: SparkSession, sf_dir: str) -> str:
-    return _once(
+    return once(
         spark, sf_dir, "damaged-log", lambda p: write_log(log_lines(spark, sf_dir, True), p)
     )
 
@@ -279,7 +279,7 @@ def refs_path(spark: SparkSession, sf_dir: str) -> str:
             ).alias("value"),
         )
     )
-    return _once(
+    return once(
         spark,
         sf_dir,
         "refs",
