@@ -250,7 +250,7 @@ def manifest_union(spark, sf_dir):
 
 @check("manifest_from_api", _MANIFEST_SQL)
 def manifest_from_api(spark, sf_dir):
-    """API responses saved as JSON arrays, a page per repository owner."""
+    """API responses saved as JSON arrays, a page per owner: at most one entry per nation."""
     listed = views.manifest(spark, sf_dir)
     path = shared.folder(spark, "api")
     responses = listed.select(
@@ -267,7 +267,8 @@ def manifest_from_api(spark, sf_dir):
     )
     (
         responses.groupBy("page")
-        .agg(F.concat(F.lit("["), F.array_join(F.collect_list("repository"), ","), F.lit("]")).alias("value"))
+        .agg(F.array_join(F.collect_list("repository"), ",").alias("entries"))
+        .select("page", F.concat(F.lit("["), "entries", F.lit("]")).alias("value"))
         .write.partitionBy("page")
         .text(path)
     )

@@ -62,7 +62,8 @@ def duration(age: str) -> str:
     rest = f"({age}) % 31557600 % 2630016 % 86400"
     for unit, n in (("h", f"{rest} // 3600"), ("m", f"{rest} % 3600 // 60"), ("s", f"{rest} % 60")):
         parts.append(f"CASE WHEN {n} > 0 THEN concat({n}, '{unit}') END")
-    return f"CASE WHEN ({age}) = 0 THEN '0s' WHEN ({age}) > 0 THEN concat_ws(' ', {', '.join(parts)}) END"
+    text = f"concat_ws(' ', {', '.join(parts)})"
+    return f"CASE WHEN ({age}) = 0 THEN '0s' WHEN ({age}) > 0 THEN {text} END"
 
 
 def streaks(source: str, group: str = "repo_name") -> str:

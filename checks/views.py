@@ -344,7 +344,8 @@ SELECT repo_name, ext,
          AS comments,
        CAST(count(*) FILTER (line = '') AS BIGINT) AS blanks
 FROM (SELECT repo_name, ext,
-             trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13) || chr(12) || chr(11)) AS line
+             trim(unnest(string_split(text, chr(10))),
+                  ' ' || chr(9) || chr(13) || chr(12) || chr(11)) AS line
       FROM f_source)
 GROUP BY repo_name, ext""",
 }

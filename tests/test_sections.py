@@ -248,3 +248,22 @@ def test_shared_folder_is_new_every_time(spark):
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         assert first.startswith(base)
+
+
+class Settings:
+    """The settings of a session that was never started."""
+
+    def __init__(self, **values):
+        self.conf = self
+        self.values = {key.replace("_", "."): value for key, value in values.items()}
+
+    def get(self, key, default=None):
+        return self.values.get(key, default)
+
+
+def test_shared_folder_follows_the_session():
+    named = Settings(spark_master="yarn", spark_checkpoint_dir="hdfs://x/shared/")
+    assert shared.folder(named, "t").startswith("hdfs://x/shared/annalist/t-")
+    assert "annalist-" in shared.folder(Settings(spark_master="local[2]"), "t")
+    with pytest.raises(ValueError):
+        shared.folder(Settings(spark_master="yarn"), "t")
