@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from annalist.llm import common, golay, ngram_ratio, packing, toxicity
+from annalist.llm import common, decontaminate, golay, kneser_ney, ngram_ratio, packing, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,20 @@ def op4_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = common.crc_mod(F.col("doc_id"), 5) == 1
+    model = kneser_ney.train(docs, ~held_out)
+    return kneser_ney.perplexity(kneser_ney.score(docs, model)).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity",
+    )
+
+
+def op8_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer()).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified"
@@ -50,7 +64,7 @@ def op10_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = (op1_toxicity, op4_golay_simhash, op9_best_fit_packing, op10_ngram_ratio)
+QUERIES = (op1_toxicity, op4_golay_simhash, op6_kneser_ney, op8_qgram_decontamination, op9_best_fit_packing, op10_ngram_ratio)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
