@@ -29,7 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from annalist.llm import common
+from annalist.llm import common, hashing
+from annalist.llm.hashing import mix
 from annalist.sources import shared
 
 #: Bytes of counts in one range, about.
@@ -38,32 +39,13 @@ RANGE_BYTES = 24_000_000
 BLOCK_TOKENS = 1_500_000
 
 _M = np.uint64
-_random = np.random.default_rng(7)
-_BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64) | _M(1)
-_STEP = _M(0x9E3779B97F4A7C15)
 _MASK48 = _M((1 << 48) - 1)
 START, END = _M(1), _M(2)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """Spread the bits of 64-bit numbers."""
-    x = (x ^ (x >> _M(33))) * _M(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> _M(33))) * _M(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> _M(33))
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    """48-bit hashes of words: a polynomial over their bytes, then spread."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    data = np.frombuffer(b"".join(words), np.uint8)
-    starts = np.cumsum(sizes) - sizes
-    within = np.arange(len(data)) - np.repeat(starts, sizes)
-    powers = np.cumprod(np.full(int(sizes.max()), _STEP))
-    total = np.add.reduceat(_BYTE[data] * powers[within], starts)
-    found = mix(total + sizes.astype(np.uint64)) & _MASK48
-    return np.maximum(found, _M(16))
+    """48-bit hashes of words, none of them small."""
+    return np.maximum(hashing.word_hashes(words) & _MASK48, _M(16))
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,7 +66,7 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def pair_hash(before: np.ndarray, now: np.ndarray) -> np.ndarray:
-    return mix(mix(before * _STEP) ^ now)
+    return mix(mix(before * hashing.STEP) ^ now)
 
 
 def range_of(hashes: np.ndarray, ranges: int, bits: int = 64) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from annalist.llm import common, decontaminate, golay, kneser_ney, ngram_ratio, packing, toxicity
+from annalist.llm import common, decontaminate, golay, kneser_ney, ngram_ratio, packing, phrases, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op4_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = common.crc_mod(F.col("doc_id"), 5) == 1
@@ -64,7 +68,7 @@ def op10_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = (op1_toxicity, op4_golay_simhash, op6_kneser_ney, op8_qgram_decontamination, op9_best_fit_packing, op10_ngram_ratio)
+QUERIES = (op1_toxicity, op4_golay_simhash, op5_phrase_automata, op6_kneser_ney, op8_qgram_decontamination, op9_best_fit_packing, op10_ngram_ratio)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
