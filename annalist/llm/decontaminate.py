@@ -220,3 +220,23 @@ def find(docs: DataFrame, benchmark: DataFrame, item_key: str = "item_id", item_
     for part in parts[1:]:
         result = result.union(part)
     return result
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, item_key: str = "item_id", item_text: str = "text", text: str = "text", rate: float = RATE) -> DataFrame:
+    """The rows in which no passage is found, with all their columns."""
+    spark = docs.sparkSession
+    common.ship(spark)
+    schema = docs.schema
+    for block in blocks(benchmark, item_key, item_text):
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = Index(shared.value, rate)
+            for batch in common.slices(batches, text):
+                keep = np.ones(batch.num_rows, bool)
+                for row, *_ in index.matches([normalise(x) for x in common.raw_texts(batch, text)]):
+                    keep[row] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs

@@ -208,12 +208,61 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
+def _rooted(rows: DataFrame, distance: int) -> DataFrame:
+    """``fp, least, root`` of each distinct fingerprint: its least id and its group's least fingerprint."""
+    nodes = common.stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
+    roots = components(links(nodes.select("fp"), distance)).withColumnRenamed("node", "fp")
+    return nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 4, distance: int = DISTANCE) -> DataFrame:
     """``doc_id, fp, component_id`` of every row: the least id that links reach, its own included."""
     rows = common.stage(fingerprints(docs, size), "fingerprints")
-    nodes = common.stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
-    roots = components(links(nodes.select("fp"), distance)).withColumnRenamed("node", "fp")
-    named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = _rooted(rows, distance)
     heads = named.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = named.select("fp", "root").join(heads, "root").select("fp", "component_id")
     return rows.join(labels, "fp").select("doc_id", "fp", "component_id")
+
+
+#: Rows to leave out are sent to all executors up to this number, else joined by shuffle.
+MOST_DROPPED = 2_000_000
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = 4, distance: int = DISTANCE) -> DataFrame:
+    """One row of each group, with all its columns: that of the least id, null last.
+
+    Rows are told apart by two hashes of id and text; of rows equal in both, one stays.
+    """
+    marks = [F.xxhash64("doc_id", "text").alias("_m1"), F.xxhash64("text", "doc_id").alias("_m2")]
+    keyed = docs.select("doc_id", "text", F.struct(*marks).alias("mark"))
+    rows = common.stage(_marked(keyed, size), "fingerprints")
+    named = _rooted(rows, distance).select("fp", "root")
+    ranked = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
+    first = rows.groupBy("fp").agg(F.min(ranked).alias("first"), F.count("*").alias("n"))
+    best = first.join(named, "fp").groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("n"))
+    groups = best.where("n > 1").select("root", F.col("best.mark").alias("kept"))
+    members = rows.join(named, "fp").join(groups, "root").select("mark", "kept")
+    dropped = common.stage(members.where("mark <> kept").select("mark._m1", "mark._m2").distinct(), "near-dropped")
+    twice = members.where("mark = kept").groupBy("mark").count().where("count > 1").select("mark._m1", "mark._m2")
+    twice = common.stage(twice, "near-twice")
+    spark, names = docs.sparkSession, [docs[c] for c in docs.columns]
+    left = docs.select(F.struct(*names).alias("row"), *marks)
+    left = left.join(common.by_size(spark, dropped, MOST_DROPPED), ["_m1", "_m2"], "left_anti")
+    if twice.count():
+        twice = common.by_size(spark, twice, MOST_DROPPED)
+        once = left.join(twice, ["_m1", "_m2"], "left_semi").dropDuplicates(["_m1", "_m2"])
+        left = left.join(twice, ["_m1", "_m2"], "left_anti").unionByName(once)
+    return left.select("row.*")
+
+
+def _marked(keyed: DataFrame, size: int) -> DataFrame:
+    """``doc_id, mark, fp`` of every row."""
+    common.ship(keyed.sparkSession)
+    kinds = [f"{c} {keyed.schema[c].dataType.simpleString()}" for c in ("doc_id", "mark")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            found = pa.array([fingerprint(x, size) for x in common.raw_texts(batch)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), found], ["doc_id", "mark", "fp"])
+
+    return keyed.mapInArrow(run, ", ".join([*kinds, "fp long"]))

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from annalist.llm import common, decontaminate, golay, kneser_ney, ngram_ratio, packing, phrases, toxicity
+from annalist.llm import (
+    common, cotraining, decontaminate, golay, kneser_ney, licenses, ngram_ratio, packing, phrases, toxicity, training_order,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +32,21 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.materialise(table(spark, sf_dir, "documents"), tokenizer())[1]
+
+
+def op3_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = cotraining.fit(docs, table(spark, sf_dir, "labels")).score(docs)
+    return scored.select(
+        "doc_id",
+        (common.crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"),
+        "text_margin", "meta_margin", "score",
+        (F.col("score") >= 0.5).alias("kept"),
+    )
+
+
 def op4_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay.near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
@@ -50,6 +67,10 @@ def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -68,7 +89,10 @@ def op10_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = (op1_toxicity, op4_golay_simhash, op5_phrase_automata, op6_kneser_ney, op8_qgram_decontamination, op9_best_fit_packing, op10_ngram_ratio)
+QUERIES = (
+    op1_toxicity, op2_training_order, op3_cotraining, op4_golay_simhash, op5_phrase_automata,
+    op6_kneser_ney, op7_license_compression, op8_qgram_decontamination, op9_best_fit_packing, op10_ngram_ratio,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -262,6 +262,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return _evidence(source, "doc_id", source.schema["doc_id"].dataType.simpleString(), model)
 
 
+def reject(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
+    """The rows that score below ``least``, with all their columns."""
+    common.ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in common.slices(batches, text):
+            scores = (model.score(scorer.evidence(x.decode(errors="replace"))) for x in common.raw_texts(batch, text))
+            yield batch.filter(pa.array([x < least for x in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def restore(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, restored``: the words of every row, disguised ones restored."""
     common.ship(docs.sparkSession)
