@@ -29,7 +29,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -138,7 +137,7 @@ def remove_repeats(docs: DataFrame, output: str = "digest", window: int = WINDOW
             texts = common.raw_texts(batch)
             none = (None,) * (len(schema) - 4)
             done = [none if o else finish(d.split(), None, d) for o, d in zip(open_rows.to_pylist(), texts)]
-            left = pc.if_else(open_rows, batch.column("text"), pa.scalar(None, batch.column("text").type))
+            left = pa.array([d if o else None for o, d in zip(open_rows.to_pylist(), texts)], pa.binary()).cast(pa.string())
             yield _table([batch.column("row"), batch.column("key"), left, lists, *map(list, zip(*done))], schema)
 
     joined = named.join(lists, "key", "left").select("row", "key", "text", "anchors")
