@@ -8,9 +8,21 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
+from array import array
 
 import numpy as np
 
+def _byte_letters() -> list[str]:
+    """The printable letter that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return [letters[b] for b in range(256)]
+
+
+LETTERS = _byte_letters()
+
 _known: dict[str, "WordIds"] = {}
 
 # A letter run and the signs that close it are cut apart by the tokenizer's own pattern.
@@ -21,7 +33,7 @@ class WordIds:
     """Ids of words as little-endian unsigned 32-bit bytes, looked up or encoded on first sight."""
 
     # Words remembered by a worker: a matter of speed and memory only.
-    MOST_WORDS = 400_000
+    MOST_WORDS = 600_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,10 +53,22 @@ class WordIds:
     def learn(self, fresh: list[bytes]) -> None:
         parts = [(w, TAIL.match(w)) for w in fresh]
         cores = {x for w, m in parts for x in (m.groups() if m else (w,))}
-        new = [x for x in cores if x not in self.words]
-        coded = self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)
-        for word, code in zip(new, coded):
-            self.words[word] = np.array(code.ids, "<u4").tobytes()
+        tokenize, other = self.tokenizer.model.tokenize, []
+        for core in cores:
+            if core in self.words:
+                continue
+            # A word of lower-case letters alone is one run of the tokenizer's pattern and
+            # already in its normal form, so its merges can be applied to it at once.
+            word = core.decode(errors="replace")
+            if not word.isalpha() or word.lower() != word or not unicodedata.is_normalized("NFC", word):
+                other.append((core, word))
+                continue
+            if not word.isascii():
+                word = "".join([LETTERS[b] for b in core])
+            self.words[core] = array("I", [x.id for x in tokenize(word)]).tobytes()
+        coded = self.tokenizer.encode_batch_fast([w for _, w in other], add_special_tokens=False)
+        for (core, _), code in zip(other, coded):
+            self.words[core] = np.array(code.ids, "<u4").tobytes()
         for word, m in parts:
             if m:
                 self.words[word] = self.words[m[1]] + self.words[m[2]]
