@@ -18,7 +18,7 @@ Every part of a passage that is as long as a window recurs, so nothing else is r
 recurring window lies in the passage of its example, so nothing is missed. A text without a
 recurring anchor is finished after step 1.
 
-Defined cases: null text has no words; texts below a window keep all words; equal rows repeat
+Defined cases: null text has no words and comes back empty; texts below a window keep all words; equal rows repeat
 each other; null ids are kept as ids; an empty table gives no rows.
 """
 
