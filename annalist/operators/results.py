@@ -36,7 +36,8 @@ def chart_series(
     """Labels and one column per dataset, bound from the results of several statements.
 
     A dataset of another statement is joined on the label column rather than taken by row
-    position. A binding to an unknown statement or column gives NULLs, a literal its text.
+    position. A label that only some statements have keeps its values, NULL labels meet, and
+    what a statement lacks is NULL. A binding to an unknown statement or column gives NULLs, a literal its text.
     """
 
     def bound(text):
@@ -69,7 +70,11 @@ def chart_series(
                 if not isinstance(b, Column) and b[0] == index
             ],
         )
-        series = series.join(other, "label", "left")
+        other = other.withColumnRenamed("label", "__label")
+        same = F.col("label").eqNullSafe(F.col("__label"))
+        series = series.join(other.withColumn("__there", F.lit(True)), same, "full")
+        label_or = F.when(F.col("__there") & F.col("label").isNull(), F.col("__label"))
+        series = series.withColumn("label", F.coalesce(label_or, "label")).drop("__label", "__there")
     return series.select(
         "label",
         *[b.alias(name) if isinstance(b, Column) else F.col(name) for name, b in wanted.items()],
@@ -117,7 +122,23 @@ def with_share(result: DataFrame, value: str) -> DataFrame:
     """
     total = result.select(F.sum(value)).scalar()
     percent = F.col(value) / total * 100
-    return result.withColumn("share", F.concat(F.format_string("%.2f", percent), F.lit("%")))
+    return result.withColumn("share", F.concat(_hundredths(percent), F.lit("%")))
+
+
+def _hundredths(percent: Column) -> Column:
+    """A number as text with two decimals, rounded from its exact binary value, halves up in size.
+
+    The number is cut in two parts whose products below are exact, so that a half is a half and
+    not what has been rounded to one.
+    """
+    size = F.abs(percent)
+    high = F.floor(size * 1048576) / 1048576.0
+    below = F.floor(size * 100)
+    beyond = (high * 200 - (2 * below + 1)) + (size - high) * 200
+    n = below + F.when(beyond >= 0, 1).otherwise(0)
+    whole, rest = F.call_function("div", n, F.lit(100)), n % 100
+    text = F.concat(whole.cast("string"), F.lit("."), F.lpad(rest.cast("string"), 2, "0"))
+    return F.concat(F.when(percent < 0, "-").otherwise(""), text)
 
 
 def round2(c: "Column | str") -> Column:

@@ -1,8 +1,9 @@
 """Commit-log sections to commits and changes.
 
 A section is one text record: a header line and the change lines of that commit. All work
-is local to the record, so parsing and the churn per extension need no shuffle; a
-repository of any size is spread over as many tasks as its log has input splits.
+is local to the record, so parsing needs no shuffle and the churn per extension is summed
+before its own; a repository of any size is spread over as many tasks as its log has input
+splits.
 """
 
 from collections.abc import Sequence
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist import schemas
-from annalist.functions import timefn
+from annalist.functions import fields, timefn
 
 # The line shapes, month names and path shapes of the exported text.
 HEADER = r"(?d)<(.*?)> <(.*)> <(.*)> <(.*?)>"
@@ -166,12 +167,12 @@ def map_authors(commits: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def finish(parsed: DataFrame) -> DataFrame:
-    """Derived commit columns, churn per extension, and ``reject``.
+    """Derived commit columns, the time fields, the change lines, and ``reject``.
 
     ``reject`` is NULL for a good section, else ``header`` or ``change``: one bad line drops
     its whole commit.
     """
-    return parsed.select(
+    done = parsed.select(
         "repo_name",
         "hash",
         F.coalesce("branch", F.lit("")).alias("branch"),
@@ -180,9 +181,10 @@ def finish(parsed: DataFrame) -> DataFrame:
         "author_email",
         email_domain("author_email").alias("author_domain"),
         F.size("entries").cast("bigint").alias("files"),
-        churn("entries").alias("churn"),
+        "entries",
         F.when(F.col("bad_header"), "header").when(F.col("bad_change"), "change").alias("reject"),
     )
+    return fields.enrich(done).withColumn("section", F.monotonically_increasing_id())
 
 
 def accepted(finished: DataFrame) -> DataFrame:
@@ -198,38 +200,28 @@ def reject_counts(finished: DataFrame) -> DataFrame:
     )
 
 
-def churn(entries: "Column | str") -> Column:
-    """Sum the change lines of one commit per extension, inside the row."""
-    entries = F.col(entries) if isinstance(entries, str) else entries
-    exts = F.array_distinct(F.transform(entries, lambda e: e["ext"]))
-
-    def total(ext):
-        zero = F.struct(
-            ext.alias("ext"),
-            F.lit(0).cast("bigint").alias("insertion"),
-            F.lit(0).cast("bigint").alias("deletion"),
-        )
-        return F.aggregate(
-            F.filter(entries, lambda e: e["ext"] == ext),
-            zero,
-            lambda acc, e: F.struct(
-                acc["ext"].alias("ext"),
-                (acc["insertion"] + e["insertion"]).alias("insertion"),
-                (acc["deletion"] + e["deletion"]).alias("deletion"),
-            ),
-        )
-
-    return F.transform(exts, total)
+_TIME = [field.name for field in schemas.PARSED_TIME]
 
 
 def commits(finished: DataFrame) -> DataFrame:
-    """The ``commit`` table."""
-    return finished.select(*schemas.columns(schemas.COMMIT))
+    """The ``commit`` table, with the time fields it is stored with."""
+    return finished.select(*schemas.columns(schemas.COMMIT), *_TIME)
 
 
 def changes(finished: DataFrame) -> DataFrame:
-    """The ``change`` table: one row per commit and extension, none for an empty commit."""
-    return finished.select(*schemas.columns(schemas.COMMIT), F.inline("churn"))
+    """The ``change`` table: one row per commit and extension, none for an empty commit.
+
+    Change lines are summed by section and extension. A section is one row, so the partial
+    sums stand beside it and the shuffle carries result rows; a commit with any number of
+    extensions costs no more than its lines. ``section`` tells apart the rows of a repository
+    that is listed twice, so use it on a staged table, where the numbers stand still.
+    """
+    commit = [*schemas.columns(schemas.COMMIT), *_TIME]
+    lines = finished.select("section", *commit, F.inline("entries"))
+    sums = lines.groupBy("section", *commit, "ext").agg(
+        F.sum("insertion").alias("insertion"), F.sum("deletion").alias("deletion")
+    )
+    return sums.select(*schemas.columns(schemas.CHANGE), *_TIME)
 
 
 def file_counts(finished: DataFrame) -> DataFrame:

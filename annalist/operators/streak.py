@@ -9,6 +9,11 @@ from annalist.functions import fields
 from annalist.functions.timefn import DAY
 
 
+# More days than lie between the years 1 and 9999, on both sides of 1970.
+_SPAN = 1 << 23
+_OFF = 1 << 3
+
+
 def longest_streak(df: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     """Longest run of consecutive UTC days per group, the earliest one on a tie.
 
@@ -37,19 +42,24 @@ def longest_streak(df: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
             F.max("__last").alias("__last"),
         )
     )
-    best = runs.groupBy(*groups).agg(
-        F.max_by(
-            F.struct("__days", "__first", "__last"), F.struct("__days", -F.col("__first"))
-        ).alias("__best")
-    )
+    # The longest run, then the earliest, as one number: it is a fixed-size buffer, which keeps
+    # the last step a hash aggregation. The last three bits say how far the end lies from where
+    # start and length put it, which is only possible around 1970.
+    start, end = (F.floor(F.col(c) / DAY) for c in ("__first", "__last"))
+    off = end - start - F.col("__days") + 1 + _OFF // 2
+    packed = (F.col("__days") * _SPAN - start + _SPAN // 2) * _OFF + off
+    best = runs.groupBy(*groups).agg(F.max(F.when(F.col("__days") > 0, packed)).alias("__best"))
+    rest = F.shiftright("__best", 3)
+    days_in = F.shiftright("__best", 26)
+    start = _SPAN // 2 - rest.bitwiseAND(F.lit(_SPAN - 1))
+    end = start + days_in - 1 + F.col("__best").bitwiseAND(F.lit(_OFF - 1)) - _OFF // 2
 
-    def date_text(second):
-        day = F.floor(F.coalesce(second, F.lit(0)) / DAY).cast("int")
-        return F.date_from_unix_date(day).cast("string")
+    def date_text(day):
+        return F.date_from_unix_date(F.coalesce(day, F.lit(0)).cast("int")).cast("string")
 
     return best.select(
         *groups,
-        F.coalesce("__best.__days", F.lit(0)).cast("bigint").alias("active_longest_days"),
-        date_text(F.col("__best.__first")).alias("active_longest_start"),
-        date_text(F.col("__best.__last")).alias("active_longest_end"),
+        F.coalesce(days_in, F.lit(0)).cast("bigint").alias("active_longest_days"),
+        date_text(start).alias("active_longest_start"),
+        date_text(end).alias("active_longest_end"),
     )

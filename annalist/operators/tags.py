@@ -4,19 +4,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalist.functions import fields, timefn
+from annalist.operators import sections
 from annalist.sources import manifest as manifests
 
 
-def tags(refs: DataFrame, commits: DataFrame, manifest: DataFrame) -> DataFrame:
-    """The ``tag`` table: each reference with the date of its commit.
+def header_datetime(header: "Column | str") -> Column:
+    """The date of a commit's header line as RFC 3339 text; NULL if it is no header line."""
+    found = F.regexp_extract(header, sections.HEADER, 0)
+    date = F.regexp_extract(header, sections.HEADER, 1)
+    return F.when(found != "", sections.mail_date_to_rfc3339(date))
+
+
+def dated(refs: DataFrame, commits: DataFrame) -> DataFrame:
+    """``repo_name, tag, datetime`` of every tag; the date is NULL where nothing gives it.
 
-    A tag whose hash is no known commit is skipped.
+    The header line of the reference dates the tag, so a tag on a side branch or on a merge is
+    dated like any other. A reference without that line looks its hash up among the commits.
     """
-    dated = refs.join(commits.select("repo_name", "hash", "datetime"), ["repo_name", "hash"])
-    once = dated.dropDuplicates(["repo_name", "tag"])
+    if "header" not in refs.columns:
+        refs = refs.withColumn("header", F.lit(None).cast("string"))
+    own = refs.select("repo_name", "hash", "tag", header_datetime("header").alias("datetime"))
+    known = commits.select("repo_name", "hash", F.col("datetime").alias("__found"))
+    known = known.dropDuplicates(["repo_name", "hash"])
+    plain = own.filter(F.col("datetime").isNull()).drop("datetime")
+    looked_up = plain.join(known, ["repo_name", "hash"], "left")
+    done = own.filter(F.col("datetime").isNotNull()).select("repo_name", "tag", "datetime")
+    return done.unionByName(looked_up.select("repo_name", "tag", F.col("__found").alias("datetime")))
+
+
+def tags(refs: DataFrame, commits: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The ``tag`` table: each dated reference; ``tag_rejects`` counts the others."""
+    once = dated(refs, commits).filter(F.col("datetime").isNotNull())
+    once = once.dropDuplicates(["repo_name", "tag"])
     return manifests.with_branch(once, manifest).select("repo_name", "branch", "datetime", "tag")
 
 
+def tag_rejects(refs: DataFrame, commits: DataFrame) -> DataFrame:
+    """Tags per repository that neither a header line nor a known commit dates."""
+    return (
+        dated(refs, commits)
+        .filter(F.col("datetime").isNull())
+        .groupBy("repo_name")
+        .agg(F.count(F.lit(1)).alias("tags"))
+    )
+
+
 # A moment and its UTC offset packed in one number that sorts by moment, then offset. A
 # number is a fixed-size aggregation buffer, which keeps max() in a hash aggregate; max_by()
 # over text would sort the whole commit table first.
@@ -47,9 +79,19 @@ def _unpack(packed: Column) -> Column:
     )
 
 
-def heads(commits: DataFrame) -> DataFrame:
-    """``repo_name, datetime`` of the latest commit of every repository."""
+def heads(commits: DataFrame, lines: "DataFrame | None" = None) -> DataFrame:
+    """``repo_name, datetime`` of the head commit of every repository.
+
+    ``lines`` has ``repo_name, header`` with the header line of HEAD; author dates need not
+    rise along a history, so this line decides. A repository without one takes its latest
+    commit by author time.
+    """
     latest = commits.groupBy("repo_name").agg(F.max(_pack(commits)).alias("__at"))
-    return latest.select(
+    latest = latest.select(
         "repo_name", F.coalesce(_unpack(F.col("__at")), F.lit("")).alias("datetime")
     )
+    if lines is None:
+        return latest
+    named = lines.select("repo_name", header_datetime("header").alias("__head"))
+    both = latest.join(named, "repo_name", "full")
+    return both.select("repo_name", F.coalesce("__head", "datetime", F.lit("")).alias("datetime"))

@@ -5,6 +5,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from annalist import schemas
 from annalist.operators import linecount, sections, tags
@@ -43,14 +44,18 @@ def load(
     languages: Sequence[tuple] = linecount.LANGUAGES,
     other_prefixes: "Sequence[str] | None" = None,
 ) -> DataFrame:
-    """Write the tables below ``out`` and return the rejected sections per repository.
+    """Replace the five tables below ``out``; return the rejects per repository and reason.
 
     The log is parsed once, into a staged columnar table in the shared folder; commits,
     changes and rejects are cheap column reads of it, and a lost executor costs a re-read
     of the stage, not of the log. Tables that do not need each other are written by
-    concurrent jobs, so that the last tasks of one leave no executor idle.
+    concurrent jobs, so that the last tasks of one leave no executor idle. A table without
+    input is written empty, so that nothing of an earlier load stays. The stage is deleted
+    when the tables stand; the returned counts (``reject`` is ``header``, ``change`` or
+    ``tag``) are stored in the shared folder.
     """
-    staged = stage(spark, shared.folder(spark, "parsed"), manifest, log_path, mapping)
+    place = shared.folder(spark, "parsed")
+    staged = stage(spark, place, manifest, log_path, mapping)
     finished = sections.accepted(staged)
 
     with ThreadPoolExecutor(max_workers=4) as pool:
@@ -65,13 +70,22 @@ def load(
         ]
         tables.write_table("commit", sections.commits(finished), out)
         commits = tables.read_table(spark, "commit", out)
+        rejects, lines = sections.reject_counts(staged), None
+        tag, snapshot = (spark.createDataFrame([], schemas.TABLES[x]) for x in ("tag", "snapshot"))
         if refs_path is not None:
             refs = logs.read_refs(spark, refs_path)
-            running.append(start("tag", tags.tags(refs, commits, manifest)))
+            lines = logs.read_heads(spark, refs_path)
+            tag = tags.tags(refs, commits, manifest)
+            undated = tags.tag_rejects(refs, commits)
+            rejects = rejects.union(undated.select("repo_name", F.lit("tag"), "tags"))
+        running.append(start("tag", tag))
         if sources is not None:
             counts = linecount.count_lines(sources, languages, other_prefixes)
-            dated = linecount.snapshot(counts, tags.heads(commits), manifest)
-            running.append(start("snapshot", dated))
+            snapshot = linecount.snapshot(counts, tags.heads(commits, lines), manifest)
+        running.append(start("snapshot", snapshot))
+        kept = shared.folder(spark, "rejects")
+        rejects.write.parquet(kept)
         for table in running:
             table.result()
-    return sections.reject_counts(staged)
+    shared.remove(spark, place)
+    return spark.read.schema(rejects.schema).parquet(kept)

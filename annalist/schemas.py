@@ -37,27 +37,29 @@ TABLES = {
     "active": ACTIVE,
 }
 
+# What a stored table with a ``datetime`` carries beside it; see ``functions.fields``.
+PARSED_TIME = [
+    T.StructField("local_ts", T.TimestampNTZType()),
+    T.StructField("utc_ts", T.TimestampType()),
+    T.StructField("tz", T.StringType()),
+    T.StructField("commit_year", T.IntegerType()),
+]
+
 # Parsed log sections on storage, between the log and the tables.
 PARSED = T.StructType(
     _strings(*_COMMIT_FIELDS)
     + _counters("files")
     + [
         T.StructField(
-            "churn",
+            "entries",
             T.ArrayType(T.StructType(_strings("ext") + _counters("insertion", "deletion"))),
         )
     ]
     + _strings("reject")
+    + PARSED_TIME
+    + _counters("section")
 )
 
-# What a stored table with a ``datetime`` carries beside it; see ``functions.fields``.
-PARSED_TIME = [
-    T.StructField("local_ts", T.TimestampNTZType()),
-    T.StructField("utc_ts", T.TimestampType()),
-    T.StructField("tz", T.StringType()),
-    T.StructField("commit_year", T.IntegerType()),
-]
-
 MANIFEST = T.StructType(
     _strings("name", "branch", "remote", "path") + _counters("forks_count", "stargazers_count")
 )

@@ -7,7 +7,15 @@ The commit log of a repository is the output of::
 
     git log --no-merges --date=rfc --pretty=format:'<%ad> <%H> <%aN> <%aE>' --numstat HEAD
 
-and the tag list is ``git show-ref --tags`` with annotated tags dereferenced to commits.
+and its list of references, with the commit that dates each one, is the output of::
+
+    git show-ref --head --tags -d | while read hash ref; do
+        printf '%s %s\t' "$hash" "$ref"
+        git log --no-merges -n 1 --date=rfc --pretty=format:'<%ad> <%H> <%aN> <%aE>' "$hash"
+        echo
+    done
+
+Lines without the part behind the tab, as ``git show-ref`` prints them, are read as well.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +23,8 @@ from pyspark.sql import functions as F
 
 # Fixed value: what stands before a tag name.
 TAG_PREFIX = "refs/tags/"
+# Fixed value: what marks the second line of an annotated tag.
+PEELED = "^{}"
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -28,9 +38,10 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_refs(spark: SparkSession, path: str) -> DataFrame:
-    """Tag references: ``repo_name, hash, tag``. Lines without a blank are skipped."""
-    part = F.split("value", " ", 2)
+def _read_references(spark: SparkSession, path: str) -> DataFrame:
+    """``repo_name, hash, ref, header`` of each line with a blank; the header may be NULL."""
+    part = F.split(F.substring_index("value", "\t", 1), " ", 2)
+    header = F.when(F.instr("value", "\t") > 0, F.expr("substring(value, instr(value, '\t') + 1)"))
     return (
         spark.read.schema("value STRING, repo_name STRING")
         .text(path)
@@ -38,36 +49,45 @@ def read_refs(spark: SparkSession, path: str) -> DataFrame:
         .select(
             "repo_name",
             F.get(part, F.lit(0)).alias("hash"),
-            F.substr(F.get(part, F.lit(1)), F.lit(len(TAG_PREFIX) + 1)).alias("tag"),
+            F.get(part, F.lit(1)).alias("ref"),
+            header.alias("header"),
         )
     )
 
 
-def read_sources(spark: SparkSession, path: str) -> DataFrame:
-    """Source files of checked-out repositories: ``repo_name, path, text``, a row per file.
+def read_refs(spark: SparkSession, path: str) -> DataFrame:
+    """Tags: ``repo_name, hash, tag, header``, one row per repository and tag.
 
-    Folders may nest to any depth below ``repo_name=<name>/``. Spark's file listing leaves
-    out names that start with ``.`` or ``_``; where those count, as ``__init__.py`` does,
-    export the sources as records and use ``read_source_records``.
+    ``header`` is the line of the commit that dates the tag, if the export has it. An annotated
+    tag is listed twice, the second time as ``tag^{}`` with the hash of what it points at; that
+    hash is the tag's. Lines without a blank are skipped.
     """
-    # The metadata path is URL-encoded, and the repository name is escaped once more in it.
-    plain = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    tagged = _read_references(spark, path).filter(F.col("ref").startswith(TAG_PREFIX))
+    peeled = F.col("ref").endswith(PEELED)
+    name = F.expr(f"substring(ref, {len(TAG_PREFIX) + 1})")
+    found = tagged.select(
+        "repo_name",
+        "hash",
+        F.when(peeled, F.expr(f"left(substring(ref, {len(TAG_PREFIX) + 1}), length(ref) - {len(TAG_PREFIX) + len(PEELED)})"))
+        .otherwise(name)
+        .alias("tag"),
+        "header",
+        peeled.alias("__peeled"),
+    )
+    best = F.max_by(F.struct("hash", "header"), F.struct("__peeled", "hash")).alias("__best")
     return (
-        spark.read.option("recursiveFileLookup", True)
-        .text(path, wholetext=True)
-        .select(plain.alias("__at"), F.col("value").alias("text"))
-        .select(
-            F.url_decode(
-                F.replace(
-                    F.regexp_extract("__at", "/repo_name=([^/]+)/", 1), F.lit("+"), F.lit("%2B")
-                )
-            ).alias("repo_name"),
-            F.regexp_extract("__at", "(?s)/repo_name=[^/]+/(.*)", 1).alias("path"),
-            "text",
-        )
+        found.groupBy("repo_name", "tag")
+        .agg(best)
+        .select("repo_name", "__best.hash", "tag", "__best.header")
     )
 
 
+def read_heads(spark: SparkSession, path: str) -> DataFrame:
+    """``repo_name, header`` of the line for HEAD, where the export of references has one."""
+    lines = _read_references(spark, path).filter((F.col("ref") == "HEAD") & F.col("header").isNotNull())
+    return lines.groupBy("repo_name").agg(F.max("header").alias("header"))
+
+
 def read_source_records(spark: SparkSession, path: str) -> DataFrame:
     """Source files exported as JSON lines of ``repo_name, path, text``.
 

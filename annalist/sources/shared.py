@@ -3,7 +3,6 @@
 import tempfile
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 _local_base: list[str] = []
@@ -27,11 +26,17 @@ def folder(spark: SparkSession, label: str) -> str:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether there is anything at a path."""
-    try:
-        spark.read.schema("value STRING").text(path)
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
-    return True
+    """Whether there is anything at a path; nothing below it is listed."""
+    system, place = _place(spark, path)
+    return system.exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that a job has made for itself."""
+    system, place = _place(spark, path)
+    system.delete(place, True)
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place

@@ -46,12 +46,16 @@ def ingest_log_sections(spark, sf_dir):
 
 @check("ingest_commit", f"SELECT {_COMMIT} FROM f_commit")
 def ingest_commit(spark, sf_dir):
-    return sections.commits(sections.accepted(_staged(spark, sf_dir)))
+    return sections.commits(sections.accepted(_staged(spark, sf_dir))).select(
+        *schemas.columns(schemas.COMMIT)
+    )
 
 
 @check("ingest_change", f"SELECT {_CHANGE} FROM f_change")
 def ingest_change(spark, sf_dir):
-    return sections.changes(sections.accepted(_staged(spark, sf_dir)))
+    return sections.changes(sections.accepted(_staged(spark, sf_dir))).select(
+        *schemas.columns(schemas.CHANGE)
+    )
 
 
 @check(
@@ -83,7 +87,9 @@ def ingest_rejects(spark, sf_dir):
 )
 def ingest_damaged_change(spark, sf_dir):
     """A commit with one bad line loses all its changes; the others keep theirs."""
-    return sections.changes(sections.accepted(_staged(spark, sf_dir, damaged=True)))
+    return sections.changes(sections.accepted(_staged(spark, sf_dir, damaged=True))).select(
+        *schemas.columns(schemas.CHANGE)
+    )
 
 
 @check("ingest_tags", "SELECT repo_name, branch, datetime, tag FROM f_tag")
@@ -93,6 +99,28 @@ def ingest_tags(spark, sf_dir):
     return tags.tags(refs, commits, views.stored_manifest(spark, sf_dir))
 
 
+@check(
+    "ingest_tag_rejects",
+    """SELECT repo_name, count(*) AS tags FROM f_commit JOIN orders
+         ON hash = md5(CAST(o_orderkey AS STRING))
+       WHERE o_orderpriority = '2-HIGH' AND o_orderkey % 5 = 0 GROUP BY repo_name""",
+)
+def ingest_tag_rejects(spark, sf_dir):
+    commits = sections.commits(sections.accepted(_staged(spark, sf_dir)))
+    return tags.tag_rejects(logs.read_refs(spark, views.refs_path(spark, sf_dir)), commits)
+
+
+@check(
+    "head_line",
+    """SELECT repo_name, arg_min(datetime, o_orderkey) AS datetime
+       FROM f_commit JOIN orders ON hash = md5(CAST(o_orderkey AS STRING)) GROUP BY repo_name""",
+)
+def head_line(spark, sf_dir):
+    """The line for HEAD decides, also where other commits are later."""
+    lines = logs.read_heads(spark, views.refs_path(spark, sf_dir))
+    return tags.heads(views.commits(spark, sf_dir), lines)
+
+
 @check(
     "ingest_commit_datetime",
     """SELECT hash, CASE WHEN o_orderpriority = '5-LOW' THEN '' ELSE datetime END AS datetime
@@ -214,6 +242,26 @@ def snapshot_lines(spark, sf_dir):
     return linecount.count_lines(views.sources(spark, sf_dir), (), views.COMMENT_PREFIXES)
 
 
+@check(
+    "snapshot_text_scan",
+    """SELECT repo_name, ext, CAST(sum(code) AS BIGINT) AS code,
+              CAST(sum(comments) AS BIGINT) AS comments, CAST(sum(blanks) AS BIGINT) AS blanks
+       FROM f_code WHERE ext IS NOT NULL GROUP BY repo_name, ext""",
+)
+def snapshot_text_scan(spark, sf_dir):
+    """Files written, scanned and counted with the default languages."""
+    return linecount.count_lines(views.code_records(spark, sf_dir))
+
+
+@check(
+    "snapshot_skipped",
+    """SELECT repo_name, 'bin' AS ext, count(DISTINCT path) AS files
+       FROM f_code WHERE ext IS NULL GROUP BY repo_name""",
+)
+def snapshot_skipped(spark, sf_dir):
+    return linecount.skipped_files(views.code_records(spark, sf_dir))
+
+
 @check(
     "scan_source_records",
     """SELECT repo_name, path, CAST(length(text) AS INTEGER) AS chars, md5(text) AS digest
@@ -365,3 +413,52 @@ def load_all(spark, sf_dir):
             for name in ("commit", "change", "tag", "active")
         )
     )
+
+
+@check(
+    "load_replace",
+    """SELECT 'active' AS name, repo_name, count(*) AS n FROM f_active
+       WHERE repo_name < 'B' GROUP BY repo_name
+       UNION ALL SELECT 'commit', repo_name, count(*) FROM f_commit
+       WHERE repo_name < 'B' GROUP BY repo_name
+       UNION ALL SELECT 'change', repo_name, count(*) FROM f_change
+       WHERE repo_name < 'B' GROUP BY repo_name""",
+)
+def load_replace(spark, sf_dir):
+    """A second load of fewer repositories, without references, leaves nothing of the first."""
+    out = shared.folder(spark, "replaced")
+    manifest, log = views.stored_manifest(spark, sf_dir), views.log_path(spark, sf_dir)
+    load(spark, out, manifest, log, views.refs_path(spark, sf_dir))
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        load(spark, out, manifest.filter(F.col("name") < "B"), log)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    counts = [
+        tables.read_table(spark, name, out)
+        .groupBy("repo_name")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(F.lit(name).alias("name"), "repo_name", "n")
+        for name in schemas.TABLES
+    ]
+    both = counts[0]
+    for one in counts[1:]:
+        both = both.unionByName(one)
+    return both
+
+
+@check(
+    "load_snapshot",
+    """SELECT c.repo_name, 'main' AS branch, c.datetime, s.ext, s.code, s.comments, s.blanks
+       FROM (SELECT repo_name, ext, CAST(sum(code) AS BIGINT) AS code,
+                    CAST(sum(comments) AS BIGINT) AS comments, CAST(sum(blanks) AS BIGINT) AS blanks
+             FROM f_code WHERE ext IS NOT NULL GROUP BY repo_name, ext) s
+       JOIN (SELECT repo_name, arg_min(datetime, o_orderkey) AS datetime
+             FROM f_commit JOIN orders ON hash = md5(CAST(o_orderkey AS STRING))
+             GROUP BY repo_name) c USING (repo_name)""",
+)
+def load_snapshot(spark, sf_dir):
+    """The dated snapshot of a whole load with sources."""
+    stored = tables.read_table(spark, "snapshot", views.loaded(spark, sf_dir))
+    return stored.select(*schemas.columns(schemas.SNAPSHOT))

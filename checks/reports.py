@@ -2,6 +2,7 @@
 
 from annalist.operators.linecount import count_lines
 from annalist.plans import reports
+from annalist.sources import tables
 from checks import views
 from checks.functions import AS_OF
 from checks.registry import (
@@ -34,11 +35,29 @@ _IN_YEAR = f"{_MINE} AND {YEAR} = {YEAR_OF}"
 _FIRST = f"SELECT repo_name, min({UNIX}) AS moment FROM f_commit WHERE {_MINE} GROUP BY repo_name"
 
 
+_VIEW_TABLES = {"commits": "commit", "changes": "change", "tags": "tag", "active": "active"}
+# Reports that are also run on loaded tables, where stored fields stand for parsed text.
+_STORED = (
+    "q_first_commit",
+    "q_commits_per_year",
+    "q_churn_topk",
+    "q_streak_repo_top",
+    "q_weekday",
+    "q_repo_year_tz",
+)
+
+
 def _report(name, view, sql, run):
     @check(name, sql)
     def query(spark, sf_dir):
         return run(getattr(views, view)(spark, sf_dir))
 
+    if name in _STORED:
+
+        @check(f"stored_{name}", sql)
+        def stored(spark, sf_dir):
+            return run(tables.read_table(spark, _VIEW_TABLES[view], views.loaded(spark, sf_dir)))
+
 
 _report(
     "q_first_commit",

@@ -4,6 +4,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from annalist.functions import timefn
 from annalist.operators import results
 from annalist.plans import reports
 from annalist.plans.report_run import run_report
@@ -17,8 +18,6 @@ _BY_HOUR = f"SELECT {HOUR} AS hour, count(*) AS count FROM f_commit GROUP BY 1"
 
 
 def _by_hour(commits):
-    from annalist.functions import timefn
-
     return commits.groupBy(timefn.hour("datetime").alias("hour")).agg(
         F.count(F.lit(1)).alias("count")
     )
@@ -54,6 +53,30 @@ def result_series(spark, sf_dir):
     )
 
 
+@check(
+    "result_series_partial",
+    f"""SELECT coalesce(a.label, b.label) AS label, a.count AS early, b.count AS late
+        FROM (SELECT nullif(branch || {YEAR}, 'main1995') AS label, count(*) AS count
+              FROM f_commit WHERE {YEAR} <= 1996 GROUP BY 1) a
+        FULL JOIN (SELECT nullif(branch || {YEAR}, 'main1998') AS label, count(*) AS count
+                   FROM f_commit WHERE {YEAR} >= 1995 GROUP BY 1) b
+          ON a.label IS NOT DISTINCT FROM b.label""",
+)
+def result_series_partial(spark, sf_dir):
+    """Statements whose labels overlap in part, with a NULL label in each."""
+    commits = views.commits(spark, sf_dir).withColumn("year", timefn.year("datetime"))
+
+    def counted(rows, gone):
+        label = F.concat("branch", F.col("year").cast("string"))
+        return rows.groupBy(F.nullif(label, F.lit(gone)).alias("label")).agg(F.count(F.lit(1)).alias("count"))
+
+    statements = [
+        counted(commits.filter("year <= 1996"), "main1995"),
+        counted(commits.filter("year >= 1995"), "main1998"),
+    ]
+    return results.chart_series(statements, "${label}", {"early": "${0:count}", "late": "${1:count}"})
+
+
 @check(
     "result_chart_arrays",
     f"""SELECT list_concat(['hour of day'], list(CAST(w.label AS STRING) ORDER BY w.label)) AS labels,

@@ -268,23 +268,107 @@ def damaged_log_path(spark: SparkSession, sf_dir: str) -> str:
     )
 
 
+def _header(hash_: Column) -> Column:
+    """The header line of a commit, as the log export writes it."""
+    fields = (mail_date("datetime"), hash_, F.col("author_name"), F.col("author_email"))
+    return F.concat_ws(" ", *[F.concat(F.lit("<"), f, F.lit(">")) for f in fields])
+
+
+def ref_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``repo_name, value``: the exported references.
+
+    By the remainder of the order key by four, a tag is a plain line; an annotated tag with its
+    second line; a tag on a commit outside the log, dated by its header line; or an annotated
+    tag on such a commit. Besides there are tags of high priority that nothing dates, and a
+    HEAD line with the commit of the least order key of each repository.
+    """
+    keyed = keyed_commits(spark, sf_dir)
+    key = F.col("o_orderkey")
+    outside = F.md5(F.concat(F.lit("outside"), key.cast("string")))
+    thing = F.md5(F.concat(F.lit("object"), key.cast("string")))
+    name = F.concat(F.lit(" refs/tags/v"), key.cast("string"))
+    peeled, dated = F.lit("^{}"), F.concat(F.lit("\t"), _header(outside))
+    urgent = keyed.filter(F.col("o_orderpriority") == "1-URGENT")
+    forms = (
+        [F.concat(F.col("hash"), name)],
+        [F.concat(thing, name), F.concat(F.col("hash"), name, peeled)],
+        [F.concat(outside, name, dated)],
+        [F.concat(thing, name, dated), F.concat(outside, name, peeled, dated)],
+    )
+    lines = F.when(key % 4 == 0, F.array(*forms[0]))
+    for number in (1, 2, 3):
+        lines = lines.when(key % 4 == number, F.array(*forms[number]))
+    lost = keyed.filter((F.col("o_orderpriority") == "2-HIGH") & (key % 5 == 0)).select(
+        "repo_name", F.concat(outside, F.lit(" refs/tags/lost"), key.cast("string")).alias("value")
+    )
+    first = keyed.groupBy("repo_name").agg(F.min("o_orderkey").alias("o_orderkey"))
+    head = keyed.join(first, ["repo_name", "o_orderkey"]).select(
+        "repo_name",
+        F.concat(F.col("hash"), F.lit(" HEAD\t"), _header(F.col("hash"))).alias("value"),
+    )
+    return urgent.select("repo_name", F.explode(lines).alias("value")).union(lost).union(head)
+
+
 def refs_path(spark: SparkSession, sf_dir: str) -> str:
-    refs = (
-        keyed_commits(spark, sf_dir)
-        .filter(F.col("o_orderpriority") == "1-URGENT")
-        .select(
-            "repo_name",
-            F.concat(
-                F.col("hash"), F.lit(" refs/tags/v"), F.col("o_orderkey").cast("string")
-            ).alias("value"),
+    def write(path):
+        lines = ref_lines(spark, sf_dir).hint("rebalance", "repo_name")
+        lines.write.partitionBy("repo_name").text(path)
+
+    return once(spark, sf_dir, "refs", write)
+
+
+def loaded(spark: SparkSession, sf_dir: str) -> str:
+    """Where the tables lie after one load of everything, shared by the queries on them."""
+    from annalist.plans.load import load
+
+    def run(path):
+        load(
+            spark,
+            path,
+            stored_manifest(spark, sf_dir),
+            log_path(spark, sf_dir),
+            refs_path(spark, sf_dir),
+            code_records(spark, sf_dir),
         )
+        # ``once`` looks for this mark of a finished write.
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place).close()
+
+    return once(spark, sf_dir, "loaded", run)
+
+
+#: File names by the remainder of the document id, with the language each counts as.
+CODE_NAMES = (
+    ("pkg/__init__.py", "python"),
+    ("Makefile", "makefile"),
+    ("src/A.PY", "python"),
+    ("web/app.tsx", "tsx"),
+    ("src/x.cc", "c++"),
+    (".hidden/y.swift", "swift"),
+    ("data.bin", None),
+)
+
+
+def code_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as source files of all kinds of names, each in a repository of the manifest."""
+    name = F.lit(None).cast("string")
+    for number, (path, _) in enumerate(CODE_NAMES):
+        name = F.when(F.col("doc_id") % len(CODE_NAMES) == number, path).otherwise(name)
+    repos = manifest(spark, sf_dir).select(F.col("name").alias("repo_name")).distinct()
+    first = repos.agg(F.min("repo_name").alias("repo_name"))
+    docs = table(spark, sf_dir, "documents").select(
+        F.concat(F.col("doc_id").cast("string"), F.lit("/"), name).alias("path"),
+        F.concat(F.lit("# header\n\n// note\n"), F.col("text")).alias("text"),
     )
-    return once(
-        spark,
-        sf_dir,
-        "refs",
-        lambda p: refs.hint("rebalance", "repo_name").write.partitionBy("repo_name").text(p),
-    )
+    return docs.join(first).select("repo_name", "path", "text")
+
+
+def code_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files, exported as records and read again."""
+    from annalist.sources import logs
+
+    path = once(spark, sf_dir, "code", lambda p: code_sources(spark, sf_dir).write.json(p))
+    return logs.read_source_records(spark, path)
 
 
 # The views as SQL, each as a common table expression; see FIXTURES.md section 3.
@@ -335,6 +419,25 @@ SELECT source AS repo_name, lang AS ext,
        concat('src/f', CAST(doc_id AS STRING), '.', lang) AS path,
        concat('# header', chr(10), chr(10), text, chr(10), '    // note') AS text
 FROM documents""",
+    # The documents as source files of the default languages, in one repository.
+    "f_code": """
+SELECT repo_name, ext, path,
+       CAST(count(*) FILTER (line <> '' AND NOT comment) AS BIGINT) AS code,
+       CAST(count(*) FILTER (line <> '' AND comment) AS BIGINT) AS comments,
+       CAST(count(*) FILTER (line = '') AS BIGINT) AS blanks
+FROM (SELECT *, CASE WHEN ext IN ('python', 'makefile') THEN starts_with(line, '#')
+                     ELSE starts_with(line, '//') END AS comment
+      FROM (SELECT (SELECT min(repo_name) FROM f_active) AS repo_name,
+                   CASE doc_id % 7 WHEN 0 THEN 'python' WHEN 1 THEN 'makefile' WHEN 2 THEN 'python'
+                                   WHEN 3 THEN 'tsx' WHEN 4 THEN 'c++' WHEN 5 THEN 'swift' END
+                     AS ext,
+                   CAST(doc_id AS VARCHAR) AS path,
+                   trim(unnest(string_split(
+                          regexp_replace('# header' || chr(10) || chr(10) || '// note' || chr(10) || text,
+                                         chr(10) || '$', ''), chr(10))),
+                        ' ' || chr(9) || chr(13) || chr(12) || chr(11)) AS line
+            FROM documents))
+GROUP BY ALL""",
     # Line kinds by the trimmed line; see T13.
     "f_snapshot": """
 SELECT repo_name, ext,
@@ -349,7 +452,7 @@ FROM (SELECT repo_name, ext,
       FROM f_source)
 GROUP BY repo_name, ext""",
 }
-_NEEDS = {"f_change": ["f_commit"], "f_tag": ["f_commit"], "f_snapshot": ["f_source"]}
+_NEEDS = {"f_code": ["f_active"], "f_change": ["f_commit"], "f_tag": ["f_commit"], "f_snapshot": ["f_source"]}
 
 
 def twin(query: str) -> str:

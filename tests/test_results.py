@@ -47,6 +47,18 @@ def test_series_joins_on_the_label(spark):
         results.chart_series([first], "literal", {})
 
 
+def test_series_loses_nothing(spark):
+    first = spark.createDataFrame([(1, 10), (2, 20), (None, 5)], "hour int, count int")
+    second = spark.createDataFrame([(2, 200), (3, 300), (None, 50)], "hour int, count int")
+    got = results.chart_series([first, second], "${hour}", {"a": "${0:count}", "b": "${1:count}"})
+    assert sorted(map(tuple, got.collect()), key=repr) == [
+        (1, 10, None),
+        (2, 20, 200),
+        (3, None, 300),
+        (None, 5, 50),
+    ]
+
+
 def test_chart_arrays(spark):
     first = spark.createDataFrame([(2, 20), (1, 10)], "hour int, count int")
     second = spark.createDataFrame([("b", None), ("a", 5)], "k string, n int")
@@ -64,6 +76,10 @@ def test_share(spark):
     df = spark.createDataFrame([("a", 1), ("b", 3), ("c", 4)], "k string, n int")
     got = {r.k: r.share for r in results.with_share(df, "n").collect()}
     assert got == {"a": "12.50%", "b": "37.50%", "c": "50.00%"}
+    # 1.005 % is a little less as a binary number; 12.125 % is a true half.
+    for n, rest, want in ((201, 19799, "1.00%"), (97, 703, "12.13%"), (1, 2, "33.33%"), (0, 1, "0.00%")):
+        df = spark.createDataFrame([("a", n), ("b", rest)], "k string, n int")
+        assert {r.k: r.share for r in results.with_share(df, "n").collect()}["a"] == want
 
 
 def test_round2(values):

@@ -4,6 +4,7 @@ import uuid
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from annalist.operators import sections
 from annalist.sources import logs, manifest as manifests, shared
@@ -17,8 +18,10 @@ def finished(spark, texts):
     return sections.finish(sections.parse_sections(df)).orderBy("repo_name")
 
 
-def churn_of(row):
-    return {c.ext: (c.insertion, c.deletion) for c in row.churn}
+def churn_of(rows, hash_):
+    found = sections.changes(sections.accepted(rows)).filter(F.col("hash") == hash_).collect()
+    assert len({r.ext for r in found}) == len(found)
+    return {r.ext: (r.insertion, r.deletion) for r in found}
 
 
 def test_one_section(spark):
@@ -34,11 +37,12 @@ def test_one_section(spark):
         "5\t5\tsrc/{a.c => b.rs}",
         '2\t0\t"x/\\346.py"',
     ]
-    row = finished(spark, ["\n".join([HEAD.format("abc"), *lines, ""])]).first()
+    rows = finished(spark, ["\n".join([HEAD.format("abc"), *lines, ""])])
+    row = rows.first()
     assert (row.hash, row.author_name, row.author_email) == ("abc", "Ann Lee", "ann@example.com")
     assert (row.datetime, row.author_domain) == ("2021-11-09T23:34:49+08:00", "example.com")
     assert (row.files, row.reject) == (10, None)
-    assert churn_of(row) == {
+    assert churn_of(rows, "abc") == {
         "": (40, 0),
         "md": (1, 0),
         "go": (1477, 7),
@@ -63,10 +67,11 @@ def test_header_forms(spark):
         # Text before and after the match is ignored.
         HEAD.format("e") + " trailing",
     ]
-    rows = finished(spark, texts).collect()
+    all_rows = finished(spark, texts)
+    rows = all_rows.collect()
     assert [r.hash for r in rows] == ["a", "b", "c", "h> <x", "e"]
     assert [r.files for r in rows] == [1, 2, 0, 0, 0]
-    assert churn_of(rows[1]) == {"py": (4, 6)}
+    assert churn_of(all_rows, "b") == {"py": (4, 6)}
     assert [r.reject for r in rows] == [None] * 5
     assert rows[3].datetime == ""
 
@@ -88,8 +93,7 @@ def test_one_bad_line_drops_the_commit(spark):
 
 def test_change_line_numbers(spark):
     lines = ["-5\t1-2\ta.x", "007\t--\ta.x", "99999999999999999999\t3\ta.x", "x12\t3\ta.x"]
-    row = finished(spark, ["\n".join([HEAD.format("n"), *lines])]).first()
-    assert churn_of(row) == {"x": (19, 6)}
+    assert churn_of(finished(spark, ["\n".join([HEAD.format("n"), *lines])]), "n") == {"x": (19, 6)}
 
 
 @pytest.mark.parametrize(
@@ -216,9 +220,23 @@ def test_sections_survive_any_split_of_the_file(spark, tmp_path):
 
 def test_one_commit_with_many_files(spark):
     lines = [f"1\t2\td/f{n}.x{n % 50}" for n in range(20_000)]
-    row = finished(spark, ["\n".join([HEAD.format("huge"), *lines])]).first()
-    assert row.files == 20_000
-    assert churn_of(row) == {f"x{k}": (400, 800) for k in range(50)}
+    rows = finished(spark, ["\n".join([HEAD.format("huge"), *lines])])
+    assert rows.first().files == 20_000
+    assert churn_of(rows, "huge") == {f"x{k}": (400, 800) for k in range(50)}
+
+
+def test_one_commit_with_many_extensions(spark):
+    lines = [f"{n}\t1\td/f{n}.x{n}" for n in range(32_000)]
+    rows = finished(spark, ["\n".join([HEAD.format("dump"), *lines])])
+    assert churn_of(rows, "dump") == {f"x{n}": (n, 1) for n in range(32_000)}
+
+
+def test_a_repository_listed_twice_keeps_doubled_changes(spark):
+    text = HEAD.format("h") + "\n1\t2\tx.py\n3\t4\ty.py"
+    rows = [("r", branch, text) for branch in ("main", "main")]
+    df = spark.createDataFrame(rows, "repo_name string, branch string, value string")
+    done = sections.changes(sections.finish(sections.parse_sections(df))).collect()
+    assert [(r.ext, r.insertion, r.deletion) for r in done] == [("py", 4, 6)] * 2
 
 
 def test_branch_comes_from_the_manifest_as_often_as_listed(spark):
@@ -232,13 +250,27 @@ def test_branch_comes_from_the_manifest_as_often_as_listed(spark):
 def test_tag_list(spark, tmp_path):
     folder = tmp_path / "repo_name=o%2Fn"
     folder.mkdir()
-    (folder / "refs.txt").write_text("h1 refs/tags/v1\nh2 refs/tags/a b\nnoblank\nh3 refs/tags/v3\n")
+    lines = [
+        "h1 refs/tags/v1",
+        "h2 refs/tags/a b",
+        "noblank",
+        "obj refs/tags/v3",
+        "h3 refs/tags/v3^{}",
+        "obj4 refs/tags/v4\t" + HEAD.format("c4"),
+        "h4 refs/tags/v4^{}\t" + HEAD.format("c4"),
+        "h5 refs/heads/main",
+        "h6 HEAD\t" + HEAD.format("h6"),
+    ]
+    (folder / "refs.txt").write_text("\n".join(lines) + "\n")
     refs = logs.read_refs(spark, str(tmp_path))
-    assert sorted(tuple(r) for r in refs.collect()) == [
-        ("o/n", "h1", "v1"),
-        ("o/n", "h2", "a b"),
-        ("o/n", "h3", "v3"),
+    assert sorted((tuple(r) for r in refs.collect()), key=lambda r: r[2]) == [
+        ("o/n", "h2", "a b", None),
+        ("o/n", "h1", "v1", None),
+        ("o/n", "h3", "v3", None),
+        ("o/n", "h4", "v4", HEAD.format("c4")),
     ]
+    heads = logs.read_heads(spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in heads] == [("o/n", HEAD.format("h6"))]
 
 
 def test_shared_folder_is_new_every_time(spark):

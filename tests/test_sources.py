@@ -64,6 +64,49 @@ def test_databases_side_by_side(spark):
     assert [r.hash for r in years if r[0] is None] == ["hx"]
 
 
+def test_csv_columns_go_by_name(spark, tmp_path):
+    folder = tmp_path / "active"
+    folder.mkdir()
+    (folder / "part.csv").write_text("Stars,extra,repo_name\n7,x,o/a\n8,y,\n")
+    got = tables.read_csv(spark, "active", str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [("", None, 8), ("o/a", None, 7)]
+    assert tables.register_database(spark, "by_name", str(tmp_path), "csv") == ["active"]
+    rows = spark.sql("SELECT stars, forks, repo_name FROM by_name.active").collect()
+    assert sorted(map(tuple, rows)) == [(7, None, "o/a"), (8, None, "")]
+
+
+def test_a_database_moves(spark, tmp_path):
+    """To a folder with fewer tables, to another format and back; a quote in the path."""
+    active = spark.createDataFrame([("o/a", 1, 2)], schemas.ACTIVE)
+    tag = spark.createDataFrame([("o/a", "main", "", "v1")], schemas.TAG)
+    first, second, csv = (str(tmp_path / x) for x in ("first", "it's second", "csv"))
+    tables.write_table("active", active, first)
+    tables.write_table("tag", tag, first)
+    tables.write_table("active", active.withColumn("stars", F.lit(9).cast("long")), second)
+    tables.write_csv("active", active, csv)
+    for base, fmt, names, stars in (
+        (first, "parquet", ["tag", "active"], 2),
+        (second, "parquet", ["active"], 9),
+        (csv, "csv", ["active"], 2),
+        (first, "parquet", ["tag", "active"], 2),
+    ):
+        assert tables.register_database(spark, "moving", base, fmt) == names
+        assert spark.sql("SELECT stars FROM moving.active").first()[0] == stars
+        assert spark.catalog.tableExists("moving.tag") == ("tag" in names)
+
+
+def test_a_rewrite_replaces_all_years(spark, commits):
+    base = shared.folder(spark, "years")
+    tables.write_table("commit", commits, base)
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        tables.write_table("commit", commits.filter(F.col("datetime") < "1996"), base)
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+    years = tables.read_table(spark, "commit", base).select("commit_year").distinct().collect()
+    assert {r[0] for r in years} == {1995}
+
+
 def test_a_rewrite_replaces_the_table(spark):
     base = shared.folder(spark, "rewrite")
     for count in (3, 1):
@@ -162,34 +205,55 @@ def test_heads_and_tags(spark):
         "o/b": "1969-12-31T23:00:00-00:30",
         "o/c": "",
     }
+    line = "<Mon, 8 Nov 2021 23:34:49 +0800> <h9> <a> <a@b>"
     refs = spark.createDataFrame(
-        [("o/a", "h2", "v2"), ("o/b", "h1", "v1"), ("o/b", "gone", "v0")],
-        "repo_name string, hash string, tag string",
+        [
+            ("o/a", "h2", "v2", None),
+            ("o/b", "h1", "v1", None),
+            ("o/b", "gone", "v0", None),
+            ("o/b", "side", "v9", line),
+            ("o/b", "gone", "v8", "no header"),
+        ],
+        "repo_name string, hash string, tag string, header string",
     )
+    assert [tuple(r) for r in tags.tag_rejects(refs, df).collect()] == [("o/b", 2)]
+    lines = spark.createDataFrame([("o/a", line), ("o/new", line)], "repo_name string, header string")
+    named = {r.repo_name: r.datetime for r in tags.heads(df, lines).collect()}
+    assert named["o/a"] == named["o/new"] == "2021-11-08T23:34:49+08:00"
+    assert named["o/b"] == "1969-12-31T23:00:00-00:30"
     manifest = spark.createDataFrame(
         [("o/a", "main"), ("o/b", None)], "name string, branch string"
     )
     assert sorted(tuple(r) for r in tags.tags(refs, df, manifest).collect()) == [
         ("o/a", "main", "2021-10-13T02:00:00+00:00", "v2"),
         ("o/b", "", "1969-12-31T23:00:00-00:30", "v1"),
+        ("o/b", "", "2021-11-08T23:34:49+08:00", "v9"),
     ]
 
 
-def test_line_counts_of_source_files(spark, tmp_path):
-    root = tmp_path / "repo_name=o%2Fa" / "src"
-    root.mkdir(parents=True)
-    (root / "main.py").write_text("# head\n\nx = 1\n\t# inner\n   \ny = 2  # not a comment line\n")
-    (root / "lib.rs").write_text("// head\nfn a() {}")
-    (root / "README.md").write_text("# Title\n\ntext\n")
-    (root / "data.bin").write_text("1\n2\n")
-    (root / "empty.py").write_text("")
-    (root / "a+b c.sh").write_text("ls\n")
-    sources = logs.read_sources(spark, str(tmp_path))
-    rows = sources.select("repo_name", "path").collect()
-    assert {r.repo_name for r in rows} == {"o/a"}
-    assert {"src/main.py", "src/a+b c.sh"} <= {r.path for r in rows}
+def test_line_counts_of_source_files(spark):
+    texts = {
+        "src/main.py": "# head\n\nx = 1\n\t# inner\n   \ny = 2  # not a comment line\n",
+        "src/lib.rs": "// head\nfn a() {}",
+        "README.MD": "# Title\n\ntext\n",
+        "data.bin": "1\n2\n",
+        "empty.py": "",
+        "a+b c.sh": "ls\n",
+        "sub/Makefile": "# m\nall:\n",
+        "_private/__init__.py": "a = 1\n",
+    }
+    sources = spark.createDataFrame(
+        [("o/a", path, text) for path, text in texts.items()], "repo_name string, path string, text string"
+    )
     got = {r.ext: (r.code, r.comments, r.blanks) for r in linecount.count_lines(sources).collect()}
-    assert got == {"python": (2, 2, 2), "rust": (1, 1, 0), "markdown": (0, 2, 1), "shell": (1, 0, 0)}
+    assert got == {
+        "python": (3, 2, 2),
+        "rust": (1, 1, 0),
+        "markdown": (0, 2, 1),
+        "shell": (1, 0, 0),
+        "makefile": (1, 1, 0),
+    }
+    assert [tuple(r) for r in linecount.skipped_files(sources).collect()] == [("o/a", "bin", 1)]
     other = linecount.count_lines(sources, (), ["1"]).collect()
     assert {r.ext: (r.code, r.comments, r.blanks) for r in other}["bin"] == (1, 1, 0)
 
@@ -219,11 +283,15 @@ def test_load_and_report(spark, sf):
     )
     orders = views.table(spark, sf, "orders")
     damaged = orders.filter("o_orderstatus = 'P'").count()
-    assert rejects.agg(F.sum("sections")).first()[0] == damaged
+    assert rejects.filter("reject <> 'tag'").agg(F.sum("sections")).first()[0] == damaged
+    lost = orders.filter("o_orderpriority = '2-HIGH' AND o_orderkey % 5 = 0").count()
+    bare = "o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' AND o_orderkey % 4 < 2"
+    lost += orders.filter(bare).count()
+    assert rejects.filter("reject = 'tag'").agg(F.sum("sections")).first()[0] == lost
     stored = {n: tables.read_table(spark, n, out) for n in schemas.TABLES}
     assert stored["commit"].count() == orders.count() - damaged
     assert stored["tag"].count() == orders.filter(
-        "o_orderpriority = '1-URGENT' AND o_orderstatus <> 'P'"
+        "o_orderpriority = '1-URGENT' AND (o_orderstatus <> 'P' OR o_orderkey % 4 >= 2)"
     ).count()
     names = {r[0] for r in stored["commit"].select("author_name").distinct().collect()}
     assert "seven" in names and "user7" not in names
