@@ -17,6 +17,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pyspark.sql import SparkSession  # noqa: E402
 
 from annalist.operators import linecount  # noqa: E402
+from annalist.operators.sections import author_rules  # noqa: E402
 from annalist.plans import reports  # noqa: E402
 from annalist.plans.load import load  # noqa: E402
 from annalist.sources import shared, tables  # noqa: E402
@@ -81,17 +82,26 @@ def main():
     base = shared.folder(spark, "bench")
     manifest = views.stored_manifest(spark, sf_dir)
 
+    code = views.code_records(spark, sf_dir)
+    rules = author_rules(spark, [("user39", "user39@d7.example.com", "renamed", "r@example.org")])
+
+    def whole_load(out):
+        return load(spark, out, manifest, log, refs, code, rules)
+
     times = {}
-    first, _ = timed(lambda: load(spark, shared.folder(spark, "bench"), manifest, log, refs))
-    again, rejects = timed(lambda: load(spark, base, manifest, log, refs))
+    first, _ = timed(lambda: whole_load(shared.folder(spark, "bench")))
+    again, rejects = timed(lambda: whole_load(base))
     times["load"] = min(first, again)
     stored = {n: tables.read_table(spark, n, base) for n in ("commit", "change", "tag", "active")}
     commits = stored["commit"].count()
     counts = linecount.count_lines(views.sources(spark, sf_dir), (), views.COMMENT_PREFIXES)
+    lines = shared.folder(spark, "bench-lines")
     times["line_count"] = min(
-        timed(lambda: tables.write_table("snapshot", counts, base))[0] for _ in range(2)
+        timed(lambda: tables.write_table("snapshot", counts, lines))[0] for _ in range(2)
     )
-    stored["snapshot"] = tables.read_table(spark, "snapshot", base)
+    stored["snapshot"] = tables.read_table(spark, "snapshot", lines)
+    # Not timed: what the first query on stored tables loads and compiles is no query's own.
+    reports.hours_filled(stored["commit"], AUTHOR, 1998, False).collect()
     for name, run in headline(stored).items():
         times[name] = min(timed(lambda: run().collect())[0] for _ in range(2))
 
