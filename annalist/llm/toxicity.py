@@ -11,8 +11,8 @@ copies of a text count once. A document's evidence is calibrated by a logistic c
 
 Defined cases: null text is empty; an empty text has no evidence and gets the curve's value for
 none; equal rows get equal scores; null ids count as the empty text in the split; labels that
-are null or without a document are not used; without a usable label every score is 0; an empty
-table gives no rows; other columns are left out.
+are null or without a document are not used; without usable
+labels of both kinds every score is 0; an empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ MOST_TERMS = 20_000
 PREFIXES = (4, 5)
 LEAST_CONTEXTS = 5
 LEAST_WEIGHT = 2.0
+#: Triples that a task gathers before it passes them on.
+MOST_TRIPLES = 100_000
 #: Words remembered by a worker: a matter of speed and memory only.
 MOST_WORDS = 300_000
 
@@ -141,6 +143,8 @@ class Model:
     base: float = 0.0
 
     def score(self, evidence: float) -> float:
+        if self.base == -math.inf:
+            return 0.0
         return 1.0 / (1.0 + math.exp(-max(min(self.slope * evidence + self.base, 500.0), -500.0)))
 
 
@@ -199,24 +203,29 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         channel = Channel(trigrams)
+        found: set[tuple[str, str, int]] = set()
+
+        def flush() -> pa.RecordBatch:
+            terms_, befores, ys = zip(*found)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(terms_), pa.array(befores), pa.array(ys)], ["term", "before", "y"])
+
         for batch in common.slices(batches):
-            labels = batch.column("y").to_pylist()
-            found = set()
-            for text, y in zip(common.raw_texts(batch), labels):
+            for text, y in zip(common.raw_texts(batch), batch.column("y").to_pylist()):
                 words = channel.words(text.decode(errors="replace"), channel.word)
                 for before, word in zip(["", *words], words):
                     found.update((t, before, y) for t in terms(word))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in zip(*found)] if found else [pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.int64())],
-                ["term", "before", "y"],
-            )
+                    if len(found) >= MOST_TRIPLES:
+                        yield flush()
+        if found:
+            yield flush()
 
     seen = rows.select("text", F.col("y").cast("long").alias("y")).mapInArrow(contexts, "term string, before string, y long")
     odds = seen.distinct().groupBy("term").agg(F.sum("y").alias("yes"), F.sum(1 - F.col("y")).alias("no"))
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.sum(F.length("text")).alias("n")).collect()}
     yes_size, no_size = sizes.get(1) or 0, sizes.get(0) or 0
     if not yes_size or not no_size:
-        return Model(trigrams, {}, 0.0, -math.inf if not yes_size else 0.0)
+        return Model(trigrams, {}, 0.0, -math.inf)
     weight = F.log((F.col("yes") + 0.5) / (F.col("no") + 0.5)) - math.log(yes_size / no_size)
     strong = odds.where(F.col("yes") >= LEAST_CONTEXTS).withColumn("w", weight).where(F.col("w") >= LEAST_WEIGHT)
     kept = strong.orderBy(F.desc("yes"), "term").limit(MOST_TERMS).collect()
