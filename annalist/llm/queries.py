@@ -99,5 +99,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
+#: Windows of 35 words that start in two places or more, and the words they cover.
+_REPEATS = """
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+windows AS (
+  SELECT r, unnest(range(1, len(w) - 33)) AS s, w FROM split WHERE len(w) >= 35),
+named AS (SELECT r, s, sha256(array_to_string(w[s:s + 34], ' ')) AS h FROM windows),
+covered AS (
+  SELECT DISTINCT r, s + unnest(range(0, 35)) AS p FROM named
+  WHERE h IN (SELECT h FROM named GROUP BY h HAVING count(*) > 1)),
+gone AS (SELECT r, count(*) AS n, list(p) AS ps FROM covered GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ')
+                   ELSE coalesce((SELECT string_agg(x, ' ' ORDER BY i)
+                                  FROM (SELECT unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i)
+                                  WHERE NOT list_contains(ps, i)), '') END) AS kept_sha256
+FROM split LEFT JOIN gone USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_phrase_automata": _REPEATS}
