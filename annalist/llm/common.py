@@ -44,7 +44,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = shared.folder(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.stage_path = path
+    return staged
+
+
+def unstage(*staged: DataFrame) -> None:
+    """Delete the files of stages that nothing reads any more."""
+    for df in staged:
+        shared.remove(df.sparkSession, df.stage_path)
 
 
 def text_column(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

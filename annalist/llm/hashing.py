@@ -17,17 +17,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
+# Words hashed at once, so that the arrays of their bytes stay in a core's cache.
+CHUNK = 8192
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """A polynomial over the bytes of each word, then spread."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    data = np.frombuffer(b"".join(words), np.uint8)
-    starts = np.cumsum(sizes) - sizes
-    within = np.arange(len(data)) - np.repeat(starts, sizes)
-    powers = np.cumprod(np.full(int(sizes.max()), STEP))
-    total = np.add.reduceat(_BYTE[data] * powers[within], starts)
-    return mix(total + sizes.astype(np.uint64))
+    out = np.empty(len(words), np.uint64)
+    for at in range(0, len(words), CHUNK):
+        part = words[at : at + CHUNK]
+        sizes = np.fromiter(map(len, part), np.int64, len(part))
+        data = np.frombuffer(b"".join(part), np.uint8)
+        starts = np.cumsum(sizes) - sizes
+        within = np.arange(len(data)) - np.repeat(starts, sizes)
+        powers = np.cumprod(np.full(int(sizes.max()), STEP))
+        total = np.add.reduceat(_BYTE[data] * powers[within], starts)
+        out[at : at + CHUNK] = mix(total + sizes.astype(np.uint64))
+    return out
 
 
 def gram_hashes(hashes: np.ndarray, size: int, salt: int) -> np.ndarray:

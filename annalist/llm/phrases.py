@@ -9,8 +9,8 @@ is removed with all its words. The steps:
 2. The windows of an anchor are hashed together; equal lists are summed before they are taken
    apart, so copies cost little. Windows counted twice or more recur, and each has an example.
 3. Examples that follow each other in a text form a confirmed passage, given as text.
-4. Texts with recurring anchors are dealt into buckets of bounded size. A bucket gets the
-   passages that share an anchor with its texts, compiles their anchor phrases into an
+4. Texts with recurring anchors are dealt into buckets of bounded size, those with the same
+   least anchor together as far as the size allows. A bucket gets the passages that share an anchor with its texts, compiles their anchor phrases into an
    Aho-Corasick automaton, and streams its texts through it. Each hit is extended word by word
    on both sides; where the match with the passage is a window or longer, its words go.
 
@@ -51,23 +51,47 @@ def least_places(values: np.ndarray, width: int) -> np.ndarray:
     return place
 
 
-class Text:
-    """The words of a text with the anchors of its windows."""
-
-    def __init__(self, data: bytes, window: int):
-        self.words = data.split()
-        self.anchors = np.zeros(0, np.uint64)
-        if len(self.words) >= window:
+class Texts:
+    """The words of some texts with the anchors of their windows, all worked out at once.
+
+    ``window`` has the place of each window's first word in all words, ``owner`` its text,
+    ``place`` the place of its anchor.
+    """
+
+    def __init__(self, texts: list[bytes], window: int):
+        self.split = [t.split() for t in texts]
+        sizes = np.fromiter(map(len, self.split), np.int64, len(texts))
+        self.begin = np.cumsum(sizes) - sizes
+        self.words = [w for words in self.split for w in words]
+        counts = np.maximum(sizes - window + 1, 0)
+        self.owner = np.repeat(np.arange(len(texts)), counts)
+        within = np.arange(len(self.owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+        self.window = self.begin[self.owner] + within
+        self.place = self.window
+        if len(self.window):
             self.hashes = hashing.word_hashes(self.words)
-            phrases = hashing.gram_hashes(self.hashes, PHRASE, 1)
-            self.place = least_places(phrases, window - PHRASE + 1)
-            self.anchors = phrases[self.place]
+            self.phrases = hashing.gram_hashes(self.hashes, PHRASE, 1)
+            self.place = least_places(self.phrases, window - PHRASE + 1)[self.window]
 
     def runs(self) -> tuple[np.ndarray, np.ndarray]:
-        """First and one past the last window of each anchor place."""
-        cuts = np.flatnonzero(np.diff(self.place)) + 1
+        """First and one past the last of the windows that share a text and an anchor place."""
+        if not len(self.window):
+            return self.window, self.window
+        cuts = np.flatnonzero((np.diff(self.place) != 0) | (np.diff(self.owner) != 0)) + 1
         return np.concatenate([[0], cuts]), np.concatenate([cuts, [len(self.place)]])
 
+    def anchors(self, at: np.ndarray) -> np.ndarray:
+        """The anchor hash of windows by number."""
+        return self.phrases[self.place[at]] if len(at) else np.zeros(0, np.uint64)
+
+
+def listed(owner: np.ndarray, values: np.ndarray, lists: pa.Array) -> np.ndarray:
+    """Which values stand in the list of their own text."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    tag = lambda row, value: value ^ hashing.mix((row + 1).astype(np.uint64))
+    return np.isin(tag(owner, values), tag(np.repeat(np.arange(len(lists)), sizes), flat))
+
 
 def _digest(words: list[bytes], keep: np.ndarray | None, data: bytes) -> tuple:
     """n_words, n_removed and the hash of the kept words."""
@@ -111,23 +135,33 @@ def remove_repeats(docs: DataFrame, output: str = "digest", window: int = WINDOW
 
     def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            keys = batch.column("key").to_numpy()
-            found = []
-            for key, data in zip(keys, common.raw_texts(batch)):
-                t = Text(data, window)
-                if len(t.anchors):
-                    values, n = np.unique(t.anchors[t.runs()[0]], return_counts=True)
-                    found.append((values, np.full(len(values), key), np.minimum(n, 2)))
-            if found:
-                anchor, key, n = (np.concatenate(c) for c in zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(key), pa.array(n)], ["anchor", "key", "n"])
-
-    anchors = common.stage(named.select("key", "text").mapInArrow(find_anchors, "anchor long, key long, n long"), "phrase-anchors")
+            texts = common.raw_texts(batch)
+            bytes_ = np.fromiter(map(len, texts), np.int64, len(texts))
+            t = Texts(texts, window)
+            first = t.runs()[0]
+            owner, found = t.owner[first], t.anchors(first)
+            order = np.lexsort((found, owner))
+            owner, found = owner[order], found[order]
+            new = np.flatnonzero(np.append(True, (np.diff(owner) != 0) | (found[1:] != found[:-1]))[: len(found)])
+            n = np.minimum(np.diff(np.append(new, len(found))), 2)
+            keys = batch.column("key").to_numpy()[owner[new]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found[new].view(np.int64)), pa.array(keys), pa.array(n), pa.array(bytes_[owner[new]])],
+                ["anchor", "key", "n", "size"],
+            )
+
+    anchors = common.stage(named.select("key", "text").mapInArrow(find_anchors, "anchor long, key long, n long, size long"), "phrase-anchors")
     recurring = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    lists = anchors.select("anchor", "key").join(recurring, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
+    lists = anchors.select("anchor", "key", "size").join(recurring, "anchor").groupBy("key")
+    lists = lists.agg(F.collect_set("anchor").alias("anchors"), F.min("anchor").alias("least"), F.min("size").alias("size"))
+    # Texts with the same least anchor mostly share passages. They go to one bucket, or to as
+    # many as their size asks for.
+    lists_stage = lists = common.stage(lists, "phrase-lists")
+    groups = lists.groupBy("least").agg(F.ceil(F.sum("size") * 4 / BUCKET_BYTES).alias("parts"))
+    lists = lists.drop("size").join(groups, "least")
 
     out = T.StructType([named.schema["row"], T.StructField("key", T.LongType()), T.StructField("text", T.StringType())])
-    out = T.StructType([*out.fields, T.StructField("anchors", T.ArrayType(T.LongType())), *T._parse_datatype_string(added.replace("text ", "new_text ")).fields])
+    out = T.StructType([*out.fields, T.StructField("anchors", T.ArrayType(T.LongType())), T.StructField("least", T.LongType()), T.StructField("parts", T.LongType()), *T._parse_datatype_string(added.replace("text ", "new_text ")).fields])
 
     def finish_clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(out)
@@ -135,73 +169,102 @@ def remove_repeats(docs: DataFrame, output: str = "digest", window: int = WINDOW
             lists = batch.column("anchors")
             open_rows = lists.is_valid()
             texts = common.raw_texts(batch)
-            none = (None,) * (len(schema) - 4)
+            none = (None,) * (len(schema) - 6)
             done = [none if o else finish(d.split(), None, d) for o, d in zip(open_rows.to_pylist(), texts)]
             left = pa.array([d if o else None for o, d in zip(open_rows.to_pylist(), texts)], pa.binary()).cast(pa.string())
-            yield _table([batch.column("row"), batch.column("key"), left, lists, *map(list, zip(*done))], schema)
+            held = [batch.column(c) for c in ("anchors", "least", "parts")]
+            yield _table([batch.column("row"), batch.column("key"), left, *held, *map(list, zip(*done))], schema)
 
-    joined = named.join(lists, "key", "left").select("row", "key", "text", "anchors")
+    joined = named.join(lists, "key", "left").select("row", "key", "text", "anchors", "least", "parts")
     held = joined.mapInArrow(finish_clean, out).withColumn("place", F.monotonically_increasing_id())
     held = common.stage(held, "phrase-texts")
+    common.unstage(anchors, lists_stage)
     clean = held.where("anchors IS NULL")
-    texts = held.where("anchors IS NOT NULL").select("row", "key", "text", "anchors", "place")
+    texts = held.where("anchors IS NOT NULL").select("row", "key", "text", "anchors", "least", "parts", "place")
+
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-size // BUCKET_BYTES))
+    spread = F.xxhash64("least", F.pmod(F.xxhash64("place"), F.col("parts")))
+    dealt = texts.withColumn("bucket", F.pmod(spread, F.lit(buckets)).cast("int"))
 
     def list_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            rows: list[list] = [[], [], [], []]
-            for key, data, listed in zip(batch.column("key").to_pylist(), common.raw_texts(batch), batch.column("anchors")):
-                t = Text(data, window)
-                if not len(t.anchors):
-                    continue
-                hashes = hashing.gram_hashes(t.hashes, window, 2).view(np.int64)
-                starts, ends = t.runs()
-                own = t.anchors[starts].view(np.int64)
-                for i in np.flatnonzero(np.isin(own, listed.values.to_numpy(zero_copy_only=False))).tolist():
-                    rows[0].append(int(own[i]))
-                    rows[1].append(hashes[starts[i] : ends[i]])
-                    rows[2].append(key)
-                    rows[3].append(int(starts[i]))
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["anchor", "windows", "key", "at"])
-
-    groups = texts.select("key", "text", "anchors").mapInArrow(list_windows, "anchor long, windows array<long>, key long, at int")
-    groups = groups.groupBy("anchor", "windows").agg(F.count("*").alias("n"), F.first("key").alias("key"), F.first("at").alias("at"))
-    each = groups.select("anchor", "n", "key", "at", F.posexplode("windows").alias("step", "hash"))
-    counted = each.groupBy("anchor", "hash").agg(
-        F.sum("n").alias("n"), F.first("key").alias("key"), F.first(F.col("at") + F.col("step")).alias("at")
+            t = Texts(common.raw_texts(batch), window)
+            first, end = t.runs()
+            keep = listed(t.owner[first], t.anchors(first), batch.column("anchors"))
+            first, end = first[keep], end[keep]
+            if not len(first):
+                continue
+            hashes = hashing.gram_hashes(t.hashes, window, 2).view(np.int64)
+            sizes = end - first
+            at = np.repeat(first, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(t.anchors(first).view(np.int64)),
+                    pa.ListArray.from_arrays(ends, pa.array(hashes[t.window[at]])),
+                    pa.array(batch.column("key").to_numpy()[t.owner[first]]),
+                    pa.array(batch.column("bucket").to_numpy()[t.owner[first]]),
+                ],
+                ["anchor", "windows", "key", "bucket"],
+            )
+
+    found = dealt.select("key", "text", "anchors", "bucket").mapInArrow(
+        list_windows, "anchor long, windows array<long>, key long, bucket int"
     )
-    examples = counted.where("n > 1").groupBy("key").agg(F.collect_list("at").alias("starts"))
+    # Texts of a bucket share many lists of windows; each stands here once per bucket.
+    found = found.groupBy("bucket", "anchor", "windows").agg(F.count("*").alias("n"), F.min("key").alias("key"))
+    found = common.stage(found, "phrase-windows")
+    # The example of a window is in the text of the least key, so that the windows of a passage
+    # that several texts share have their examples side by side.
+    each = found.select("anchor", "n", "key", F.explode("windows").alias("hash"))
+    counted = each.groupBy("anchor", "hash").agg(F.sum("n").alias("n"), F.min("key").alias("example"))
+    counted = common.stage(counted.where("n > 1").drop("n"), "phrase-examples")
+    examples = counted.groupBy(F.col("example").alias("key")).agg(F.collect_set("hash").alias("windows"))
 
     def cut_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            rows: list[list] = [[], [], [], []]
-            for data, listed in zip(common.raw_texts(batch), batch.column("starts")):
-                t = Text(data, window)
-                starts = np.unique(listed.values.to_numpy(zero_copy_only=False))
-                starts = starts[starts < len(t.anchors)]
-                for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
-                    if not len(run):
-                        continue
-                    first, last = int(run[0]), int(run[-1])
-                    passage = b" ".join(t.words[first : last + window])
-                    places = np.unique(t.place[first : last + 1])
-                    rows[0].append(hashlib.md5(passage).digest())
-                    rows[1].append(passage)
-                    rows[2].append(hashing.gram_hashes(t.hashes, PHRASE, 1)[places].view(np.int64))
-                    rows[3].append(places - first)
-            kinds = (pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["id", "passage", "anchors", "places"])
-
-    sources = texts.select("key", "text").join(examples, "key").select("text", "starts")
-    passages = sources.mapInArrow(cut_passages, "id binary, passage binary, anchors array<long>, places array<int>")
+            t = Texts(common.raw_texts(batch), window)
+            if not len(t.window):
+                continue
+            hashes, keys = hashing.gram_hashes(t.hashes, window, 2), batch.column("key").to_numpy()
+            at = np.flatnonzero(listed(t.owner, hashes[t.window], batch.column("windows")))
+            # One example of a window is enough, also where a text repeats it.
+            order = np.lexsort((at, hashes[t.window[at]], t.owner[at]))
+            ordered = hashes[t.window[at[order]]]
+            again = (np.diff(t.owner[at[order]]) == 0) & (ordered[1:] == ordered[:-1])
+            at = np.sort(at[order[np.flatnonzero(np.append(True, ~again)[: len(at)])]])
+            rows: list[list] = [[], [], [], [], [], []]
+            for run in np.split(at, np.flatnonzero((np.diff(at) > 1) | (np.diff(t.owner[at]) != 0)) + 1):
+                if not len(run):
+                    continue
+                begin, end = int(t.window[run[0]]), int(t.window[run[-1]]) + window
+                passage = b" ".join(t.words[begin:end])
+                cuts = np.flatnonzero(np.diff(t.place[run])) + 1
+                first, last = t.window[run[np.append(0, cuts)]], t.window[run[np.append(cuts, len(run)) - 1]]
+                rows[0].append(hashlib.md5(passage).digest())
+                rows[1].append(keys[t.owner[run[0]]])
+                rows[2].append(passage)
+                rows[3].append(t.anchors(run[np.append(0, cuts)]).view(np.int64))
+                rows[4].append(last - begin)
+                rows[5].append(first + window - last)
+            kinds = (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(rows, kinds)], ["id", "example", "passage", "anchors", "cores", "sizes"]
+            )
+
+    sources = texts.select("key", "text").join(examples, "key")
+    passages = sources.mapInArrow(
+        cut_passages, "id binary, example long, passage binary, anchors array<long>, cores array<int>, sizes array<int>"
+    )
     passages = common.stage(passages.dropDuplicates(["id"]), "phrase-passages")
 
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-size // BUCKET_BYTES))
-    dealt = texts.withColumn("bucket", F.pmod(F.xxhash64("place"), F.lit(buckets)).cast("int"))
-    wanted = dealt.select("bucket", F.explode("anchors").alias("anchor")).distinct()
-    wanted = wanted.join(passages.select("id", F.explode("anchors").alias("anchor")), "anchor").select("bucket", "id").distinct()
-    sent = wanted.join(passages, "id").select(F.col("bucket").alias("shard"), "passage", "places")
+    # A bucket gets the passages that hold the example of a window of its texts.
+    wanted = found.select("bucket", "anchor", F.explode("windows").alias("hash")).join(counted, ["anchor", "hash"])
+    wanted = wanted.select("bucket", "anchor", "example").distinct()
+    named_passages = passages.select("id", "example", F.explode("anchors").alias("anchor"))
+    wanted = wanted.join(named_passages, ["example", "anchor"]).select("bucket", "id").distinct()
+    sent = wanted.join(passages, "id").select(F.col("bucket").alias("shard"), "passage", "cores", "sizes")
 
     final = T.StructType([named.schema["row"], *T._parse_datatype_string(added.replace("text ", "new_text ")).fields])
 
@@ -209,7 +272,8 @@ def remove_repeats(docs: DataFrame, output: str = "digest", window: int = WINDOW
         texts = [x or b"" for x in left.column("text").cast(pa.binary()).to_pylist()]
         split = [t.split() for t in texts]
         passages = [p.split() for p in right.column("passage").to_pylist()]
-        keeps = covered(split, passages, right.column("places").to_pylist(), window)
+        cores, sizes = (right.column(c).to_pylist() for c in ("cores", "sizes"))
+        keeps = covered(split, passages, cores, sizes, window)
         done = [finish(w, k, d) for w, k, d in zip(split, keeps, texts)]
         schema = to_arrow_schema(final)
         row = left.column("row").combine_chunks()
@@ -223,8 +287,14 @@ def remove_repeats(docs: DataFrame, output: str = "digest", window: int = WINDOW
     return result.select(*named_out, *[F.col(c).alias("text" if c == "new_text" else c) for c in final.names[1:]])
 
 
-def covered(texts: list[list[bytes]], passages: list[list[bytes]], places: list[list[int]], window: int) -> list[np.ndarray]:
-    """For each text which words stay: those in no match with a passage of a window or more."""
+def covered(
+    texts: list[list[bytes]], passages: list[list[bytes]], cores: list[list[int]], sizes: list[list[int]], window: int
+) -> list[np.ndarray]:
+    """For each text which words stay: those in no match with a passage of a window or more.
+
+    A core is what all windows of a passage with the same anchor share: every place of such a
+    window holds it, so the automaton looks for cores.
+    """
     import ahocorasick
 
     numbers: dict[bytes, int] = {}
@@ -242,23 +312,25 @@ def covered(texts: list[list[bytes]], passages: list[list[bytes]], places: list[
     known, known_begins = joined(passages, -1)
     mine, begins = joined(texts, -2)
     automaton = ahocorasick.Automaton()
-    phrases: list[list[int]] = []
-    for words, begin, own in zip(passages, known_begins, places):
-        for place in own:
-            phrase = (b" " + b" ".join(words[place : place + PHRASE]) + b" ").decode("latin-1")
-            number = automaton.get(phrase, None)
+    places: list[list[int]] = []
+    lengths: list[int] = []
+    for words, begin, own, own_sizes in zip(passages, known_begins, cores, sizes):
+        for place, size in zip(own, own_sizes):
+            core = (b" " + b" ".join(words[place : place + size]) + b" ").decode("latin-1")
+            number = automaton.get(core, None)
             if number is None:
-                number = len(phrases)
-                automaton.add_word(phrase, number)
-                phrases.append([])
-            phrases[number].append(begin + place)
+                number = len(places)
+                automaton.add_word(core, number)
+                places.append([])
+                lengths.append(size)
+            places[number].append(begin + place)
     cover = np.zeros(len(mine) + 1, np.int64)
-    if phrases:
+    if places:
         automaton.make_automaton()
-        lists = [np.array(p) for p in phrases]
-        sizes = np.array([len(p) for p in lists])
-        flat = np.concatenate(lists)
-        flat_begin = np.cumsum(sizes) - sizes
+        length = np.array(lengths)
+        count = np.array([len(p) for p in places])
+        flat = np.array([x for p in places for x in p])
+        flat_begin = np.cumsum(count) - count
         for words, begin in zip(texts, begins):
             if len(words) < window:
                 continue
@@ -266,34 +338,39 @@ def covered(texts: list[list[bytes]], passages: list[list[bytes]], places: list[
             hits = list(automaton.iter(hay))
             if not hits:
                 continue
-            ends, numbers_hit = np.array(hits).T
-            # A phrase ends with the blank before the next word.
+            ends, found = np.array(hits).T
+            # A core ends with the blank before the next word.
             after = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-            at = begin + np.searchsorted(after, ends) + 1 - PHRASE
+            at = begin + np.searchsorted(after, ends) + 1 - length[found]
             for part in range(0, len(at), 4096):
-                chosen = numbers_hit[part : part + 4096]
-                count = sizes[chosen]
-                d = np.repeat(at[part : part + 4096], count)
-                within = np.arange(len(d)) - np.repeat(np.cumsum(count) - count, count)
-                p = flat[np.repeat(flat_begin[chosen], count) + within]
-                extend(cover, mine, known, d, p, window)
+                chosen = found[part : part + 4096]
+                n = count[chosen]
+                d = np.repeat(at[part : part + 4096], n)
+                within = np.arange(len(d)) - np.repeat(np.cumsum(n) - n, n)
+                p = flat[np.repeat(flat_begin[chosen], n) + within]
+                extend(cover, mine, known, d, p, np.repeat(length[chosen], n), window)
     stays = np.cumsum(cover)[:-1] <= 0
     return [stays[b : b + len(w)] for b, w in zip(begins, texts)]
 
 
-def extend(cover: np.ndarray, mine: np.ndarray, known: np.ndarray, d: np.ndarray, p: np.ndarray, window: int) -> None:
-    """Mark where texts match passages around the phrases at ``d`` and ``p`` for a window or more."""
-    reach = window - PHRASE
-    left = np.zeros(len(d), np.int64)
-    right = np.zeros(len(d), np.int64)
-    alive = np.ones(len(d), bool)
-    for step in range(1, reach + 1):
-        alive &= mine[d - step] == known[p - step]
-        left += alive
-    alive[:] = True
-    for step in range(PHRASE, PHRASE + reach):
-        alive &= mine[d + step] == known[p + step]
-        right += alive
-    long = left + right + PHRASE >= window
-    np.add.at(cover, (d - left)[long], 1)
-    np.add.at(cover, (d + PHRASE + right)[long], -1)
+def extend(
+    cover: np.ndarray, mine: np.ndarray, known: np.ndarray, d: np.ndarray, p: np.ndarray, length: np.ndarray, window: int
+) -> None:
+    """Mark where texts match passages around cores at ``d`` and ``p`` for a window or more."""
+    left, right = d, d + length
+    alive = np.arange(len(d))
+    for step in range(1, window):
+        alive = alive[mine[d[alive] - step] == known[p[alive] - step]]
+        if not len(alive):
+            break
+        left = left.copy() if step == 1 else left
+        left[alive] = d[alive] - step
+    alive = np.arange(len(d))
+    for step in range(window):
+        alive = alive[mine[d[alive] + length[alive] + step] == known[p[alive] + length[alive] + step]]
+        if not len(alive):
+            break
+        right[alive] = d[alive] + length[alive] + step + 1
+    long = right - left >= window
+    np.add.at(cover, left[long], 1)
+    np.add.at(cover, right[long], -1)
