@@ -6,8 +6,8 @@ disguised word form a lattice over characters; the Viterbi path under a characte
 is the restored word. A word of letters alone without long repeats has one reading, itself.
 
 The terms that mark toxic text are learned from a bounded sample of labelled rows: whole words
-and word beginnings, weighed by the odds of the different contexts they appear in, so that
-copies of a text count once. A document's evidence is calibrated by a logistic curve.
+after different words, and word beginnings by the different words they open, weighed by their
+odds, so that copies of a text count once. A document's evidence is calibrated by a logistic curve.
 
 Defined cases: null text is empty; an empty text has no evidence and gets the curve's value for
 none; equal rows get equal scores; null ids count as the empty text in the split; labels that
@@ -33,7 +33,7 @@ MOST_LABELLED = 20_000
 MOST_TERMS = 20_000
 PREFIXES = (4, 5)
 LEAST_CONTEXTS = 5
-LEAST_WEIGHT = 2.0
+LEAST_WEIGHT = 3.0
 #: Triples that a task gathers before it passes them on.
 MOST_TRIPLES = 100_000
 #: Words remembered by a worker: a matter of speed and memory only.
@@ -50,6 +50,8 @@ REPEATED = re.compile(r"(.)\1\1|(.)\2(.)\3", re.DOTALL)
 SIGN_RUN = re.compile(r"([^\w\s])\1+")
 # Cost of reading a sign as a letter.
 SWAP = 0.5
+# Cost of taking a space between single letters for one between words.
+KEEP = 4.0
 
 EDGE, OTHER, SIZE = 0, 27, 28
 
@@ -59,6 +61,12 @@ def code(char: str) -> int:
     return n if 1 <= n <= 26 else EDGE if char == " " else OTHER
 
 
+def places(word: str) -> list[int]:
+    """Where the trigrams of a word are counted."""
+    c = [EDGE, EDGE, *map(code, word), EDGE]
+    return [(a * SIZE + b) * SIZE + x for a, b, x in zip(c, c[1:], c[2:])]
+
+
 class Channel:
     """Restores words under a character trigram model: log probabilities by two codes and the next."""
 
@@ -72,10 +80,12 @@ class Channel:
     def readings(self, word: str) -> list[list[tuple[str, float]]]:
         """Per character what it may stand for, ``""`` for nothing, each with its cost."""
         out = []
+        # A letter twice is ordinary spelling, unless the word repeats on.
+        long = REPEATED.search(word)
         for at, char in enumerate(word):
-            repeats = at > 0 and word[at - 1] == char
+            repeats = long and at > 0 and word[at - 1] == char
             if char == " ":
-                choices = [("", 0.0), (" ", 0.0)]
+                choices = [("", 0.0), (" ", KEEP)]
             elif char.isalpha():
                 choices = [(char, 0.0), ("", 0.0)] if repeats else [(char, 0.0)]
             else:
@@ -191,9 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
                 for word in text.decode(errors="replace").lower().split():
                     word = word.strip(EDGES)
                     if word.isalpha():
-                        c = [EDGE, EDGE, *map(code, word), EDGE]
-                        for i in range(len(c) - 2):
-                            total[(c[i] * SIZE + c[i + 1]) * SIZE + c[i + 2]] += 1
+                        for at in places(word):
+                            total[at] += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
@@ -214,7 +223,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
             for text, y in zip(common.raw_texts(batch), batch.column("y").to_pylist()):
                 words = channel.words(text.decode(errors="replace"), channel.word)
                 for before, word in zip(["", *words], words):
-                    found.update((t, before, y) for t in terms(word))
+                    # A word counts once for each word before it, a beginning for each whole word.
+                    found.update((t, before if t == word else word, y) for t in terms(word))
                     if len(found) >= MOST_TRIPLES:
                         yield flush()
         if found:
@@ -226,9 +236,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     yes_size, no_size = sizes.get(1) or 0, sizes.get(0) or 0
     if not yes_size or not no_size:
         return Model(trigrams, {}, 0.0, -math.inf)
-    weight = F.log((F.col("yes") + 0.5) / (F.col("no") + 0.5)) - math.log(yes_size / no_size)
+    weight = F.log((F.col("yes") + 0.5) / (F.col("no") + 1.5)) - math.log(yes_size / no_size)
     strong = odds.where(F.col("yes") >= LEAST_CONTEXTS).withColumn("w", weight).where(F.col("w") >= LEAST_WEIGHT)
     kept = strong.orderBy(F.desc("yes"), "term").limit(MOST_TERMS).collect()
+    # The model of characters knows the learnt words too, with a hundredth of its weight, so
+    # that of two readings of a disguised word the learnt one is the likelier.
+    learnt = [r["term"] for r in kept if not r["term"].endswith("+")]
+    share = -(-int(trigrams.sum()) // (100 * max(sum(len(w) + 1 for w in learnt), 1)))
+    for word in learnt:
+        for at in places(word):
+            trigrams[at] += share
     model = Model(trigrams, {r["term"]: r["w"] for r in kept})
     fitted = _evidence(rows.select("y", "text"), "y", "int", model).collect()
     model.slope, model.base = logistic(

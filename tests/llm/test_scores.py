@@ -124,11 +124,14 @@ def test_language_model_of_nothing(none, odd):
 
 
 def test_toxic_held_out(spark, sf):
-    big = sf.replace("sf0.001", "sf0.01")
+    """Some labels are wrong: a few toxic texts have no word of their own."""
+    big = sf.replace("sf0.001", "sf0.1")
     docs, labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
     scored = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels, "doc_id")
     rows = scored.where(common.crc_mod(F.col("doc_id"), 4) == 2).select("score", "toxic").collect()
-    assert sum((r["score"] >= 0.3) == bool(r["toxic"]) for r in rows) >= 0.95 * len(rows)
+    assert sum((r["score"] >= 0.3) == bool(r["toxic"]) for r in rows) >= 0.98 * len(rows)
+    clean = [r["score"] for r in rows if not r["toxic"]]
+    assert sum(s >= 0.3 for s in clean) <= 0.005 * len(clean)
 
 
 @pytest.fixture(scope="module")
@@ -142,7 +145,7 @@ def model():
     return toxicity.Model(counts, {"idiot": 5.0, "stupid": 5.0}, 1.0, -3.0)
 
 
-@pytest.mark.parametrize("word", ["1d1ot", "idi0t", "iiidiiiooot", "i.d.i.o.t", "i-d_i*o.t", "IDIOT!!", "id|ot", "iiddiioott"])
+@pytest.mark.parametrize("word", ["1d10t", "1d1ot", "idi0t", "iiidiiiooot", "i.d.i.o.t", "i-d_i*o.t", "IDIOT!!", "id|ot", "iiddiioott"])
 def test_disguised_words_are_restored(model, word):
     assert toxicity.Channel(model.trigrams).word(word.lower()) == "idiot"
 
