@@ -21,7 +21,7 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     with very many links is reduced by partial minima; its join is split by adaptive execution.
     Null ends and loops are left out; an empty table has no components.
     """
-    links = links.where("a <> b").select("a", "b")
+    links = common.stage(links.where("a <> b").select("a", "b"), "links")
     before = None
     for _ in range(most_rounds):
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
