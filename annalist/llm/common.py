@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -20,10 +21,14 @@ from annalist.sources import shared
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 
 # Rows of text handled at once by a task; keeps memory flat when texts are long.
-TEXT_BYTES = 8_000_000
+TEXT_BYTES = 4_000_000
 
 _shipped: set[str] = set()
 
+# What a worker keeps from task to task, and how to let go of it. Workers outlive stages, so
+# the next operator that runs in one frees what the last has kept.
+KEPT: dict[str, Callable[[], None]] = {}
+
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the Python workers of every executor."""
@@ -65,8 +70,11 @@ def crc_mod(key: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % modulus
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", keep: str = "") -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about ``TEXT_BYTES`` of text (one row at least)."""
+    for name, free in KEPT.items():
+        if name != keep:
+            free()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -79,6 +87,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             stop = max(stop, start + 1)
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Return what a task has freed to the system, since its worker lives on beside others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

@@ -41,7 +41,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 1, keep
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WordIds.of(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, keep="tokens"):
             rows: list[int] = []
             numbers, starts, lengths, sums, kept = [], [], [], [], []
             for row, data in enumerate(encode.documents(common.raw_texts(batch))):

@@ -37,7 +37,7 @@ from annalist.llm import common, hashing
 WINDOW = 35
 PHRASE = 8
 #: Bytes of text in one bucket, about.
-BUCKET_BYTES = 6_000_000
+BUCKET_BYTES = 4_000_000
 
 
 def least_places(values: np.ndarray, width: int) -> np.ndarray:
@@ -279,6 +279,8 @@ def remove_repeats(docs: DataFrame, output: str = "digest", window: int = WINDOW
         row = left.column("row").combine_chunks()
         row = row if isinstance(row, pa.Array) else pa.concat_arrays(row.chunks)
         columns = list(zip(*done)) or [()] * (len(schema) - 1)
+        del split, passages, keeps, texts
+        common.give_back()
         return pa.Table.from_batches([_table([row, *map(list, columns)], schema)])
 
     located = dealt.select("bucket", "row", "text").groupBy("bucket").cogroup(sent.groupBy("shard")).applyInArrow(locate, final)
