@@ -10,9 +10,12 @@ import os
 import re
 import unicodedata
 from array import array
+from itertools import chain, filterfalse
 
 import numpy as np
 
+from annalist.llm import common
+
 def _byte_letters() -> list[str]:
     """The printable letter that stands for each byte in a byte-level vocabulary."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -24,6 +27,7 @@ def _byte_letters() -> list[str]:
 LETTERS = _byte_letters()
 
 _known: dict[str, "WordIds"] = {}
+common.KEPT["tokens"] = _known.clear
 
 # A letter run and the signs that close it are cut apart by the tokenizer's own pattern.
 TAIL = re.compile(rb"(.*[a-z])([.,;:!?*%$&#|]+)$", re.DOTALL)
@@ -33,7 +37,7 @@ class WordIds:
     """Ids of words as little-endian unsigned 32-bit bytes, looked up or encoded on first sight."""
 
     # Words remembered by a worker: a matter of speed and memory only.
-    MOST_WORDS = 600_000
+    MOST_WORDS = 700_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,7 +55,7 @@ class WordIds:
         return _known[path]
 
     def learn(self, fresh: list[bytes]) -> None:
-        parts = [(w, TAIL.match(w)) for w in fresh]
+        parts = [(w, None if w.isalpha() else TAIL.match(w)) for w in fresh]
         cores = {x for w, m in parts for x in (m.groups() if m else (w,))}
         tokenize, other = self.tokenizer.model.tokenize, []
         for core in cores:
@@ -59,6 +63,9 @@ class WordIds:
                 continue
             # A word of lower-case letters alone is one run of the tokenizer's pattern and
             # already in its normal form, so its merges can be applied to it at once.
+            if core.isalpha():
+                self.words[core] = array("I", [x.id for x in tokenize(core.decode())]).tobytes()
+                continue
             word = core.decode(errors="replace")
             if not word.isalpha() or word.lower() != word or not unicodedata.is_normalized("NFC", word):
                 other.append((core, word))
@@ -76,9 +83,11 @@ class WordIds:
     def documents(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text. A-Z are lowered first, as the tokenizer does by itself."""
         split = [t.lower().split() for t in texts]
-        fresh = set().union(*split)
+        words = chain.from_iterable(split)
+        fresh = set(filterfalse(self.words.__contains__, words))
         if len(self.words) + len(fresh) > self.MOST_WORDS:
             self.words.clear()
-        self.learn([w for w in fresh if w not in self.words])
+            fresh = set().union(*split)
+        self.learn(list(fresh))
         find = self.words.__getitem__
         return [b"".join(map(find, words)) for words in split]

@@ -107,7 +107,7 @@ def stream(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
             scalars = [pa.array([part], pa.int32()), pa.array([first]), pa.array([sequences], pa.int32()), pa.array([ids.tobytes()])]
             return pa.RecordBatch.from_arrays([*scalars, *lists], ["part", "first", "sequences", "ids", "doc_id", "start", "at", "count"])
 
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, keep="tokens"):
             kind = batch.column("doc_id").type
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), encode.documents(common.raw_texts(batch))):
                 ids = np.frombuffer(data + end, "<u4").astype("<u2")
@@ -152,7 +152,7 @@ def materialise(docs: DataFrame, tokenizer: str, key: int = 1, length: int = LEN
     common.publish(f"{path}/order.json", json.dumps(asdict(order)).encode())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=1)
+        packer = zstandard.ZstdCompressor(level=3)
         numbers, ids, held = [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -163,11 +163,9 @@ def materialise(docs: DataFrame, tokenizer: str, key: int = 1, length: int = LEN
             out: list[list] = [[], [], []]
             for a, b in zip(cuts, cuts[1:]):
                 pick = by[a:b]
-                # Low and high bytes apart compress better.
-                planes = np.ascontiguousarray(data[pick].view(np.uint8).reshape(-1, 2).T)
                 out[0].append(int(shards[a]))
                 out[1].append((slots[pick] % per_shard).astype("<i4").tobytes())
-                out[2].append(packer.compress(planes.tobytes()))
+                out[2].append(packer.compress(data[pick].tobytes()))
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *map(pa.array, out[1:])], ["shard", "rows", "ids"])
 
         for batch in batches:
@@ -187,8 +185,7 @@ def materialise(docs: DataFrame, tokenizer: str, key: int = 1, length: int = LEN
         out = np.zeros((size, length), "<u2")
         unpack = zstandard.ZstdDecompressor()
         for at, data in zip(table.column("rows").to_pylist(), table.column("ids").to_pylist()):
-            planes = np.frombuffer(unpack.decompress(data), np.uint8).reshape(2, -1)
-            out[np.frombuffer(at, "<i4")] = np.ascontiguousarray(planes.T).view("<u2").reshape(-1, length)
+            out[np.frombuffer(at, "<i4")] = np.frombuffer(unpack.decompress(data), "<u2").reshape(-1, length)
         data = out.tobytes()
         common.publish(order.file(shard), data)
         return pa.table({"shard": [shard], "shard_crc32": [zlib.crc32(data)]})
