@@ -29,7 +29,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from annalist.llm import common
 from annalist.llm.components import components
@@ -228,15 +228,23 @@ def near_duplicates(docs: DataFrame, size: int = 4, distance: int = DISTANCE) ->
 MOST_DROPPED = 2_000_000
 
 
+def marks() -> list[Column]:
+    """Two hashes of id and text that tell rows apart."""
+    return [F.xxhash64("doc_id", "text").alias("_m1"), F.xxhash64("text", "doc_id").alias("_m2")]
+
+
 def drop_near_duplicates(docs: DataFrame, size: int = 4, distance: int = DISTANCE) -> DataFrame:
     """One row of each group, with all its columns: that of the least id, null last.
 
     Rows are told apart by two hashes of id and text; of rows equal in both, one stays.
     """
-    marks = [F.xxhash64("doc_id", "text").alias("_m1"), F.xxhash64("text", "doc_id").alias("_m2")]
-    keyed = docs.select("doc_id", "text", F.struct(*marks).alias("mark"))
+    keyed = docs.select("doc_id", "text", F.struct(*marks()).alias("mark"))
     rows = common.stage(_marked(keyed, size), "fingerprints")
-    named = _rooted(rows, distance).select("fp", "root")
+    return keep_first(docs, rows, _rooted(rows, distance).select("fp", "root"))
+
+
+def keep_first(docs: DataFrame, rows: DataFrame, named: DataFrame) -> DataFrame:
+    """The first row of each group, from ``doc_id, mark, fp`` of every row and ``fp, root``."""
     ranked = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
     first = rows.groupBy("fp").agg(F.min(ranked).alias("first"), F.count("*").alias("n"))
     best = first.join(named, "fp").groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("n"))
@@ -246,7 +254,7 @@ def drop_near_duplicates(docs: DataFrame, size: int = 4, distance: int = DISTANC
     twice = members.where("mark = kept").groupBy("mark").count().where("count > 1").select("mark._m1", "mark._m2")
     twice = common.stage(twice, "near-twice")
     spark, names = docs.sparkSession, [docs[c] for c in docs.columns]
-    left = docs.select(F.struct(*names).alias("row"), *marks)
+    left = docs.select(F.struct(*names).alias("row"), *marks())
     left = left.join(common.by_size(spark, dropped, MOST_DROPPED), ["_m1", "_m2"], "left_anti")
     if twice.count():
         twice = common.by_size(spark, twice, MOST_DROPPED)
