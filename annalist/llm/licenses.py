@@ -1,8 +1,8 @@
 """License notices in documents, by conditional compression.
 
 A block of text that holds a cue is compressed alone and with each template as a raw zstandard
-dictionary. What a template saves ranks the templates; the best are confirmed by the exact
-differences in wording, so a notice of another version or another license is not taken for
+dictionary. What a template saves ranks the templates; all that save enough are confirmed by the
+exact differences in wording, punctuation at the edges of words aside, so a notice of another version or another license is not taken for
 the template's. Blocks are the sentence, the line and the paragraph around a cue. Every
 template holds a cue, so no notice is passed over.
 
@@ -13,8 +13,8 @@ table gives no rows; other columns are left out.
 
 from __future__ import annotations
 
-import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -70,32 +70,59 @@ CUE = re.compile(rb"licen[sc]e|permission is hereby granted|redistribution and u
 SENTENCE_END = re.compile(r"(?<=[.!?:])\s+(?=[A-Z(])")
 #: Share of the compressed size that a template must save to be looked at.
 LEAST_SAVED = 0.3
-#: Templates of a block whose wording is compared.
-RANKED = 3
-#: Share of a template's words that may differ; words with digits never may.
+#: Share of a template's words that may differ; words with digits or names of licenses never may.
 MOST_DIFFERENT = 0.1
+EDGES = ".,;:?!()[]{}\"'`«»“”’‘…*_|<>/\\"
+SPELT = {"licence": "license", "licences": "licenses", "licenced": "licensed"}
+NAMES = frozenset(
+    "mit apache mozilla bsd gnu lesser affero library cc cc0 creative commons sa nc nd"
+    " sharealike noncommercial noderivatives noderivs".split()
+)
 
 
 def plain(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def differences(block: list[str], template: list[str]) -> tuple[int, bool]:
-    """Words of the template that the block lacks or replaces or puts between, and whether one is a number.
+def wording(text: str) -> list[str]:
+    """Lower-case words without the punctuation at their edges."""
+    return [SPELT.get(w, w) for w in (x.strip(EDGES) for x in text.lower().split()) if w]
+
+
+def telling(word: str) -> bool:
+    """Whether a word tells licenses or their versions apart."""
+    return any(c.isdigit() for c in word) or not NAMES.isdisjoint(word.split("-"))
+
+
+def differences(block: list[str], template: list[str]) -> tuple[int, int, int] | None:
+    """The least number of words of the template that the block lacks, replaces or puts between, and from
+    and to which word of the block; nothing if telling words would have to differ or too many do.
 
     Words before and after the notice do not count.
     """
-    steps = difflib.SequenceMatcher(None, template, block, autojunk=False).get_opcodes()
-    while steps and steps[0][0] == "insert":
-        steps = steps[1:]
-    while steps and steps[-1][0] == "insert":
-        steps = steps[:-1]
-    count, number = 0, False
-    for kind, a, b, c, d in steps:
-        if kind != "equal":
-            count += max(b - a, d - c)
-            number |= any(ch.isdigit() for w in template[a:b] + block[c:d] for ch in w)
-    return count, number
+    most = int(MOST_DIFFERENT * len(template))
+    lacking = Counter(template) - Counter(block)
+    if lacking.total() > most or any(map(telling, lacking)):
+        return None
+    never = most + 1
+    cost = [never if telling(w) else 1 for w in block]
+    # Least cost of the template's beginning that ends at each word of the block, and where it starts.
+    row, start = [0] * (len(block) + 1), list(range(len(block) + 1))
+    for word in template:
+        own = never if telling(word) else 1
+        new, begin = [row[0] + own], [0]
+        for j, other in enumerate(block):
+            ways = (
+                (row[j] + (0 if word == other else max(own, cost[j])), -start[j]),
+                (row[j + 1] + own, -start[j + 1]),
+                (new[j] + cost[j], -begin[j]),
+            )
+            least, at = min(ways)
+            new.append(least)
+            begin.append(-at)
+        row, start = new, begin
+    count, end = min((n, j) for j, n in enumerate(row))
+    return (count, start[end], end) if count <= most else None
 
 
 class Scanner:
@@ -111,7 +138,7 @@ class Scanner:
                 if not CUE.search(text.encode()):
                     raise ValueError(f"no cue in a template of {name}")
                 data = zstandard.ZstdCompressionDict(plain(text).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                words = plain(text).split()
+                words = wording(text)
                 self.given.append((name, words, zstandard.ZstdCompressor(level=3, dict_data=data)))
 
     def blocks(self, text: str) -> list[str]:
@@ -140,17 +167,17 @@ class Scanner:
                 saved = 1 - len(given.compress(data)) / size
                 if saved >= LEAST_SAVED:
                     ranked.append((saved, -number))
-            words = plain(block).split()
-            for saved, number in sorted(ranked, reverse=True)[:RANKED]:
+            words = wording(block)
+            for saved, number in sorted(ranked, reverse=True):
                 name, template, _ = self.given[-number]
-                count, digits = differences(words, template)
-                if digits or count > MOST_DIFFERENT * len(template):
+                steps = differences(words, template)
+                if steps is None:
                     continue
+                count = steps[0]
                 found = (saved, -count, -len(block), block)
                 old = best.get(name)
                 if old is None or found[:3] > (old[0], -old[1], -len(old[3])):
                     best[name] = (saved, count, text.count(block), block)
-                break
         return best
 
 
