@@ -1,10 +1,11 @@
 """License notices in documents, by conditional compression.
 
-A block of text that holds a cue is compressed alone and with each template as a raw zstandard
-dictionary. What a template saves ranks the templates; all that save enough are confirmed by the
-exact differences in wording, punctuation at the edges of words aside, so a notice of another version or another license is not taken for
-the template's. Blocks are the sentence, the line and the paragraph around a cue. Every
-template holds a cue, so no notice is passed over.
+The words around each cue, as many as a template has on both sides, are compressed alone and with
+the template as a raw zstandard dictionary, whatever lines and sentences they stand in. A template
+that saves enough of its own compressed size is confirmed by the exact differences in wording,
+punctuation at the edges of words aside, so a notice of another version or another license is not
+taken for the template's. Every template holds a cue, so no notice is passed over. The block of a
+row is the notice's sentence, or else the lines it stands on.
 
 Defined cases: null text is empty; a text without a cue gives no rows; a notice that a text
 repeats gives one row with its number of occurrences; equal rows each give theirs; an empty
@@ -14,6 +15,7 @@ table gives no rows; other columns are left out.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -67,8 +69,10 @@ TEMPLATES: dict[str, list[str]] = {
     "CC0-1.0": ["Released under the CC0 1.0 Universal license."],
 }
 CUE = re.compile(rb"licen[sc]e|permission is hereby granted|redistribution and use", re.IGNORECASE)
+CUE_TEXT = re.compile(CUE.pattern.decode(), re.IGNORECASE)
+PARAGRAPH_END = re.compile(r"\n\s*\n")
 SENTENCE_END = re.compile(r"(?<=[.!?:])\s+(?=[A-Z(])")
-#: Share of the compressed size that a template must save to be looked at.
+#: Share of its own compressed size that a template must save to be compared in wording.
 LEAST_SAVED = 0.3
 #: Share of a template's words that may differ; words with digits or names of licenses never may.
 MOST_DIFFERENT = 0.1
@@ -80,10 +84,6 @@ NAMES = frozenset(
 )
 
 
-def plain(text: str) -> str:
-    return " ".join(text.lower().split())
-
-
 def wording(text: str) -> list[str]:
     """Lower-case words without the punctuation at their edges."""
     return [SPELT.get(w, w) for w in (x.strip(EDGES) for x in text.lower().split()) if w]
@@ -94,16 +94,21 @@ def telling(word: str) -> bool:
     return any(c.isdigit() for c in word) or not NAMES.isdisjoint(word.split("-"))
 
 
+def possible(block: list[str], template: list[str]) -> bool:
+    """Whether the words that a block lacks leave a chance that it holds the template."""
+    lacking = Counter(template) - Counter(block)
+    return lacking.total() <= MOST_DIFFERENT * len(template) and not any(map(telling, lacking))
+
+
 def differences(block: list[str], template: list[str]) -> tuple[int, int, int] | None:
     """The least number of words of the template that the block lacks, replaces or puts between, and from
     and to which word of the block; nothing if telling words would have to differ or too many do.
 
     Words before and after the notice do not count.
     """
-    most = int(MOST_DIFFERENT * len(template))
-    lacking = Counter(template) - Counter(block)
-    if lacking.total() > most or any(map(telling, lacking)):
+    if not possible(block, template):
         return None
+    most = int(MOST_DIFFERENT * len(template))
     never = most + 1
     cost = [never if telling(w) else 1 for w in block]
     # Least cost of the template's beginning that ends at each word of the block, and where it starts.
@@ -137,49 +142,73 @@ class Scanner:
             for text in texts:
                 if not CUE.search(text.encode()):
                     raise ValueError(f"no cue in a template of {name}")
-                data = zstandard.ZstdCompressionDict(plain(text).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 words = wording(text)
-                self.given.append((name, words, zstandard.ZstdCompressor(level=3, dict_data=data)))
-
-    def blocks(self, text: str) -> list[str]:
-        """Distinct sentences, lines and paragraphs around cues."""
-        found: dict[str, None] = {}
-        for paragraph in re.split(r"\n\s*\n", text):
-            if not CUE.search(paragraph.encode()):
-                continue
-            lines = [x for x in paragraph.split("\n") if x.strip()]
-            held = [i for i, x in enumerate(lines) if CUE.search(x.encode())]
-            for i in held:
-                found.update((x, None) for x in SENTENCE_END.split(lines[i]) if CUE.search(x.encode()))
-                found[lines[i]] = None
-                # A notice may be broken over lines: those from the one before its cue on.
-                found["\n".join(lines[max(i - 1, 0) : i + 12])] = None
-        return list(found)
+                data = " ".join(words).encode()
+                own = len(self.alone.compress(data))
+                data = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                self.given.append((name, words, zstandard.ZstdCompressor(level=3, dict_data=data), own))
+
+    def saved(self, number: int, data: bytes, alone: dict[bytes, int]) -> float:
+        """Bytes of a span that a template saves, as a share of the template's own compressed size."""
+        if data not in alone:
+            alone[data] = len(self.alone.compress(data))
+        _, _, given, own = self.given[number]
+        return (alone[data] - len(given.compress(data))) / own
 
     def scan(self, text: str) -> dict[str, tuple[float, int, int, str]]:
         """Per license the share saved, words that differ, occurrences of the block, and the block."""
         best: dict[str, tuple[float, int, int, str]] = {}
-        for block in self.blocks(text):
-            data = plain(block).encode()
-            size = len(self.alone.compress(data))
-            ranked = []
-            for number, (_, _, given) in enumerate(self.given):
-                saved = 1 - len(given.compress(data)) / size
-                if saved >= LEAST_SAVED:
-                    ranked.append((saved, -number))
-            words = wording(block)
-            for saved, number in sorted(ranked, reverse=True):
-                name, template, _ = self.given[-number]
-                steps = differences(words, template)
-                if steps is None:
-                    continue
-                count = steps[0]
-                found = (saved, -count, -len(block), block)
-                old = best.get(name)
-                if old is None or found[:3] > (old[0], -old[1], -len(old[3])):
-                    best[name] = (saved, count, text.count(block), block)
+        breaks = [(0, 0), *(m.span() for m in PARAGRAPH_END.finditer(text)), (len(text), 0)]
+        for (_, offset), (stop, _) in zip(breaks, breaks[1:]):
+            paragraph = text[offset:stop]
+            if not CUE_TEXT.search(paragraph):
+                continue
+            words, places = [], []
+            for found in re.finditer(r"\S+", paragraph):
+                for word in wording(found[0]):
+                    words.append(word)
+                    places.append((offset + found.start(), offset + found.end()))
+            cues = self.cues(paragraph, offset, places)
+            alone: dict[bytes, int] = {}
+            for number, (name, template, _, _) in enumerate(self.given):
+                reach = len(template) + int(MOST_DIFFERENT * len(template)) + 1
+                last = None
+                for cue in cues:
+                    begin, end = max(cue - reach, 0), cue + reach
+                    span = words[begin:end]
+                    if span == last or not possible(span, template):
+                        continue
+                    last = span
+                    saved = self.saved(number, " ".join(span).encode(), alone)
+                    steps = differences(span, template) if saved >= LEAST_SAVED else None
+                    if steps is None:
+                        continue
+                    count, a, b = steps
+                    block = around(text, places[begin + a][0], places[begin + b - 1][1])
+                    old = best.get(name)
+                    if old is None or (saved, -count, -len(block)) > (old[0], -old[1], -len(old[3])):
+                        best[name] = (saved, count, text.count(block), block)
         return best
 
+    @staticmethod
+    def cues(paragraph: str, offset: int, places: list[tuple[int, int]]) -> list[int]:
+        """The words at which cues of a paragraph begin."""
+        starts = [a for a, _ in places]
+        return sorted({max(bisect_right(starts, offset + m.start()) - 1, 0) for m in CUE_TEXT.finditer(paragraph)})
+
+
+def around(text: str, start: int, end: int) -> str:
+    """The sentence of a notice, or else the lines it stands on."""
+    first, last = text.rfind("\n", 0, start) + 1, text.find("\n", end)
+    block = text[first : last if last >= 0 else len(text)]
+    at = first
+    for sentence in SENTENCE_END.split(block):
+        at = text.index(sentence, at)
+        if at <= start and end <= at + len(sentence):
+            return sentence
+        at += len(sentence)
+    return block
+
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     """``doc_id, license, saved, different_words, occurrences, block`` for each license in each row."""

@@ -19,3 +19,31 @@ WORDED = [
 @pytest.mark.parametrize("text, want", WORDED)
 def test_wording(text, want):
     assert set(licenses.Scanner().scan(text)) == want
+
+
+GPL = [t for t in licenses.TEMPLATES["GPL-3.0"] if t.startswith("This program")][0]
+
+EMBEDDED = [
+    ("Home | About | Contact | Imprint | Privacy | Terms | Newsletter | Jobs | Press | Released under the MIT License.", "MIT"),
+    ("All of the figures and the tables of this page, unless stated otherwise, are licensed under CC BY 4.0.", "CC-BY-4.0"),
+    ("Some first words of a paragraph that goes on for a while and is released\nunder the MIT\nLicense. More words follow here,\nand more.", "MIT"),
+    ("\n".join(" ".join(GPL.split()[i : i + 4]) for i in range(0, len(GPL.split()), 4)), "GPL-3.0"),
+    ("word " * 300 + "licensed under the Apache License, Version 2.0, " + "other " * 300, "Apache-2.0"),
+]
+
+
+@pytest.mark.parametrize("text, want", EMBEDDED)
+def test_embedded_and_wrapped(text, want):
+    found = licenses.Scanner().scan(text)
+    assert set(found) == {want} and found[want][2] == 1 and found[want][3] in text
+
+
+def test_templates_with_all_differences_allowed_save_enough():
+    scanner = licenses.Scanner()
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            words, left = text.split(), int(licenses.MOST_DIFFERENT * len(text.split()))
+            plain = [i for i, w in enumerate(words) if i > 3 and not licenses.CUE.search(w.encode()) and not licenses.telling(w.strip('.,()"').lower())]
+            for i in plain[:: max(len(plain) // left, 1)][:left] if left else []:
+                words[i] = "other"
+            assert name in scanner.scan("Before it. " + " ".join(words) + " After it.")
