@@ -2,8 +2,11 @@
 
 A writer's word passes a channel that swaps letters for look-alikes (``1d10t``), repeats letters
 (``idiooot``) and puts separators between them (``i d i o t``, ``i.d.i.o.t``). The readings of a
-disguised word form a lattice over characters; the Viterbi path under a character trigram model
-is the restored word. A word of letters alone without long repeats has one reading, itself.
+disguised word form a lattice over characters: a sign is a letter or left out, a repeated letter
+is kept or left out, each at a cost. The Viterbi path under a character trigram model is the
+restored word; scores also look at the paths that leave out or keep as much as they can. A word
+of letters alone without repeats has one reading, itself, and digits without a letter or another
+sign are a number.
 
 The terms that mark toxic text are learned from a bounded sample of labelled rows: whole words
 after different words, and word beginnings by the different words they open, weighed by their
@@ -45,11 +48,18 @@ LOOKS = {
     "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
 }
 EDGES = ".,;:?!()[]{}\"'`«»“”’…-_*&%#~^=/\\<>"
+#: Signs at the edges of a word that stand for no letter.
+BARE_EDGES = "".join(c for c in EDGES if c not in LOOKS)
+CURRENCY = "$€£"
 SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
 REPEATED = re.compile(r"(.)\1\1|(.)\2(.)\3", re.DOTALL)
-SIGN_RUN = re.compile(r"([^\w\s])\1+")
+DOUBLED = re.compile(r"(.)\1", re.DOTALL)
 # Cost of reading a sign as a letter.
 SWAP = 0.5
+# Cost of leaving out a repeated letter or a sign that may be one; the readings of a disguised
+# word that scores look at are those of this cost, of none and of the highest.
+DROP = 1.5
+MOST_DROP = 6.0
 # Cost of taking a space between single letters for one between words.
 KEEP = 4.0
 
@@ -67,6 +77,13 @@ def places(word: str) -> list[int]:
     return [(a * SIZE + b) * SIZE + x for a, b, x in zip(c, c[1:], c[2:])]
 
 
+def legible(word: str) -> bool:
+    """Whether a word has a letter, or a sign that may be one and is no part of a number or a price."""
+    if any(x.isalpha() for x in word):
+        return True
+    return any(x in LOOKS and not x.isdigit() for x in word.strip("!(+").lstrip(CURRENCY))
+
+
 class Channel:
     """Restores words under a character trigram model: log probabilities by two codes and the next."""
 
@@ -77,29 +94,29 @@ class Channel:
         seen = counts.sum(2, keepdims=True)
         self.lm = np.log((counts + 5.0 * backoff[None]) / (seen + 5.0)).ravel().tolist()
 
-    def readings(self, word: str) -> list[list[tuple[str, float]]]:
+    def readings(self, word: str, drop: float = DROP) -> list[list[tuple[str, float]]]:
         """Per character what it may stand for, ``""`` for nothing, each with its cost."""
         out = []
-        # A letter twice is ordinary spelling, unless the word repeats on.
-        long = REPEATED.search(word)
         for at, char in enumerate(word):
-            repeats = long and at > 0 and word[at - 1] == char
+            repeats = at > 0 and word[at - 1] == char
             if char == " ":
                 choices = [("", 0.0), (" ", KEEP)]
             elif char.isalpha():
-                choices = [(char, 0.0), ("", 0.0)] if repeats else [(char, 0.0)]
+                choices = [(char, 0.0), ("", drop)] if repeats else [(char, 0.0)]
             else:
                 choices = [(x, SWAP) for x in LOOKS.get(char, "")]
-                if repeats or not choices:
+                if not choices:
                     choices.append(("", 0.0))
+                elif repeats or not char.isdigit():
+                    choices.append(("", drop))
             out.append(choices)
         return out
 
-    def viterbi(self, word: str) -> str:
+    def viterbi(self, word: str, drop: float = DROP) -> str:
         """The likeliest reading of a word or of spaced letters."""
         lm = self.lm
         paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}
-        for choices in [*self.readings(word), [(" ", 0.0)]]:
+        for choices in [*self.readings(word, drop), [(" ", 0.0)]]:
             new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, path) in paths.items():
                 for char, cost in choices:
@@ -109,7 +126,7 @@ class Channel:
                         if c == EDGE:
                             state = (EDGE, EDGE)
                     else:
-                        state, value, way = (a, b), score, path
+                        state, value, way = (a, b), score - cost, path
                     if state not in new or value > new[state][0]:
                         new[state] = (value, way)
             paths = new
@@ -122,12 +139,26 @@ class Channel:
 
     def word(self, word: str) -> str:
         """A lower-case word restored; words with one reading stay as they are."""
-        word = SIGN_RUN.sub("", word).strip(EDGES)
-        if word.isalpha():
-            return self.viterbi(word) if REPEATED.search(word) else word
-        if not word or not any(x.isalpha() for x in word):
-            return word
-        return self.viterbi(word)
+        core = word.strip(EDGES)
+        if core.isalpha() and not self.leads(word, core):
+            return self.viterbi(core) if REPEATED.search(core) else core
+        whole = word.strip(BARE_EDGES)
+        if not legible(whole):
+            return core
+        return self.viterbi(whole)
+
+    @staticmethod
+    def leads(word: str, core: str) -> bool:
+        """Whether a sign other than a bracket that may be a letter stands before a word."""
+        return any(c in LOOKS and c != "(" for c in word[: word.index(core)])
+
+    def forms(self, word: str) -> list[str]:
+        """The readings of a lower-case word: restored, with all that may go left out, with all kept."""
+        first = self.word(word)
+        whole = word.strip(BARE_EDGES)
+        if (whole.isalpha() and not DOUBLED.search(whole)) or not legible(whole):
+            return [first]
+        return list(dict.fromkeys([first, self.viterbi(whole, 0.0), self.viterbi(whole, MOST_DROP)]))
 
     def words(self, text: str, one) -> list:
         """``one`` of every restored word of a text, spaced letters put together first."""
@@ -169,8 +200,8 @@ class Scorer:
         if value is None:
             if len(self.known) >= MOST_WORDS:
                 self.known.clear()
-            restored = self.channel.word(word)
-            value = max((self.model.weights.get(t, 0.0) for t in terms(restored)), default=0.0)
+            forms = self.channel.forms(word)
+            value = max((self.model.weights.get(t, 0.0) for form in forms for t in terms(form)), default=0.0)
             self.known[word] = value
         return value
 
