@@ -8,7 +8,7 @@ restored word; scores also look at the paths that leave out or keep as much as t
 of letters alone without repeats has one reading, itself, and digits without a letter or another
 sign are a number.
 
-The terms that mark toxic text are learned from a bounded sample of labelled rows: whole words
+The character model counts the words of all documents. The terms that mark toxic text are learned from a bounded sample of labelled rows: whole words
 after different words, and word beginnings by the different words they open, weighed by their
 odds, so that copies of a text count once. A document's evidence is calibrated by a logistic curve.
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -228,17 +229,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SIZE**3, np.int64)
         for batch in common.slices(batches):
+            words: Counter[str] = Counter()
             for text in common.raw_texts(batch):
-                for word in text.decode(errors="replace").lower().split():
-                    word = word.strip(EDGES)
-                    if word.isalpha():
-                        for at in places(word):
-                            total[at] += 1
+                words.update(text.decode(errors="replace").lower().split())
+            for word, n in words.items():
+                word = word.strip(EDGES)
+                if word.isalpha():
+                    for at in places(word):
+                        total[at] += n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
     trigrams = np.zeros(SIZE**3, np.int64)
-    for row in rows.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+    for row in common.text_column(docs).select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         trigrams[row["at"]] = row["n"]
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,3 +27,13 @@ def test_disguises_keep_their_term(scorer, word):
 @pytest.mark.parametrize("word", ["hidden", "people!", "(house)", "455", "$455", "$1,000", "45!", "12:30", "100+", "(4)", "", "!!", "will", "see..."])
 def test_plain_words_and_numbers_have_none(scorer, word):
     assert scorer.weight(word) == 0.0
+
+
+def test_characters_of_unlabelled_rows_count(spark):
+    docs = spark.createDataFrame([(1, "plain text"), (2, "zyzzyva"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    trigrams = toxicity.fit(docs, labels).trigrams
+    want = np.zeros_like(trigrams)
+    for word in ("plain", "text", "zyzzyva"):
+        np.add.at(want, toxicity.places(word), 1)
+    assert trigrams.tolist() == want.tolist()
