@@ -1,13 +1,15 @@
 """Code, comment and blank lines per language."""
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalist import schemas
+from annalist.operators import syntax
 from annalist.operators.sections import file_ext
-from annalist.sources import manifest as manifests
+from annalist.sources import manifest as manifests, workers
 
 # Extension or whole file name in lower case, language name, line-comment
 # prefixes, and whether every line of text counts as a comment.
@@ -46,7 +48,6 @@ LANGUAGES = tuple(
     )
     for pair in pairs.split()
 )
-BLANKS = " \t\r\f\v"
 
 
 def count_lines(
@@ -60,44 +61,56 @@ def count_lines(
     language name, as in the ``snapshot`` table. The whole file name decides before the
     extension does, both in lower case. Files of no listed language are skipped, unless
     ``other_prefixes`` gives comment prefixes for them; then each unlisted extension counts as
-    a language of that name. ``skipped_files`` counts what is left out. Comments are recognised by their line prefix alone.
+    a language of that name. ``skipped_files`` counts what is left out. Line, block and nested
+    block comments are followed, and markers inside strings are none; see ``syntax``.
 
     The language is looked up in a constant, so the texts are neither joined nor shuffled.
-    Lines are counted inside the row of their file, and only totals reach the aggregation.
+    Lines are counted inside the row of their file, in batches, and only totals reach the
+    aggregation.
     """
 
+    spark = sources.sparkSession
+    workers.ship(spark)
     known = (
         sources.filter(F.col("text") != "")
         .select("repo_name", F.lower(file_ext("path")).alias("__ext"), _name().alias("__name"), "text")
         .select("repo_name", _language(languages, other_prefixes).alias("__language"), "text")
         .filter(F.col("__language").isNotNull())
+        .select("repo_name", "__language.language", "__language.prefixes", "__language.prose", "text")
     )
-    # The line break that ends a file starts no further line.
-    body = F.regexp_replace("text", r"\n\z", "")
-    lines = F.transform(F.split(body, "\n"), lambda line: F.btrim(line, F.lit(BLANKS)))
-    prefixes, prose = F.col("__language.prefixes"), F.col("__language.prose")
-    blank = F.size(F.filter("__lines", lambda line: line == ""))
-    comment = F.size(
-        F.filter(
-            "__lines",
-            lambda line: (line != "")
-            & (prose | F.exists(prefixes, lambda prefix: line.startswith(prefix))),
-        )
-    )
-    per_file = known.select("repo_name", "__language", lines.alias("__lines")).select(
-        "repo_name",
-        F.lower("__language.language").alias("ext"),
-        F.size("__lines").alias("__all"),
-        comment.alias("__comments"),
-        blank.alias("__blanks"),
-    )
+    per_file = known.mapInArrow(_counted, "repo_name string, ext string, lines long, comments long, blanks long")
     return per_file.groupBy("repo_name", "ext").agg(
-        F.sum(F.col("__all") - F.col("__comments") - F.col("__blanks")).alias("code"),
-        F.sum("__comments").alias("comments"),
-        F.sum("__blanks").alias("blanks"),
+        F.sum(F.col("lines") - F.col("comments") - F.col("blanks")).alias("code"),
+        F.sum("comments").alias("comments"),
+        F.sum("blanks").alias("blanks"),
     )
 
 
+# Bytes of source text whose lines are classified at once.
+_AT_ONCE = 4_000_000
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Line counts of each file of a batch."""
+    for batch in batches:
+        repos, names, prefixes, prose, texts = (
+            batch.column(i).to_pylist() if i < 4 else batch.column(i).cast(pa.binary()).to_pylist()
+            for i in range(5)
+        )
+        names = [x.lower() for x in names]
+        own = [syntax.of(n, tuple(p), q) for n, p, q in zip(names, prefixes, prose)]
+        start, size = 0, 0
+        for row, text in enumerate(texts):
+            size += len(text)
+            if size >= _AT_ONCE or row == len(texts) - 1:
+                part, size = slice(start, row + 1), 0
+                start = row + 1
+                counts = syntax.count(texts[part], own[part])
+                columns = [pa.array(repos[part], pa.string()), pa.array(names[part], pa.string())]
+                columns += [pa.array(x, pa.int64()) for x in counts]
+                yield pa.RecordBatch.from_arrays(columns, ["repo_name", "ext", "lines", "comments", "blanks"])
+
+
 def _name() -> Column:
     """The last part of a path, in lower case."""
     return F.lower(F.substring_index("path", "/", -1))
