@@ -2,9 +2,11 @@
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annalist.sources import shared
+
 
 def column_arrays(result: DataFrame, order: Sequence[str]) -> DataFrame:
     """A report result as one row with an array per column, rows in the given order.
@@ -19,6 +21,47 @@ def column_arrays(result: DataFrame, order: Sequence[str]) -> DataFrame:
     )
 
 
+def array_blocks(result: DataFrame, order: Sequence[str], rows: int = 100_000) -> DataFrame:
+    """``column_arrays`` in numbered blocks of ``rows`` rows, for results of any size.
+
+    Gives ``block`` from 0, ``first``, the position of its first row among all, and an array per
+    column. Rows are dealt by ranges of the order and sorted within them; the number of rows of
+    each range, one number a range, gives every row its exact position, so all blocks but the
+    last are full and no task holds more than its blocks. Rows equal in all of ``order`` stand
+    next to each other in any order. A column named like one of the two new ones is refused.
+    """
+    if {"block", "first"} & {c.lower() for c in result.columns}:
+        raise ValueError("columns named block or first")
+    spark = result.sparkSession
+    number = F.monotonically_increasing_id()
+    placed = (
+        result.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .select(
+            F.shiftright(number, 33).alias("__range"),
+            number.bitwiseAND(F.lit((1 << 33) - 1)).alias("__at"),
+            F.struct(*result.columns).alias("__row"),
+        )
+    )
+    path = shared.folder(spark, "ordered")
+    placed.write.parquet(path)
+    stored = spark.read.schema(placed.schema).parquet(path)
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = stored.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = offsets.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    position = F.col("__at") + F.col("__before")
+    numbered = stored.join(offsets, "__range").select(position.alias("__position"), "__row")
+    block = F.call_function("div", F.col("__position"), F.lit(rows)).alias("block")
+    packed = numbered.groupBy(block).agg(
+        F.array_sort(F.collect_list(F.struct("__position", "__row"))).alias("__rows")
+    )
+    return packed.select(
+        "block",
+        (F.col("block") * rows).alias("first"),
+        *[F.col("__rows").getField("__row").getField(c).alias(c) for c in result.columns],
+    )
+
+
 def parse_binding(text: str) -> "tuple[int, str] | None":
     """``${column}`` or ``${i:column}`` as (statement index, column); None for a literal."""
     start, end = text.find("${"), text.find("}")

@@ -166,11 +166,23 @@ def map_authors(commits: DataFrame, mapping: DataFrame) -> DataFrame:
     )
 
 
-def finish(parsed: DataFrame) -> DataFrame:
+def change_fields(line: "Column | str") -> Column:
+    """A change line as ``ext, insertion, deletion``; the fields of any other line are NULL."""
+    match = F.regexp_extract(line, CHANGE, 0)
+    part = F.split(match, "\t", 3)
+    good = match != ""
+    return F.struct(
+        F.when(good, file_ext(F.get(part, F.lit(2)))).alias("ext"),
+        F.when(good, _count(F.get(part, F.lit(0)))).alias("insertion"),
+        F.when(good, _count(F.get(part, F.lit(1)))).alias("deletion"),
+    )
+
+
+def finish(parsed: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Derived commit columns, the time fields, the change lines, and ``reject``.
 
     ``reject`` is NULL for a good section, else ``header`` or ``change``: one bad line drops
-    its whole commit.
+    its whole commit. ``section`` numbers the rows, unless it is among the columns to ``keep``.
     """
     done = parsed.select(
         "repo_name",
@@ -183,8 +195,10 @@ def finish(parsed: DataFrame) -> DataFrame:
         F.size("entries").cast("bigint").alias("files"),
         "entries",
         F.when(F.col("bad_header"), "header").when(F.col("bad_change"), "change").alias("reject"),
+        *keep,
     )
-    return fields.enrich(done).withColumn("section", F.monotonically_increasing_id())
+    done = fields.enrich(done)
+    return done if "section" in keep else done.withColumn("section", F.monotonically_increasing_id())
 
 
 def accepted(finished: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalist.functions import fields, timefn
-from annalist.operators import sections
+from annalist.operators import ancestors, sections
 from annalist.sources import manifest as manifests
 
 
@@ -15,35 +15,54 @@ def header_datetime(header: "Column | str") -> Column:
     return F.when(found != "", sections.mail_date_to_rfc3339(date))
 
 
-def dated(refs: DataFrame, commits: DataFrame) -> DataFrame:
+def dated(refs: DataFrame, commits: DataFrame, parents: "DataFrame | None" = None) -> DataFrame:
     """``repo_name, tag, datetime`` of every tag; the date is NULL where nothing gives it.
 
     The header line of the reference dates the tag, so a tag on a side branch or on a merge is
-    dated like any other. A reference without that line looks its hash up among the commits.
+    dated like any other. A reference without that line looks its hash up among the commits; with
+    ``parents`` (see ``logs.read_parents``) a merge is first led to the newest commit that is none.
+
+    Of the commits only those that some reference asks for go on: a semi join, for which Spark
+    sends the references to the commits while they are few.
     """
     if "header" not in refs.columns:
         refs = refs.withColumn("header", F.lit(None).cast("string"))
     own = refs.select("repo_name", "hash", "tag", header_datetime("header").alias("datetime"))
-    known = commits.select("repo_name", "hash", F.col("datetime").alias("__found"))
-    known = known.dropDuplicates(["repo_name", "hash"])
     plain = own.filter(F.col("datetime").isNull()).drop("datetime")
+    if parents is not None:
+        led = ancestors.first_non_merges(parents).withColumn("__merge", F.lit(True))
+        target = F.when(F.col("__merge"), F.col("found")).otherwise(F.col("hash"))
+        plain = plain.join(led, ["repo_name", "hash"], "left").select("repo_name", target.alias("hash"), "tag")
+    asked = plain.select("repo_name", "hash").distinct()
+    known = commits.select("repo_name", "hash", F.col("datetime").alias("__found"))
+    known = known.join(asked, ["repo_name", "hash"], "left_semi").dropDuplicates(["repo_name", "hash"])
     looked_up = plain.join(known, ["repo_name", "hash"], "left")
     done = own.filter(F.col("datetime").isNotNull()).select("repo_name", "tag", "datetime")
     return done.unionByName(looked_up.select("repo_name", "tag", F.col("__found").alias("datetime")))
 
 
-def tags(refs: DataFrame, commits: DataFrame, manifest: DataFrame) -> DataFrame:
+def tags(
+    refs: DataFrame, commits: DataFrame, manifest: DataFrame, parents: "DataFrame | None" = None
+) -> DataFrame:
     """The ``tag`` table: each dated reference; ``tag_rejects`` counts the others."""
-    once = dated(refs, commits).filter(F.col("datetime").isNotNull())
-    once = once.dropDuplicates(["repo_name", "tag"])
-    return manifests.with_branch(once, manifest).select("repo_name", "branch", "datetime", "tag")
+    return tag_rows(dated(refs, commits, parents), manifest)
 
 
-def tag_rejects(refs: DataFrame, commits: DataFrame) -> DataFrame:
+def tag_rejects(refs: DataFrame, commits: DataFrame, parents: "DataFrame | None" = None) -> DataFrame:
     """Tags per repository that neither a header line nor a known commit dates."""
+    return undated(dated(refs, commits, parents))
+
+
+def tag_rows(found: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The ``tag`` table from what ``dated`` gives."""
+    once = found.filter(F.col("datetime").isNotNull()).dropDuplicates(["repo_name", "tag"])
+    return manifests.with_branch(once, manifest).select("repo_name", "branch", "datetime", "tag")
+
+
+def undated(found: DataFrame) -> DataFrame:
+    """``repo_name, tags``: how many of what ``dated`` gives have no date."""
     return (
-        dated(refs, commits)
-        .filter(F.col("datetime").isNull())
+        found.filter(F.col("datetime").isNull())
         .groupBy("repo_name")
         .agg(F.count(F.lit(1)).alias("tags"))
     )

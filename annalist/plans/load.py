@@ -33,6 +33,11 @@ def stage(
     return spark.read.schema(schemas.PARSED).parquet(path)
 
 
+def _stored(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def load(
     spark: SparkSession,
     out: str,
@@ -43,6 +48,7 @@ def load(
     mapping: "DataFrame | None" = None,
     languages: Sequence[tuple] = linecount.LANGUAGES,
     other_prefixes: "Sequence[str] | None" = None,
+    parents_path: "str | None" = None,
 ) -> DataFrame:
     """Replace the five tables below ``out``; return the rejects per repository and reason.
 
@@ -52,9 +58,10 @@ def load(
     concurrent jobs, so that the last tasks of one leave no executor idle. A table without
     input is written empty, so that nothing of an earlier load stays. The stage is deleted
     when the tables stand; the returned counts (``reject`` is ``header``, ``change`` or
-    ``tag``) are stored in the shared folder.
+    ``tag``) are stored in the shared folder. With ``parents_path`` tags on merges are dated by
+    the newest commit behind them that is none, where their reference has no header line.
     """
-    place = shared.folder(spark, "parsed")
+    place, refs_place, tags_place = (shared.folder(spark, x) for x in ("parsed", "refs", "tags"))
     staged = stage(spark, place, manifest, log_path, mapping)
     finished = sections.accepted(staged)
 
@@ -73,11 +80,13 @@ def load(
         rejects, lines = sections.reject_counts(staged), None
         tag, snapshot = (spark.createDataFrame([], schemas.TABLES[x]) for x in ("tag", "snapshot"))
         if refs_path is not None:
-            refs = logs.read_refs(spark, refs_path)
+            # Stored first, so that their size is known before the commits are looked up.
+            refs = _stored(spark, logs.read_refs(spark, refs_path), refs_place)
             lines = logs.read_heads(spark, refs_path)
-            tag = tags.tags(refs, commits, manifest)
-            undated = tags.tag_rejects(refs, commits)
-            rejects = rejects.union(undated.select("repo_name", F.lit("tag"), "tags"))
+            parents = logs.read_parents(spark, parents_path) if parents_path is not None else None
+            found = _stored(spark, tags.dated(refs, commits, parents), tags_place)
+            tag = tags.tag_rows(found, manifest)
+            rejects = rejects.union(tags.undated(found).select("repo_name", F.lit("tag"), "tags"))
         running.append(start("tag", tag))
         if sources is not None:
             counts = linecount.count_lines(sources, languages, other_prefixes)
@@ -87,5 +96,6 @@ def load(
         rejects.write.parquet(kept)
         for table in running:
             table.result()
-    shared.remove(spark, place)
+    for used in (place, refs_place, tags_place):
+        shared.remove(spark, used)
     return spark.read.schema(rejects.schema).parquet(kept)

@@ -15,7 +15,10 @@ and its list of references, with the commit that dates each one, is the output o
         echo
     done
 
-Lines without the part behind the tab, as ``git show-ref`` prints them, are read as well.
+Lines without the part behind the tab, as ``git show-ref`` prints them, are read as well. What
+leads from a merge to other commits is the output of::
+
+    git log --all --format='%H %ct %P'
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +41,23 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """One row per line: ``repo_name, file, block, value``, in order within a block of a file.
+
+    ``block`` is where the task's part of the file begins; a commit may lie over many blocks.
+    """
+    return (
+        spark.read.schema("value STRING, repo_name STRING")
+        .text(path)
+        .select(
+            "repo_name",
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            "value",
+        )
+    )
+
+
 def _read_references(spark: SparkSession, path: str) -> DataFrame:
     """``repo_name, hash, ref, header`` of each line with a blank; the header may be NULL."""
     part = F.split(F.substring_index("value", "\t", 1), " ", 2)
@@ -88,6 +108,25 @@ def read_heads(spark: SparkSession, path: str) -> DataFrame:
     return lines.groupBy("repo_name").agg(F.max("header").alias("header"))
 
 
+def read_parents(spark: SparkSession, path: str) -> DataFrame:
+    """``repo_name, hash, seconds, parents`` of each commit, merges included.
+
+    Lines without a hash and a time are skipped.
+    """
+    part = F.split("value", " ")
+    found = (
+        spark.read.schema("value STRING, repo_name STRING")
+        .text(path)
+        .select(
+            "repo_name",
+            F.get(part, F.lit(0)).alias("hash"),
+            F.get(part, F.lit(1)).try_cast("bigint").alias("seconds"),
+            F.filter(F.slice(part, 3, F.greatest(F.size(part) - 2, F.lit(0))), lambda x: x != "").alias("parents"),
+        )
+    )
+    return found.filter((F.col("hash") != "") & F.col("seconds").isNotNull())
+
+
 def read_source_records(spark: SparkSession, path: str) -> DataFrame:
     """Source files exported as JSON lines of ``repo_name, path, text``.
 

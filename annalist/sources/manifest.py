@@ -49,6 +49,22 @@ def exclude_prefixes(manifest: DataFrame, prefixes: Sequence[str]) -> DataFrame:
     return kept
 
 
+def exclude_prefix_table(manifest: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """``exclude_prefixes`` with the prefixes in a table, column ``prefix``, of any length.
+
+    A name is cut at each length that some prefix has, and the cuts meet the prefixes by
+    equality; nothing is compared with all prefixes. Spark sends the shorter side to the longer
+    one while it is small, and shuffles both by the cut beyond. The empty prefix drops all names;
+    a NULL prefix none, and a NULL name stays.
+    """
+    listed = prefixes.select(F.col("prefix").alias("__cut")).filter("__cut IS NOT NULL").distinct()
+    lengths = listed.agg(F.array_sort(F.collect_set(F.length("__cut"))).alias("n")).select("n").scalar()
+    names = manifest.select("name").distinct().withColumn("__n", F.explode(lengths))
+    cuts = names.filter(F.col("__n") <= F.length("name")).select("name", F.expr("left(name, __n)").alias("__cut"))
+    dropped = cuts.join(listed, "__cut", "left_semi").select("name").distinct()
+    return manifest.join(dropped, "name", "left_anti")
+
+
 def active(manifest: DataFrame) -> DataFrame:
     """The ``active`` table: popularity counters, 0 where missing."""
     return manifest.select(

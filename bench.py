@@ -117,7 +117,7 @@ def main():
                 "commits": commits,
                 "load_first": round(first, 4),
                 "load_commits_per_sec": round(commits / times["load"]),
-                "rejected_sections": rejects.count(),
+                "reject_groups": rejects.count(),
             }
         )
     )

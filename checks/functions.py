@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from annalist.functions import sqlfn, timefn
+from annalist.operators import streak_state
 from annalist.operators.streak import longest_streak
+from annalist.sources import shared
 from checks import views
 from checks.registry import (
     DATEDAY,
@@ -132,3 +134,54 @@ def agg_streak_sql(spark, sf_dir):
             "streak_end(days) AS last_day",
         )
     )
+
+
+_SETS = (("repo_name", "author_name"), ("repo_name", "year"), ("author_name",), ("year",), ())
+_KEYS = ("repo_name", "author_name", "year")
+
+
+def _set_twin(one):
+    """The streaks of one grouping, with the columns that it leaves out as NULL."""
+    shown = ", ".join(f"{k if k in one else 'NULL'} AS {k}" for k in _KEYS)
+    number = sum(1 << (2 - n) for n, k in enumerate(_KEYS) if k not in one)
+    part = ", ".join(one) or "1"
+    return f"""
+      SELECT CAST({number} AS BIGINT) AS "grouping", {shown}, CAST(n AS BIGINT) AS active_longest_days,
+             {day_text("s")} AS active_longest_start, {day_text("e")} AS active_longest_end
+      FROM (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY n DESC, s) AS place
+            FROM (SELECT {", ".join((*one, "count(*) AS n, min(day) AS s, max(day) AS e"))}
+                  FROM (SELECT *, day - row_number() OVER (PARTITION BY {part} ORDER BY day) AS run
+                        FROM (SELECT DISTINCT {", ".join((*one, "day"))} FROM days))
+                  GROUP BY {", ".join((*one, "run"))}))
+      WHERE place = 1"""
+
+
+@check(
+    "agg_streak_rollup",
+    f"""WITH days AS (SELECT repo_name, author_name, {YEAR} AS year, {UNIX} // 86400 AS day FROM f_commit)
+        {" UNION ALL ".join(map(_set_twin, _SETS))}""",
+)
+def agg_streak_rollup(spark, sf_dir):
+    """Five groupings at once from one state of the commits."""
+    commits = views.commits(spark, sf_dir).withColumn("year", timefn.year("datetime"))
+    found = streak_state.streak_rollup(commits, _SETS)
+    return found.withColumn("grouping", F.col("grouping").cast("long"))
+
+
+@check(
+    "agg_streak_merge",
+    f"""SELECT grp AS repo_name, CAST(n AS BIGINT) AS active_longest_days,
+               {day_text("s")} AS active_longest_start, {day_text("e")} AS active_longest_end
+        FROM ({streaks("f_event_commit")})""",
+)
+def agg_streak_merge(spark, sf_dir):
+    """Stored states of two halves of the events, merged without the events."""
+    events = views.event_commits(spark, sf_dir)
+    halves = []
+    for odd in (0, 1):
+        path = shared.folder(spark, "streak-state")
+        half = events.filter(F.crc32("datetime") % 2 == odd)
+        streak_state.streak_state(half, ["repo_name"]).write.parquet(path)
+        halves.append(spark.read.parquet(path))
+    merged = streak_state.merge_states(halves, ["repo_name"])
+    return streak_state.longest_of_state(merged, ["repo_name"])

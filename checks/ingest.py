@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from annalist import schemas
 from annalist.functions import fields, sqlfn, timefn
-from annalist.operators import linecount, sections, tags
+from annalist.operators import linecount, long_sections, sections, tags
 from annalist.plans.load import load, stage
 from annalist.sources import logs, manifest as manifests, shared, tables
 from checks import views
@@ -92,6 +92,35 @@ def ingest_damaged_change(spark, sf_dir):
     )
 
 
+@check(
+    "ingest_giant_commit",
+    f"""SELECT {", ".join("k." + c for c in schemas.columns(schemas.COMMIT))}, l.ext,
+               CAST(sum(l.ins) AS BIGINT) AS insertion, CAST(sum(l.del) AS BIGINT) AS deletion
+        FROM f_commit k JOIN (
+          SELECT md5(CAST(CASE WHEN l_partkey % 3 = 0 THEN (SELECT min(o_orderkey) FROM orders)
+                               ELSE l_orderkey END AS STRING)) AS hash,
+                 CASE l_partkey % 6 WHEN 0 THEN 'py' WHEN 1 THEN 'go' WHEN 2 THEN 'js'
+                                    WHEN 3 THEN 'html' WHEN 4 THEN 'css' ELSE '' END AS ext,
+                 CAST(l_quantity AS BIGINT) AS ins, CAST(l_linenumber AS BIGINT) AS del
+          FROM lineitem) l ON k.hash = l.hash
+        GROUP BY ALL""",
+)
+def ingest_giant_commit(spark, sf_dir):
+    """One commit with a third of all change lines, read in blocks that end inside it."""
+    log = views.giant_log_path(spark, sf_dir)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(_BLOCK_BYTES))
+    try:
+        _, changes = long_sections.parse(logs.read_log_lines(spark, log), views.stored_manifest(spark, sf_dir))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return changes.select(*schemas.columns(schemas.CHANGE))
+
+
+# Small enough for the giant commit to lie over several blocks at every size of the tables.
+_BLOCK_BYTES = 65_536
+
+
 @check("ingest_tags", "SELECT repo_name, branch, datetime, tag FROM f_tag")
 def ingest_tags(spark, sf_dir):
     commits = sections.commits(sections.accepted(_staged(spark, sf_dir)))
@@ -110,6 +139,39 @@ def ingest_tag_rejects(spark, sf_dir):
     return tags.tag_rejects(logs.read_refs(spark, views.refs_path(spark, sf_dir)), commits)
 
 
+@check(
+    "ingest_tag_ancestors",
+    """WITH RECURSIVE line AS (
+         SELECT repo_name, hash, datetime, o_orderkey, o_orderpriority,
+                row_number() OVER (PARTITION BY repo_name ORDER BY o_orderkey) AS n
+         FROM f_commit JOIN orders ON hash = md5(CAST(o_orderkey AS STRING))),
+       edges AS (
+         SELECT repo_name, n AS child, unnest(CASE WHEN n % 40 IN (0, 17) THEN [n - 1]
+                WHEN n % 40 IN (1, 18) THEN [n - 2, n - 5] ELSE [n - 1, n - 5] END) AS parent FROM line),
+       real AS (SELECT * FROM edges WHERE parent > 0),
+       merges AS (SELECT repo_name, child FROM real GROUP BY ALL HAVING count(*) > 1),
+       walk AS (
+         SELECT repo_name, o_orderkey, n AS node FROM line WHERE o_orderpriority = '1-URGENT'
+         UNION
+         SELECT w.repo_name, w.o_orderkey, e.parent
+         FROM walk w JOIN merges m ON m.repo_name = w.repo_name AND m.child = w.node
+                     JOIN real e ON e.repo_name = w.repo_name AND e.child = w.node),
+       ends AS (
+         SELECT repo_name, o_orderkey, max(node) AS n
+         FROM walk WHERE NOT EXISTS (SELECT 1 FROM merges m WHERE m.repo_name = walk.repo_name AND m.child = node)
+         GROUP BY ALL)
+       SELECT e.repo_name, 'main' AS branch, datetime, concat('v', CAST(e.o_orderkey AS STRING)) AS tag
+       FROM ends e JOIN line USING (repo_name, n)""",
+)
+def ingest_tag_ancestors(spark, sf_dir):
+    """Tags on merges, dated by the newest commit behind them that is none."""
+    refs = views.keyed_commits(spark, sf_dir).filter(F.col("o_orderpriority") == "1-URGENT")
+    refs = refs.select("repo_name", "hash", F.concat(F.lit("v"), F.col("o_orderkey").cast("string")).alias("tag"))
+    commits = sections.commits(sections.accepted(_staged(spark, sf_dir)))
+    parents = logs.read_parents(spark, views.parents_path(spark, sf_dir))
+    return tags.tags(refs, commits, views.stored_manifest(spark, sf_dir), parents)
+
+
 @check(
     "head_line",
     """SELECT repo_name, arg_min(datetime, o_orderkey) AS datetime
@@ -262,6 +324,34 @@ def snapshot_skipped(spark, sf_dir):
     return linecount.skipped_files(views.code_records(spark, sf_dir))
 
 
+_BLOCK_FILES = ", ".join(
+    f"({n}, '{ext}', {code}, {comments}, {inside})"
+    for n, (_, _, _, ext, code, comments, inside) in enumerate(views.BLOCK_FILES)
+)
+
+
+@check(
+    "snapshot_block_comments",
+    f"""WITH files AS (SELECT * FROM (VALUES {_BLOCK_FILES}) v(k, ext, code, comments, inside)),
+        body AS (
+          SELECT source, k, trim(unnest(string_split(
+                   regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 ' || chr(10) || ']', '', 'g'), chr(10)))) AS line
+          FROM documents JOIN files ON doc_id % {len(views.BLOCK_FILES)} = k),
+        lines AS (
+          SELECT source, k, count(*) FILTER (line <> '') AS text, count(*) FILTER (line = '') AS blanks
+          FROM body GROUP BY ALL),
+        per_file AS (SELECT source, doc_id % {len(views.BLOCK_FILES)} AS k, count(*) AS n FROM documents GROUP BY ALL)
+        SELECT source AS repo_name, ext,
+               CAST(n * code + CASE WHEN inside THEN 0 ELSE text END AS BIGINT) AS code,
+               CAST(n * comments + CASE WHEN inside THEN text ELSE 0 END AS BIGINT) AS comments,
+               CAST(blanks AS BIGINT) AS blanks
+        FROM per_file JOIN lines USING (source, k) JOIN files USING (k)""",
+)
+def snapshot_block_comments(spark, sf_dir):
+    """Block, nested and quoted comment markers around whole documents, in seven languages."""
+    return linecount.count_lines(views.block_sources(spark, sf_dir))
+
+
 @check(
     "scan_source_records",
     """SELECT repo_name, path, CAST(length(text) AS INTEGER) AS chars, md5(text) AS digest
@@ -338,6 +428,32 @@ def exclude_prefix(spark, sf_dir):
     return manifests.exclude_prefixes(views.manifest(spark, sf_dir), _EXCLUDED).select("name")
 
 
+_PREFIX_TABLE = """SELECT CASE c_custkey % 3 WHEN 0 THEN concat(c_mktsegment, '/', n_name)
+                                WHEN 1 THEN concat(substr(c_mktsegment, 1, 3), '/')
+                                ELSE concat(c_mktsegment, '/', substr(n_name, 1, length(n_name) - 1)) END AS prefix
+                   FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < -900"""
+
+
+@check(
+    "exclude_prefix_table",
+    f"""SELECT repo_name AS name FROM f_active
+        WHERE NOT EXISTS (SELECT 1 FROM ({_PREFIX_TABLE}) p WHERE starts_with(repo_name, prefix))""",
+)
+def exclude_prefix_table(spark, sf_dir):
+    """Prefixes in a table as long as the customers', whole names, beginnings and ones that fit nothing."""
+    listed = views.table(spark, sf_dir, "customer").join(
+        views.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
+    )
+    key, name = F.col("c_custkey"), F.concat("c_mktsegment", F.lit("/"), "n_name")
+    prefix = (
+        F.when(key % 3 == 0, name)
+        .when(key % 3 == 1, F.concat(F.substring("c_mktsegment", 1, 3), F.lit("/")))
+        .otherwise(F.expr("left(concat(c_mktsegment, '/', n_name), length(c_mktsegment) + length(n_name))"))
+    )
+    prefixes = listed.filter("c_acctbal < -900").select(prefix.alias("prefix"))
+    return manifests.exclude_prefix_table(views.manifest(spark, sf_dir), prefixes).select("name")
+
+
 @check("scan_csv_roundtrip", f"SELECT {_CHANGE} FROM f_change")
 def scan_csv_roundtrip(spark, sf_dir):
     base = shared.folder(spark, "csv")

@@ -1,5 +1,8 @@
 """One query per area of plain SQL that users reach beside the reports."""
 
+from pyspark.sql import functions as F
+
+from annalist.operators import intervals
 from checks import views
 from checks.registry import check
 
@@ -57,6 +60,33 @@ _sql(
               CAST(quarter(o_orderdate) * 3 - 2 AS INTEGER) AS first_month, count(*) AS orders
        FROM orders GROUP BY 1, 2""",
 )
+# Windows of very different length: after every urgent order some hours to some months, in hours.
+_WINDOW = """SELECT o_orderkey AS release, CAST(epoch(o_orderdate) // 3600 AS BIGINT) AS opens,
+       CAST(epoch(o_orderdate) // 3600 + CASE WHEN o_orderkey % 50 = 0 THEN 3000 WHEN o_orderkey % 7 = 0 THEN 0
+                                              ELSE o_orderkey % 24 END AS BIGINT) AS closes
+FROM orders WHERE o_orderpriority = '1-URGENT'"""
+
+
+@check(
+    "sql_join_interval",
+    f"""SELECT release, count(*) AS orders, CAST(sum(o_orderkey) AS BIGINT) AS keys
+        FROM ({_WINDOW}) w JOIN (
+          SELECT o_orderkey, CAST(epoch(o_orderdate) // 3600 + o_orderkey % 24 AS BIGINT) AS hour FROM orders) o
+        ON opens <= hour AND hour < closes GROUP BY release""",
+)
+def sql_join_interval(spark, sf_dir):
+    """Orders that fall into windows after others: a condition of ranges alone."""
+    orders = views.table(spark, sf_dir, "orders")
+    key, hour = F.col("o_orderkey"), F.call_function("div", F.unix_seconds(F.col("o_orderdate").cast("timestamp")), F.lit(3600))
+    length = F.when(key % 50 == 0, 3000).when(key % 7 == 0, 0).otherwise(key % 24)
+    windows = orders.filter("o_orderpriority = '1-URGENT'").select(
+        key.alias("release"), hour.alias("opens"), (hour + length).alias("closes")
+    )
+    points = orders.select("o_orderkey", (hour + key % 24).alias("at"))
+    met = intervals.interval_join(points, windows, "at", "opens", "closes", width=24)
+    return met.groupBy("release").agg(F.count(F.lit(1)).alias("orders"), F.sum("o_orderkey").alias("keys"))
+
+
 _sql(
     "sql_having_case",
     """WITH sized AS (

@@ -8,9 +8,9 @@ from annalist.functions import timefn
 from annalist.operators import results
 from annalist.plans import reports
 from annalist.plans.report_run import run_report
-from annalist.sources import shared
+from annalist.sources import shared, tables
 from checks import views
-from checks.registry import HOUR, PERIOD, WEEKNUM, YEAR, check
+from checks.registry import HOUR, PERIOD, UNIX, WEEKNUM, YEAR, check, day_text, rfc3339, streaks
 
 AUTHOR = "user7"
 
@@ -167,3 +167,66 @@ def report_run(spark, sf_dir):
         for index, result in enumerate(statements)
     ]
     return reduce(lambda a, b: a.unionByName(b), counted)
+
+
+@check(
+    "result_array_blocks",
+    """SELECT CAST((n - 1) // 700 AS BIGINT) AS block, CAST((n - 1) // 700 * 700 AS BIGINT) AS first,
+              list(hash ORDER BY n) AS hash, list(datetime ORDER BY n) AS datetime
+       FROM (SELECT hash, datetime, row_number() OVER (ORDER BY datetime, hash) AS n FROM f_commit)
+       GROUP BY ALL""",
+)
+def result_array_blocks(spark, sf_dir):
+    """All commits in order of time, ungrouped, as arrays of 700."""
+    commits = views.commits(spark, sf_dir).select("hash", "datetime")
+    return results.array_blocks(commits, ["datetime", "hash"], rows=700)
+
+
+#: Statements as written for the history tables themselves.
+_HISTORY_REPORT = {
+    "years": ["SELECT year(datetime) AS y, count(1) AS n FROM 'report_db.commit' GROUP BY y ORDER BY y;"],
+    "hours": [
+        "SELECT hour(datetime) AS h, count(1) AS n FROM 'report_db.commit' WHERE weeknum(datetime) IN (5, 6) GROUP BY h",
+        """SELECT h, sum(n) AS n FROM (SELECT period(datetime) AS h, count(DISTINCT author_name) AS n
+           FROM 'report_db.commit' WHERE author_name != 'year(datetime)' GROUP BY period(datetime)) AS a GROUP BY h""",
+    ],
+    "streaks": [
+        """SELECT author_name, active_longest_days(datetime) AS n, active_longest_start(datetime) AS first_day
+           FROM 'report_db.commit' GROUP BY author_name"""
+    ],
+    "first": [
+        """SELECT author_name, timestamp_rfc3339(min_ts) AS first_commit FROM (
+             SELECT author_name, min(timestamp(datetime)) AS min_ts FROM 'report_db.commit'
+             GROUP BY author_name ORDER BY min_ts, author_name LIMIT 3) AS a"""
+    ],
+}
+
+
+@check(
+    "report_shared_scan",
+    f"""SELECT 'years' AS query, CAST({YEAR} AS VARCHAR) AS label, count(*) AS n FROM f_commit GROUP BY 2
+        UNION ALL SELECT 'hours', CAST({HOUR} AS VARCHAR), count(*) FROM f_commit WHERE {WEEKNUM} IN (5, 6) GROUP BY 2
+        UNION ALL SELECT 'periods', {PERIOD}, count(DISTINCT author_name) FROM f_commit GROUP BY 2
+        UNION ALL SELECT 'streaks', grp || ' ' || {day_text("s")}, n FROM ({streaks("f_commit", "author_name")})
+        UNION ALL SELECT 'first', author_name || ' ' || {rfc3339("ts")}, CAST(1 AS BIGINT)
+        FROM (SELECT author_name, min({UNIX}) AS ts FROM f_commit GROUP BY 1 ORDER BY 2, 1 LIMIT 3)""",
+)
+def report_shared_scan(spark, sf_dir):
+    """A report of five statements in the history dialect over one scan of the commits."""
+    base = shared.folder(spark, "report-db")
+    tables.write_table("commit", views.commits(spark, sf_dir), base)
+    tables.register_database(spark, "report_db", base)
+    out = shared.folder(spark, "report")
+    stored = run_report(spark, _HISTORY_REPORT, out, share=["report_db.commit"])
+    parts = [
+        ("years", stored["years"][0], F.col("y"), F.col("n")),
+        ("hours", stored["hours"][0], F.col("h"), F.col("n")),
+        ("periods", stored["hours"][1], F.col("h"), F.col("n")),
+        ("streaks", stored["streaks"][0], F.concat_ws(" ", "author_name", "first_day"), F.col("n")),
+        ("first", stored["first"][0], F.concat_ws(" ", "author_name", "first_commit"), F.lit(1)),
+    ]
+    shown = [
+        frame.select(F.lit(name).alias("query"), label.cast("string").alias("label"), n.cast("long").alias("n"))
+        for name, frame, label, n in parts
+    ]
+    return reduce(lambda a, b: a.unionByName(b), shown)

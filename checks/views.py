@@ -6,7 +6,7 @@ DataFrame form gives the same rows, but joins on the integer order key instead o
 before they meet the orders, so that no order, however large, is joined line by line.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annalist import schemas
@@ -371,6 +371,75 @@ def code_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.read_source_records(spark, path)
 
 
+def giant_log_path(spark: SparkSession, sf_dir: str) -> str:
+    """The logs with a third of all change lines in one commit, that of the least order key."""
+
+    def write(path):
+        least = keyed_commits(spark, sf_dir).select(F.min_by(F.struct("repo_name", "hash"), "o_orderkey").alias("to"))
+        lines = log_lines(spark, sf_dir).withColumn("to", least.scalar())
+        part = F.regexp_extract("value", "src/p(\\d+)", 1).try_cast("bigint")
+        moved = (F.col("line_no") > 0) & (part % 3 == 0)
+        owner = [F.when(moved, F.col("to")[c]).otherwise(F.col(c)).alias(c) for c in ("repo_name", "hash")]
+        write_log(lines.select(*owner, "line_no", "value"), path)
+
+    return once(spark, sf_dir, "giant-log", write)
+
+
+def parent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``repo_name, value``: commits with their time and parents, most of them merges.
+
+    The orders of a repository, by key, are its mainline; by their place in it every 40th and the
+    17th after it have one parent, all others two: the one before, or the second before where that
+    would be such a commit, and the fifth before.
+    """
+    place = F.row_number().over(Window.partitionBy("repo_name").orderBy("o_orderkey"))
+    line = keyed_commits(spark, sf_dir).select("repo_name", "o_orderkey", "hash", place.alias("n"))
+    n = F.col("n")
+    first = n - F.when((n % 40).isin(1, 18), 2).otherwise(1)
+    wanted = F.when((n % 40).isin(0, 17), F.array(n - 1)).otherwise(F.array(first, n - 5))
+    child = line.select("repo_name", "hash", "n", F.posexplode(F.filter(wanted, lambda p: p > 0)).alias("at", "parent"))
+    named = child.join(
+        line.select("repo_name", F.col("n").alias("parent"), F.col("hash").alias("p")), ["repo_name", "parent"]
+    )
+    parents = named.groupBy("repo_name", "hash").agg(F.array_sort(F.collect_list(F.struct("at", "p"))).alias("ps"))
+    text = F.concat_ws(" ", F.col("hash"), (n * 100).cast("string"), F.array_join("ps.p", " "))
+    return line.join(parents, ["repo_name", "hash"], "left").select("repo_name", text.alias("value"))
+
+
+def parents_path(spark: SparkSession, sf_dir: str) -> str:
+    def write(path):
+        lines = parent_lines(spark, sf_dir).hint("rebalance", "repo_name")
+        lines.write.partitionBy("repo_name").text(path)
+
+    return once(spark, sf_dir, "parents", write)
+
+
+#: Files with block comments: name, what stands before and after the text, then the lines that
+#: are code and comments besides the text's own, and whether those are comments.
+BLOCK_FILES = (
+    ("a.c", "int a; /* open\n", "\n close */ int b;\n/* one line */\nchar *s = \"/* no\";\n"
+     "// tail /* none\nint c = '\"'; /* x */\n/* unclosed\n", "c", 4, 3, True),
+    ("a.rs", "/* a /* b\n", "\n*/ still\n*/ fn f<'a>() {}\nlet s = \"/* x\n*/\";\n// end\n", "rust", 3, 3, True),
+    ("a.go", "x := `/* raw\n", "\n// raw */`\ny := '\"' /* c */\n/* z */\n", "go", 3, 1, False),
+    ("a.html", "<p>\n<!-- a\n", "\n--> <b>\n<!-- x -->\n", "html", 2, 2, True),
+    ("a.css", "a { }\n/*\n", "\n*/\n.b { content: \"/*\"; }", "css", 2, 2, True),
+    ("a.hs", "{- a {- b -}\n", "\n-}\nmain = x -- {- no\n-- l\n", "haskell", 1, 3, True),
+    ("a.py", "\"\"\"doc\n", "\n# in string\n\"\"\"\n# c\nx = 'a # b'\n", "python", 4, 1, False),
+)
+
+
+def block_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents inside block comments and strings over many lines, letters and digits alone."""
+    key = F.pmod("doc_id", F.lit(len(BLOCK_FILES)))
+    pick = lambda n: F.array(*[F.lit(x[n]) for x in BLOCK_FILES])[key.cast("int")]
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 \n]", "")
+    return table(spark, sf_dir, "documents").select(
+        F.col("source").alias("repo_name"),
+        F.concat(F.col("doc_id").cast("string"), F.lit("/"), pick(0)).alias("path"),
+        F.concat(pick(1), body, pick(2)).alias("text"),
+    )
+
+
 # The views as SQL, each as a common table expression; see FIXTURES.md section 3.
 SQL = {
     "f_commit": """
@@ -472,6 +541,7 @@ def twin(query: str) -> str:
         return query
     ctes = ",\n".join(f"{name} AS ({SQL[name]}\n)" for name in wanted)
     query = query.strip()
-    if query.upper().startswith("WITH "):
-        return f"WITH {ctes},\n{query[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if query.upper().startswith(start):
+            return f"{start}{ctes},\n{query[len(start):]}"
     return f"WITH {ctes}\n{query}"

@@ -30,6 +30,14 @@ NAMES = [
     "rel_count_distinct",
     "sink_tables_roundtrip",
     "sql_semi_anti",
+    "sql_join_interval",
+    "snapshot_block_comments",
+    "ingest_giant_commit",
+    "ingest_tag_ancestors",
+    "agg_streak_rollup",
+    "exclude_prefix_table",
+    "report_shared_scan",
+    "result_array_blocks",
 ]
 
 
