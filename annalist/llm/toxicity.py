@@ -8,11 +8,18 @@ restored word; scores also look at the paths that leave out or keep as much as t
 of letters alone without repeats has one reading, itself, and digits without a letter or another
 sign are a number.
 
-The character model counts the words of all documents. The terms that mark toxic text are learned from a bounded sample of labelled rows: whole words
-after different words, and word beginnings by the different words they open, weighed by their
-odds, so that copies of a text count once. A document's evidence is calibrated by a logistic curve.
-
-Defined cases: null text is empty; an empty text has no evidence and gets the curve's value for
+The character model counts the words of all documents. The terms that mark toxic text are learned
+from a bounded sample of labelled rows: whole words after different words, and word beginnings by
+the different words they open, weighed by their odds, so that copies of a text count once. A
+document's evidence is calibrated by a logistic curve.
+
+A word is decoded only if some path of its lattice spells a learnt term or goes on from a learnt
+beginning: the lattice is walked together with a tree of the terms, which ends after a few
+characters for nearly all words. The readings that count are paths of that lattice, so a word that
+is not decoded has the weight that decoding would give it, none.
+
+Defined cases: of equally likely paths the first found wins; very long words and texts are read
+whole; null text is empty; an empty text has no evidence and gets the curve's value for
 none; equal rows get equal scores; null ids count as the empty text in the split; labels that
 are null or without a document are not used; without usable
 labels of both kinds every score is 0; an empty table gives no rows; other columns are left out.
@@ -22,9 +29,10 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +42,6 @@ from annalist.llm import common
 
 #: Labelled rows that the model is fitted on, at most (in expectation).
 MOST_LABELLED = 20_000
-MOST_TERMS = 20_000
 PREFIXES = (4, 5)
 LEAST_CONTEXTS = 5
 LEAST_WEIGHT = 3.0
@@ -78,6 +85,21 @@ def places(word: str) -> list[int]:
     return [(a * SIZE + b) * SIZE + x for a, b, x in zip(c, c[1:], c[2:])]
 
 
+def trigrams_of(words: list[str], times: list[int]) -> np.ndarray:
+    """How often each trigram stands in the words, each taken as often as told."""
+    letters = np.frombuffer("".join([f"  {w} " for w in words]).encode("utf-32-le"), np.uint32)
+    codes = letters.astype(np.int64) - 96
+    codes[(codes < 1) | (codes > 26)] = OTHER
+    codes[letters == 32] = EDGE
+    # A word of n letters has n + 1 trigrams; the two that would begin at its end are none.
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 3
+    weight = np.repeat(np.array(times, np.float64), sizes)
+    ends = np.cumsum(sizes)
+    weight[ends - 1] = weight[ends - 2] = 0
+    at = (codes[:-2] * SIZE + codes[1:-1]) * SIZE + codes[2:]
+    return np.bincount(at, weight[:-2], SIZE**3).astype(np.int64)
+
+
 def legible(word: str) -> bool:
     """Whether a word has a letter, or a sign that may be one and is no part of a number or a price."""
     if any(x.isalpha() for x in word):
@@ -183,6 +205,8 @@ class Model:
     weights: dict[str, float]
     slope: float = 1.0
     base: float = 0.0
+    #: Tells models apart in a worker.
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def score(self, evidence: float) -> float:
         if self.base == -math.inf:
@@ -190,19 +214,69 @@ class Model:
         return 1.0 / (1.0 + math.exp(-max(min(self.slope * evidence + self.base, 500.0), -500.0)))
 
 
+# Marks in the tree of terms: here a term ends, here a learnt beginning.
+WHOLE, OPENING = "", "+"
+
+_scorers: dict[str, "Scorer"] = {}
+common.KEPT["toxicity"] = _scorers.clear
+
+
 class Scorer:
     """Evidence of texts under a model, with the weights of words seen before."""
 
     def __init__(self, model: Model):
         self.channel, self.model, self.known = Channel(model.trigrams), model, {}
+        self.tree: dict = {}
+        for term in model.weights:
+            opening = term.endswith("+") and len(term) - 1 in PREFIXES
+            node = self.tree
+            for char in term[:-1] if opening else term:
+                node = node.setdefault(char, {})
+            node[OPENING if opening else WHOLE] = {}
+
+    @classmethod
+    def of(cls, model: Model) -> "Scorer":
+        """One instance per worker and model."""
+        if model.name not in _scorers:
+            _scorers[model.name] = cls(model)
+        return _scorers[model.name]
+
+    def spells(self, word: str) -> bool:
+        """Whether some path of the word's lattice is a term or goes on from a learnt beginning."""
+        nodes = [self.tree]
+        before = ""
+        for char in word:
+            if char.isalpha():
+                choices, skip = char, char == before
+            else:
+                choices, skip = LOOKS.get(char, ""), True
+            new = [node[c] for node in nodes for c in choices if c in node]
+            if skip:
+                new += nodes
+            if not new:
+                return False
+            if any(OPENING in node for node in new):
+                return True
+            nodes, before = new, char
+            if len(nodes) > 64:
+                nodes = list({id(n): n for n in nodes}.values())
+        return any(WHOLE in node for node in nodes)
 
     def weight(self, word: str) -> float:
         value = self.known.get(word)
         if value is None:
             if len(self.known) >= MOST_WORDS:
                 self.known.clear()
-            forms = self.channel.forms(word)
-            value = max((self.model.weights.get(t, 0.0) for form in forms for t in terms(form)), default=0.0)
+            value, weights = 0.0, self.model.weights
+            # Readings are paths over the word without its edges, or without those that are no letters.
+            core, whole = word.strip(EDGES), word.strip(BARE_EDGES)
+            if (
+                self.spells(core)
+                or (whole != core and self.spells(whole))
+                or (not core.isalpha() and any(t in weights for t in terms(core)))
+            ):
+                forms = self.channel.forms(word)
+                value = max((weights.get(t, 0.0) for form in forms for t in terms(form)), default=0.0)
             self.known[word] = value
         return value
 
@@ -232,11 +306,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
             words: Counter[str] = Counter()
             for text in common.raw_texts(batch):
                 words.update(text.decode(errors="replace").lower().split())
-            for word, n in words.items():
-                word = word.strip(EDGES)
-                if word.isalpha():
-                    for at in places(word):
-                        total[at] += n
+            plain = [(w, n) for w, n in ((w.strip(EDGES), n) for w, n in words.items()) if w.isalpha()]
+            if plain:
+                total += trigrams_of(*map(list, zip(*plain)))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
@@ -272,7 +344,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
         return Model(trigrams, {}, 0.0, -math.inf)
     weight = F.log((F.col("yes") + 0.5) / (F.col("no") + 1.5)) - math.log(yes_size / no_size)
     strong = odds.where(F.col("yes") >= LEAST_CONTEXTS).withColumn("w", weight).where(F.col("w") >= LEAST_WEIGHT)
-    kept = strong.orderBy(F.desc("yes"), "term").limit(MOST_TERMS).collect()
+    # The sample bounds them: each has five contexts in it at least.
+    kept = strong.select("term", "w").orderBy("term").collect()
     # The model of characters knows the learnt words too, with a hundredth of its weight, so
     # that of two readings of a disguised word the learnt one is the likelier.
     learnt = [r["term"] for r in kept if not r["term"].endswith("+")]
@@ -304,8 +377,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float,
 
 def _evidence(df: DataFrame, key: str, kind: str, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
-        for batch in common.slices(batches):
+        scorer = Scorer.of(model)
+        for batch in common.slices(batches, keep="toxicity"):
             found = [scorer.evidence(x.decode(errors="replace")) for x in common.raw_texts(batch)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(key), pa.array(found, pa.float64()), pa.array(map(model.score, found), pa.float64())],
@@ -327,8 +400,8 @@ def reject(docs: DataFrame, model: Model, least: float, text: str = "text") -> D
     common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
-        for batch in common.slices(batches, text):
+        scorer = Scorer.of(model)
+        for batch in common.slices(batches, text, keep="toxicity"):
             scores = (model.score(scorer.evidence(x.decode(errors="replace"))) for x in common.raw_texts(batch, text))
             yield batch.filter(pa.array([x < least for x in scores], pa.bool_()))
 
