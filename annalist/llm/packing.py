@@ -8,13 +8,16 @@ Groups above it release all bins that are not full, these documents are dealt an
 groups as the size bound allows, and best-fit decreasing runs again.
 
 Defined cases: null text is empty, an empty document is the closing id alone, equal rows are
-packed one by one, an empty table gives no rows, any other column is left out.
+packed one by one, an empty table gives no rows, any other column is left out. Of bins with equal
+room the last one opened or used is taken, of equal lengths the first row. Special strings in a
+text are the tokenizer's special ids. A very long text gives many pieces, made in one task.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import count as count_up
 
 import numpy as np
 import pyarrow as pa
@@ -130,11 +133,13 @@ def least_bins(lengths: np.ndarray, capacity: int, steps: int = 20) -> int:
     return best
 
 
-def pack(items: DataFrame, capacity: int, rows_in_group: int = 50_000, rounds: int = 4) -> DataFrame:
+def pack(items: DataFrame, capacity: int, rows_in_group: int = 50_000, rounds: int | None = None) -> DataFrame:
     """Add ``sequence_id``, ``offset`` and ``certified`` to rows that have a ``length``.
 
     ``rows_in_group`` bounds what one task holds; it is a size, not a cap: all rows are packed
-    at any number of groups. ``certified`` says that the group met its lower bound.
+    at any number of groups. ``certified`` says that the group met its lower bound. The exchange
+    goes on until all groups are certified or a round has saved no bin, so it ends by itself;
+    ``rounds`` ends it earlier.
     """
     rows = common.stage(items.withColumn("_row", F.monotonically_increasing_id()), "pack-rows")
     full = rows.where(F.col("length") >= capacity).select(
@@ -167,7 +172,7 @@ def pack(items: DataFrame, capacity: int, rows_in_group: int = 50_000, rounds: i
         )
 
     bins_before = None
-    for number in range(rounds):
+    for number in count_up() if rounds is None else range(rounds):
         count = rest.count()
         if not count:
             break
@@ -183,7 +188,8 @@ def pack(items: DataFrame, capacity: int, rows_in_group: int = 50_000, rounds: i
             F.countDistinct("_group", "_bin").alias("bins"), F.countDistinct("_group").alias("groups")
         ).first()
         # One group that is left above its bound, or no bin saved by the last exchange: as good as it gets.
-        last = number == rounds - 1 or used["groups"] <= 1 and groups == 1 or used["bins"] == bins_before
+        saved = bins_before is None or used["bins"] < bins_before
+        last = number + 1 == rounds or used["groups"] <= 1 and groups == 1 or not saved
         keep = named if last else named.where(~open_bins)
         done.append(keep.select(*items.columns, "sequence_id", "offset", "certified"))
         if last or not used["bins"]:

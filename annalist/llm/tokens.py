@@ -2,6 +2,8 @@
 
 The tokenizer of words drops white space and never merges across it, so a text's ids are the
 ids of its white-space separated words in order. Each word is encoded once and then looked up.
+The tokenizer's special strings are found first, in the raw text and in exactly their case, and
+have their own ids; in any other case they are text.
 """
 
 from __future__ import annotations
@@ -44,8 +46,16 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Words are lowered when they come to the tokenizer, so none of them is a special string.
         self.tokenizer.encode_special_tokens = True
-        self.words: dict[bytes, bytes] = {}
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(x.normalized or x.single_word or x.lstrip or x.rstrip for x in added.values()):
+            raise ValueError("special strings that are matched in another way than letter by letter")
+        # A special string is kept behind a space, which no word has.
+        self.special = {b" " + x.content.encode(): np.array([i], "<u4").tobytes() for i, x in added.items()}
+        found = b"|".join(re.escape(x[1:]) for x in self.special)
+        self.marks = re.compile(b"(" + found + b")") if found else None
+        self.words: dict[bytes, bytes] = dict(self.special)
 
     @classmethod
     def of(cls, path: str) -> "WordIds":
@@ -83,11 +93,16 @@ class WordIds:
     def documents(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text. A-Z are lowered first, as the tokenizer does by itself."""
         split = [t.lower().split() for t in texts]
+        if self.marks:
+            for row, text in enumerate(texts):
+                if self.marks.search(text):
+                    parts = enumerate(self.marks.split(text))
+                    split[row] = [w for n, x in parts for w in ([b" " + x] if n % 2 else x.lower().split())]
         words = chain.from_iterable(split)
         fresh = set(filterfalse(self.words.__contains__, words))
         if len(self.words) + len(fresh) > self.MOST_WORDS:
-            self.words.clear()
-            fresh = set().union(*split)
+            self.words = dict(self.special)
+            fresh = set().union(*split).difference(self.words)
         self.learn(list(fresh))
         find = self.words.__getitem__
         return [b"".join(map(find, words)) for words in split]

@@ -85,6 +85,10 @@ def stream(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
 
     ``part`` and ``first`` number the sequences within the task that made them.
     """
+    from tokenizers import Tokenizer
+
+    if (ids := Tokenizer.from_file(tokenizer).get_vocab_size()) > 1 << 16:
+        raise ValueError(f"{ids} ids do not fit in the two bytes of a token")
     common.ship(docs.sparkSession)
     source = common.text_column(docs)
     key = source.schema["doc_id"].dataType.simpleString()

@@ -24,11 +24,20 @@ def plain_ids(text):
 def test_ids_equal_the_tokenizers(odd_rows):
     texts = [r[1] or "" for r in odd_rows if len(r[1] or "") < 100_000]
     texts += ["İstanbul ΣΑΣ ﬁ don't they'll 12 3.5 été. Ⅷ x² 日本語。 end", "l'été, ÉTÉ! naïve—yes … €5 $x$ a.b,c"]
+    texts += ["hello <|endoftext|> world", "mid<|startoftext|>word", "<|ENDOFTEXT|> <|EndOfText|>", "<|endoftext|><|endoftext|>"]
+    texts += ["<|endoftext|", "A<|endoftext|>B <|startoftext|>", "<|<|endoftext|>|>"]
     got = WordIds.of(PATH).documents([t.encode() for t in texts])
     for text, data in zip(texts, got):
         assert np.frombuffer(data, "<u4").tolist() == plain_ids(text)[:-1], text[:80]
 
 
+def test_ids_after_the_words_are_forgotten(monkeypatch):
+    monkeypatch.setattr(WordIds, "MOST_WORDS", 3)
+    own = WordIds(PATH)
+    for text in ["a b c <|endoftext|>", "d e <|endoftext|> f", "g <|startoftext|> h"]:
+        assert np.frombuffer(own.documents([text.encode()])[0], "<u4").tolist() == plain_ids(text)[:-1]
+
+
 def check_sequences(rows, capacity):
     by = {}
     for r in rows:
@@ -200,3 +209,24 @@ def test_notices_of_tables(odd, none):
     assert licenses.scan(none).count() == 0
     with_notice = odd.withColumn("text", F.concat(F.col("text"), F.lit("\nReleased under the MIT License.")))
     assert licenses.scan(with_notice).count() == odd.where("text IS NOT NULL").count()
+
+
+def test_exchange_ends_by_itself(spark):
+    rng = random.Random(12)
+    lengths = [rng.choice([26, 27, 37, 38, 51, 52, 74, 75, 23, 24]) for _ in range(1200)]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long"), 100, rows_in_group=30).collect()
+    assert sorted((r["doc_id"], r["length"]) for r in rows) == list(enumerate(lengths))
+    four = packing.pack(spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long"), 100, rows_in_group=30, rounds=1).collect()
+    assert check_sequences(rows, 100) <= check_sequences(four, 100)
+    assert sum(r["certified"] for r in rows) >= sum(r["certified"] for r in four)
+
+
+def test_wide_vocabularies_are_refused(none, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(Tokenizer, "get_vocab_size", lambda self: 70_000, raising=False)
+    try:
+        with pytest.raises(ValueError):
+            training_order.stream(none, PATH)
+    except TypeError:
+        pytest.skip("the class cannot be changed")
