@@ -1,15 +1,22 @@
 """License notices in documents, by conditional compression.
 
-The words around each cue, as many as a template has on both sides, are compressed alone and with
-the template as a raw zstandard dictionary, whatever lines and sentences they stand in. A template
-that saves enough of its own compressed size is confirmed by the exact differences in wording,
-punctuation at the edges of words aside, so a notice of another version or another license is not
-taken for the template's. Every template holds a cue, so no notice is passed over. The block of a
-row is the notice's sentence, or else the lines it stands on.
+The words around each cue are the candidate blocks, one of each size that templates have, whatever
+lines and sentences they stand in. Each block is compressed alone and with every template of its
+size as a raw zstandard dictionary, and the templates are ranked by the bytes they save. From the
+first on, each one that saves a share of its own compressed size is confirmed by the exact
+differences in wording, punctuation at the edges of words aside. A confirmed winner takes its words:
+a template that ranks behind it cannot claim them for another license, so the longer of two wordings
+that contain each other wins, while a second license in the same block is found in its own words.
+Words that tell licenses or versions apart may not differ. A notice that is negated is none.
+
+The wordings, some fifty licenses with their titles, notices and conditions, are in
+``license_texts``. Every template holds a cue, so no notice is passed over. The block of a row is
+the notice's sentence, or else the lines it stands on.
 
 Defined cases: null text is empty; a text without a cue gives no rows; a notice that a text
-repeats gives one row with its number of occurrences; equal rows each give theirs; an empty
-table gives no rows; other columns are left out.
+repeats gives one row with its number of occurrences; of equal savings the first license by name
+wins, of equally different places the first; equal rows each give theirs; an empty table gives no
+rows; other columns are left out; very long texts are read whole, paragraph by paragraph.
 """
 
 from __future__ import annotations
@@ -22,53 +29,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from annalist.llm import common
-
-# The wording of public license notices.
-TEMPLATES: dict[str, list[str]] = {
-    "MIT": [
-        "Released under the MIT License.",
-        "Licensed under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and"
-        " associated documentation files (the \"Software\"), to deal in the Software without restriction,"
-        " including without limitation the rights to use, copy, modify, merge, publish, distribute,"
-        " sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is"
-        " furnished to do so, subject to the following conditions:",
-    ],
-    "Apache-2.0": [
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except"
-        " in compliance with the License. You may obtain a copy of the License at",
-    ],
-    "GPL-2.0": [
-        "This work is licensed under the GNU General Public License, version 2.",
-        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU"
-        " General Public License as published by the Free Software Foundation; either version 2 of the"
-        " License, or (at your option) any later version.",
-    ],
-    "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU"
-        " General Public License as published by the Free Software Foundation, either version 3 of the"
-        " License, or (at your option) any later version.",
-    ],
-    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3."],
-    "MPL-2.0": [
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    ],
-    "BSD-3-Clause": [
-        "Licensed under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted"
-        " provided that the following conditions are met:",
-    ],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
-    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0."],
-    "CC0-1.0": ["Released under the CC0 1.0 Universal license."],
-}
-CUE = re.compile(rb"licen[sc]e|permission is hereby granted|redistribution and use", re.IGNORECASE)
+from annalist.llm import common, license_texts
+
+TEMPLATES = license_texts.templates()
+CUE = re.compile(
+    rb"licen[sc]e|permission (?:is hereby granted|to use|is granted)|redistribution and use|creative commons"
+    rb"|\bcc[ -]by|\bcc0\b|public domain|mozilla public|\b(?:a|l)?gpl|\bcddl\b",
+    re.IGNORECASE,
+)
 CUE_TEXT = re.compile(CUE.pattern.decode(), re.IGNORECASE)
 PARAGRAPH_END = re.compile(r"\n\s*\n")
 SENTENCE_END = re.compile(r"(?<=[.!?:])\s+(?=[A-Z(])")
@@ -78,20 +46,50 @@ LEAST_SAVED = 0.3
 MOST_DIFFERENT = 0.1
 EDGES = ".,;:?!()[]{}\"'`«»“”’‘…*_|<>/\\"
 SPELT = {"licence": "license", "licences": "licenses", "licenced": "licensed"}
-NAMES = frozenset(
-    "mit apache mozilla bsd gnu lesser affero library cc cc0 creative commons sa nc nd"
-    " sharealike noncommercial noderivatives noderivs".split()
+# Verbs that say the same before "under".
+VERBS = frozenset("released distributed available published provided offered".split())
+#: Words that turn a notice into its opposite, up to ``NEAR`` words before it.
+NOT = frozenset("not never no isn't aren't wasn't weren't nor neither without cannot".split())
+NEAR = 3
+# Words that tell licenses apart: all of their titles but those that say nothing alone.
+COMMON = frozenset(
+    "license licensed under the of a an and or to in version v public software general terms free project you want what do"
+    " source code form open data new university".split()
 )
+# A level that stores letters as they are, so that a size tells the matches alone.
+LEVEL = -1
+SIZES = (16, 32, 64, 128, 256, 512)
 
 
 def wording(text: str) -> list[str]:
-    """Lower-case words without the punctuation at their edges."""
-    return [SPELT.get(w, w) for w in (x.strip(EDGES) for x in text.lower().split()) if w]
+    """Lower-case words without the punctuation at their edges; signs alone are none."""
+    words = (x.strip(EDGES) for x in text.lower().split())
+    kept = (w for w in words if w and any(map(str.isalnum, w)))
+    return [SPELT.get(w, w).replace("noderivs", "noderivatives") for w in kept]
+
+
+def canonical(text: str) -> list[str]:
+    """``wording`` with one verb for all that say "under this license"."""
+    words = wording(text)
+    for at in range(len(words) - 1):
+        if words[at] in VERBS and words[at + 1] == "under":
+            words[at] = "licensed"
+    return words
+
+
+def _names() -> frozenset[str]:
+    titles = [t for texts in license_texts.TITLES.values() for t in texts]
+    titles += [f"cc {kind} {words}" for kind, words in license_texts.CC_KINDS.items()] + ["creative commons library lesser"]
+    parts = {p for t in titles for w in wording(t) for p in re.split("[-/]", w)}
+    return frozenset(parts - COMMON)
+
+
+NAMES = _names()
 
 
 def telling(word: str) -> bool:
     """Whether a word tells licenses or their versions apart."""
-    return any(c.isdigit() for c in word) or not NAMES.isdisjoint(word.split("-"))
+    return any(c.isdigit() for c in word) or not NAMES.isdisjoint(re.split("[-/]", word))
 
 
 def possible(block: list[str], template: list[str]) -> bool:
@@ -131,29 +129,43 @@ def differences(block: list[str], template: list[str]) -> tuple[int, int, int] |
 
 
 class Scanner:
-    """Compressors with each template as their dictionary."""
+    """Compressors with each template as their dictionary, by the size of their blocks."""
 
     def __init__(self, templates: dict[str, list[str]] = TEMPLATES):
         import zstandard
 
-        self.alone = zstandard.ZstdCompressor(level=3)
-        self.given = []
-        for name, texts in templates.items():
+        self.alone = zstandard.ZstdCompressor(level=LEVEL)
+        self.given: dict[int, list[tuple[str, list[str], object, int]]] = {}
+        for name, texts in sorted(templates.items()):
             for text in texts:
                 if not CUE.search(text.encode()):
-                    raise ValueError(f"no cue in a template of {name}")
-                words = wording(text)
+                    raise ValueError(f"no cue in a template of {name}: {text}")
+                words = canonical(text)
                 data = " ".join(words).encode()
                 own = len(self.alone.compress(data))
-                data = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                self.given.append((name, words, zstandard.ZstdCompressor(level=3, dict_data=data), own))
+                given = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                given.precompute_compress(level=LEVEL)
+                reach = len(words) + int(MOST_DIFFERENT * len(words)) + 1
+                size = next(s for s in (*SIZES, reach) if s >= reach)
+                self.given.setdefault(size, []).append((name, words, zstandard.ZstdCompressor(level=LEVEL, dict_data=given), own))
+
+    def ranked(self, words: list[str], cue: int) -> list[tuple[int, float, int, str, list[str]]]:
+        """The templates that save enough around a cue, the most bytes first.
 
-    def saved(self, number: int, data: bytes, alone: dict[bytes, int]) -> float:
-        """Bytes of a span that a template saves, as a share of the template's own compressed size."""
-        if data not in alone:
-            alone[data] = len(self.alone.compress(data))
-        _, _, given, own = self.given[number]
-        return (alone[data] - len(given.compress(data))) / own
+        Bytes, their share of the template's own compressed size, where the block begins, and the
+        license and words of the template.
+        """
+        found = []
+        for size, templates in self.given.items():
+            begin = max(cue - size, 0)
+            block = words[begin : cue + size]
+            data = " ".join(block).encode()
+            alone = len(self.alone.compress(data))
+            for name, template, given, own in templates:
+                saved = alone - len(given.compress(data))
+                if saved >= LEAST_SAVED * own:
+                    found.append((saved, saved / own, begin, name, template))
+        return sorted(found, key=lambda x: (-x[0], x[3], -len(x[4])))
 
     def scan(self, text: str) -> dict[str, tuple[float, int, int, str]]:
         """Per license the share saved, words that differ, occurrences of the block, and the block."""
@@ -168,27 +180,35 @@ class Scanner:
                 for word in wording(found[0]):
                     words.append(word)
                     places.append((offset + found.start(), offset + found.end()))
-            cues = self.cues(paragraph, offset, places)
-            alone: dict[bytes, int] = {}
-            for number, (name, template, _, _) in enumerate(self.given):
+            words = canonical(" ".join(words))
+            for saved, share, count, name, a, b in self.confirmed(words, self.cues(paragraph, offset, places)):
+                block = around(text, places[a][0], places[b - 1][1])
+                old = best.get(name)
+                if old is None or (share, -count, -len(block)) > (old[0], -old[1], -len(old[3])):
+                    best[name] = (share, count, text.count(block), block)
+        return best
+
+    def confirmed(self, words: list[str], cues: list[int]) -> list[tuple[int, float, int, str, int, int]]:
+        """The winners of a paragraph's cues: bytes and share saved, words that differ, license, from and to."""
+        checked: dict[tuple, tuple | None] = {}
+        claims = []
+        for cue in cues:
+            for saved, share, begin, name, template in self.ranked(words, cue):
                 reach = len(template) + int(MOST_DIFFERENT * len(template)) + 1
-                last = None
-                for cue in cues:
-                    begin, end = max(cue - reach, 0), cue + reach
-                    span = words[begin:end]
-                    if span == last or not possible(span, template):
-                        continue
-                    last = span
-                    saved = self.saved(number, " ".join(span).encode(), alone)
-                    steps = differences(span, template) if saved >= LEAST_SAVED else None
-                    if steps is None:
-                        continue
+                first = max(cue - reach, 0)
+                key = (id(template), first, cue + reach)
+                if key not in checked:
+                    checked[key] = differences(words[first : cue + reach], template)
+                if (steps := checked[key]) is not None:
                     count, a, b = steps
-                    block = around(text, places[begin + a][0], places[begin + b - 1][1])
-                    old = best.get(name)
-                    if old is None or (saved, -count, -len(block)) > (old[0], -old[1], -len(old[3])):
-                        best[name] = (saved, count, text.count(block), block)
-        return best
+                    if NOT.isdisjoint(words[max(first + a - NEAR, 0) : first + a]):
+                        claims.append((saved, share, count, name, first + a, first + b))
+        won: list[tuple[int, float, int, str, int, int]] = []
+        for claim in sorted(claims, key=lambda x: (-x[0], x[3])):
+            a, b = claim[4:]
+            if all(other[3] == claim[3] or min(b, other[5]) <= max(a, other[4]) for other in won):
+                won.append(claim)
+        return won
 
     @staticmethod
     def cues(paragraph: str, offset: int, places: list[tuple[int, int]]) -> list[int]:

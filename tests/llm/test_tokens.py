@@ -185,10 +185,12 @@ CASES = [
     ("Some text. Released under the MIT License. And on it goes.", {"MIT"}),
     ("licensed under  CC BY-NC 4.0.", {"CC-BY-NC-4.0"}),
     ("Licensed under CC BY 4.0.", {"CC-BY-4.0"}),
-    ("Licensed under CC BY 3.0.", set()),
+    ("Licensed under CC BY 3.0.", {"CC-BY-3.0"}),
+    ("Licensed under CC BY 7.0.", set()),
     ("This work is licensed under the GNU General Public License, version 3.", {"GPL-3.0"}),
     ("This work is licensed under the GNU General Public License, version 2.", {"GPL-2.0"}),
-    ("Licensed under the Apache License, Version 1.1.", set()),
+    ("Licensed under the Apache License, Version 1.1.", {"Apache-1.1"}),
+    ("Licensed under the Apache License, Version 1.7.", set()),
     ("A driving license is needed for cars and for lorries, they said.", set()),
     ("\n".join(["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and",
      "associated documentation files (the \"Software\"), to deal in the Software without restriction,",
