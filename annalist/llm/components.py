@@ -29,7 +29,8 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
         large = large.where("a <> b").distinct()
         small = _linked_to_least(large)
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
-        links = common.stage(small.where("a <> b").distinct(), "components")
+        read, links = links, common.stage(small.where("a <> b").distinct(), "components")
+        common.unstage(read)
         digest = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("digest")
         now = tuple(links.agg(F.count("*"), digest).first())
         if now == before:
