@@ -1,15 +1,20 @@
 """Quality scores by co-training a text classifier and a page-metadata classifier.
 
-The text view is which words a document has (hashed); the metadata view is language, source,
-length and layout figures. Both start from a bounded sample of labelled rows. In each round
-each view labels the rows of a bounded unlabelled pool on which it is sure, and the other view
-learns from them. Labelled rows that neither was fitted on calibrate both views and weigh them
-against each other. All documents get the combined score.
-
-Defined cases: null text is empty, null metadata counts as its own value; equal rows get equal
-scores; null ids count as the empty text in the split; labels without a document are not used;
-without labels of both kinds every score is 0.5; an empty table gives no rows; other columns
-are left out.
+The text view is which words a document has (hashed); the metadata view is its language, its
+source, its stated number of characters and the layout of its page: lengths, and shares of letters
+of different kinds. (Language and source alone would tell nothing of the labels here, so a view of
+them could teach the other one nothing.) Both start from a bounded sample of labelled rows. In each round each view labels the unlabelled rows on which it is sure, of
+all documents, and the other view learns from them. Labelled rows that neither was fitted on
+calibrate both views and weigh them against each other. All documents get the combined score.
+
+The vectors of both views are worked out once for all documents and stored; fits, exchange and
+scores read them. What is fitted on all rows is fitted where the rows are, by sums of gradients.
+
+Defined cases: null text is empty, a null language or source counts as its own value, a null
+number of characters as none; equal rows get equal scores; null ids count as the empty text in the
+split; labels without a document are not used, a document with two labels has the greater one;
+without labels of both kinds every score is 0.5; an empty table gives no rows; other columns are
+left out; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -23,38 +28,41 @@ from pyspark.sql import DataFrame, functions as F
 
 from annalist.llm import common
 
-#: Labelled rows and unlabelled rows that the views are fitted on, at most (in expectation).
+#: Labelled rows that the views are first fitted on, at most (in expectation).
 MOST_LABELLED = 12_000
-MOST_POOL = 12_000
 MOST_IDS = 2_000_000
 ROUNDS = 3
 #: A view passes on a label when it is this sure.
 SURE = 0.95
 WORD_BUCKETS = 1 << 15
-LANGS, SOURCES = 16, 64
+#: Buckets of languages, sources and both together: wide enough that few of them share one.
+TAG_BUCKETS = 1 << 14
 
 
 def features(docs: DataFrame) -> DataFrame:
     """``doc_id`` with the vectors of both views, all in DataFrame functions."""
     text = F.coalesce("text", F.lit(""))
-    df = docs.select("doc_id", "text", F.col("lang"), F.col("source"))
+    chars_told = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(0.0)
+    df = docs.select("doc_id", "text", "lang", "source", F.coalesce(chars_told, F.lit(0.0)).alias("told"))
     df = df.withColumn("words", F.array_remove(F.split(text, common.WORD_BREAK), ""))
     n = F.size("words")
     chars = F.length(text)
     share = lambda x, of: F.when(of > 0, x / of).otherwise(F.lit(0.0))
     lines = F.size(F.split(text, "\n"))
     figures = [
-        F.log1p(chars), F.log1p(n), F.log1p(lines), share(chars, n) / 10, share(n, lines) / 100,
+        F.log1p(F.greatest("told", F.lit(0.0))), F.log1p(chars), F.log1p(n), F.log1p(lines), share(chars, n) / 10, share(n, lines) / 100,
         share(F.size(F.array_distinct("words")), n),
         share(F.regexp_count(text, F.lit("[A-Z]")), chars), share(F.regexp_count(text, F.lit("[0-9]")), chars),
         share(F.regexp_count(text, F.lit("[^\\w\\s.,]")), chars),
-    ]
-    kind = lambda c, size: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(size)).cast("int")
-    lang, source = kind("lang", LANGS), kind("source", SOURCES)
-    spots = [(lang == i).cast("double") for i in range(LANGS)] + [(source == i).cast("double") for i in range(SOURCES)]
-    df = df.withColumn("meta", array_to_vector(F.array(*[f.cast("double") for f in figures], *spots)))
-    words = HashingTF(inputCol="words", outputCol="content", numFeatures=WORD_BUCKETS, binary=True)
-    return words.transform(df).select("doc_id", "content", "meta")
+    ]
+    named = lambda c: F.concat(F.lit(c), F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")))
+    lang, source = named("lang"), named("source")
+    df = df.withColumn("figures", array_to_vector(F.array(*[f.cast("double") for f in figures])))
+    df = df.withColumn("tags", F.array(lang, source, F.concat_ws(" ", lang, source)))
+    for column, output, size in (("words", "content", WORD_BUCKETS), ("tags", "tag_bits", TAG_BUCKETS)):
+        df = HashingTF(inputCol=column, outputCol=output, numFeatures=size, binary=True).transform(df)
+    meta = VectorAssembler(inputCols=["tag_bits", "figures"], outputCol="meta")
+    return meta.transform(df).select("doc_id", "content", "meta")
 
 
 def _thin(df: DataFrame, most: int) -> DataFrame:
@@ -79,7 +87,10 @@ class CoTrained:
 
     def score(self, docs: DataFrame) -> DataFrame:
         """``doc_id, text_margin, meta_margin, score`` of every row."""
-        rows = features(docs)
+        return self.score_rows(features(docs))
+
+    def score_rows(self, rows: DataFrame) -> DataFrame:
+        """The same from rows that have their vectors."""
         if self.models is None:
             zero = F.lit(0.0)
             return rows.select("doc_id", zero.alias("text_margin"), zero.alias("meta_margin"), F.lit(0.5).alias("score"))
@@ -99,15 +110,17 @@ def _fit(rows: DataFrame, view: str):
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds: int = ROUNDS) -> CoTrained:
     """Fit both views by co-training on labels outside the held-out quarter of ids."""
-    spark = docs.sparkSession
+    return fit_rows(common.stage(features(docs), "co-rows"), labels, label, rounds)
+
+
+def fit_rows(rows: DataFrame, labels: DataFrame, label: str = "quality", rounds: int = ROUNDS) -> CoTrained:
+    """``fit`` from stored rows that have their vectors."""
+    spark = rows.sparkSession
     named = labels.select("doc_id", F.col(label).cast("double").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL")
     named = named.groupBy("doc_id").agg(F.max("y").alias("y"))
     usable = _thin(named.where(common.crc_mod(F.col("doc_id"), 4) != 2), MOST_LABELLED)
-    docs = docs.select("doc_id", "text", "lang", "source")
-    known = docs.join(common.by_size(spark, usable, 2 * MOST_LABELLED), "doc_id")
-    pool = _thin(docs, MOST_POOL).join(common.by_size(spark, named.select("doc_id"), MOST_IDS), "doc_id", "left_anti")
-    labelled = common.stage(features(known).join(common.by_size(spark, usable, 2 * MOST_LABELLED), "doc_id"), "co-labelled")
-    pool = common.stage(features(pool), "co-pool")
+    labelled = common.stage(rows.join(common.by_size(spark, usable, 2 * MOST_LABELLED), "doc_id"), "co-labelled")
+    pool = rows.join(common.by_size(spark, named.select("doc_id"), MOST_IDS), "doc_id", "left_anti")
     calibration = common.crc_mod(F.col("doc_id"), 5) == 0
     base, held = labelled.where(~calibration), labelled.where(calibration)
     kinds = lambda rows: rows.select("y").distinct().count()

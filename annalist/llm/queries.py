@@ -38,8 +38,8 @@ def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    scored = cotraining.fit(docs, table(spark, sf_dir, "labels")).score(docs)
+    rows = common.stage(cotraining.features(table(spark, sf_dir, "documents")), "co-rows")
+    scored = cotraining.fit_rows(rows, table(spark, sf_dir, "labels")).score_rows(rows)
     return scored.select(
         "doc_id",
         (common.crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"),

@@ -174,6 +174,32 @@ def test_quality_held_out(spark, sf):
     assert sum((r["score"] >= 0.5) == bool(r["quality"]) for r in rows) >= 0.9 * len(rows)
 
 
+def test_quality_of_odd_rows_by_fitted_views(odd, odd_rows, none, spark, sf, monkeypatch):
+    """Nulls, empty and very long texts meet a fitted model, in the exchange and in the scores."""
+    big = sf.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    both = docs.select(columns).unionByName(odd.select(*columns).withColumn("doc_id", -F.col("doc_id")))
+    trained = cotraining.fit(both, labels, rounds=2)
+    assert trained.models is not None
+    rows = trained.score(odd).collect()
+    assert len(rows) == len(odd_rows) and all(0 <= r["score"] <= 1 for r in rows)
+    by = {}
+    for r in rows:
+        by.setdefault(r["doc_id"], set()).add(r["score"])
+    assert len(by[4]) == 1 and len(by) == len({r[0] for r in odd_rows})
+    assert trained.score(none).count() == 0
+
+
+def test_views_of_rows(spark):
+    """The text view is the words alone; a null language or source is not an empty one."""
+    rows = [(1, "one text", "en", "s", 5), (2, "one  TEXT", "en", "s", 5), (3, "text one", "de", None, None), (4, "text one", "de", "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in cotraining.features(docs).collect()}
+    assert got[1]["content"] == got[3]["content"] != got[2]["content"]
+    assert got[1]["meta"] != got[3]["meta"] != got[4]["meta"]
+
+
 def test_quality_of_odd_rows(odd, none, spark):
     labels = spark.createDataFrame([(1, 1), (2, None)], "doc_id long, quality int")
     trained = cotraining.fit(odd, labels)
