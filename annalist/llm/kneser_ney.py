@@ -1,6 +1,6 @@
 """Interpolated modified Kneser-Ney bigram model, counted in Spark and read by memory mapping.
 
-Tokens are lower-cased words and one end per text; each is known by a 48-bit hash. Tasks count
+Tokens are lower-cased words and one end per text; each is known by a 64-bit hash. Tasks count
 pairs of neighbours over blocks of text and pack the counts into byte blocks, one per range of
 the pair hash. Spark shuffles the blocks, and the counts of a range are merged and written as
 sorted arrays to the shared folder: a sharded model that grows with the corpus. The words'
@@ -39,13 +39,12 @@ RANGE_BYTES = 24_000_000
 BLOCK_TOKENS = 1_500_000
 
 _M = np.uint64
-_MASK48 = _M((1 << 48) - 1)
 START, END = _M(1), _M(2)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    """48-bit hashes of words, none of them small."""
-    return np.maximum(hashing.word_hashes(words) & _MASK48, _M(16))
+    """64-bit hashes of words, none of them small."""
+    return np.maximum(hashing.word_hashes(words), _M(16))
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,9 +68,9 @@ def pair_hash(before: np.ndarray, now: np.ndarray) -> np.ndarray:
     return mix(mix(before * hashing.STEP) ^ now)
 
 
-def range_of(hashes: np.ndarray, ranges: int, bits: int = 64) -> np.ndarray:
+def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
     """The range of each hash: ranges of equal width in the order of the hashes."""
-    return (((hashes >> _M(bits - 32)) * _M(ranges)) >> _M(32)).astype(np.int64)
+    return (((hashes >> _M(32)) * _M(ranges)) >> _M(32)).astype(np.int64)
 
 
 def _planes(values: np.ndarray, width: int) -> bytes:
@@ -115,8 +114,8 @@ class Blocks:
         return ranges[starts].tolist(), [self.pack(*(c[a:b] for c in columns)) for a, b in zip(starts, ends)]
 
 
-PAIRS = Blocks(6, 6, 4)
-WORDS = Blocks(6, 5, 5, 4, 4, 4)
+PAIRS = Blocks(8, 8, 4)
+WORDS = Blocks(8, 5, 5, 4, 4, 4)
 BLOCK_SCHEMA = "part int, data binary"
 
 
@@ -170,8 +169,8 @@ def train(docs: DataFrame, used: Column | None = None) -> Model:
     if used is not None:
         source = source.where(used)
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # About 6 bytes a token, 16 bytes a count.
-    ranges = max(1, -(-size * 16 // (6 * RANGE_BYTES)))
+    # About 6 bytes a token, 20 bytes a count.
+    ranges = max(1, -(-size * 20 // (6 * RANGE_BYTES)))
     path = shared.folder(spark, "kneser-ney")
     spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(
         spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -217,7 +216,7 @@ def train(docs: DataFrame, used: Column | None = None) -> Model:
         ]
         sums = [np.add.reduceat(c[order], first) for c in columns]
         words = words[order[first]]
-        parts, data = WORDS.deal(range_of(words, ranges, 48), words, *sums)
+        parts, data = WORDS.deal(range_of(words, ranges), words, *sums)
         return pa.table([pa.array([*parts, -1], pa.int32()), pa.array([*data, summary.tobytes()], pa.binary())], ["part", "data"])
 
     def merge_words(table: pa.Table) -> pa.Table:
@@ -236,8 +235,9 @@ def train(docs: DataFrame, used: Column | None = None) -> Model:
         figures = [np.count_nonzero(after == k) for k in (1, 2, 3, 4)] + [np.count_nonzero(after), int(sums[0].sum())]
         return pa.table([["words"], [[int(x) for x in figures]]], names)
 
-    counted = source.mapInArrow(count, BLOCK_SCHEMA)
-    merged = counted.groupBy("part").applyInArrow(merge_pairs, BLOCK_SCHEMA)
+    # As many tasks as ranges, so that a task holds few of them at any size of the corpus.
+    counted = source.mapInArrow(count, BLOCK_SCHEMA).repartition(ranges, "part")
+    merged = counted.groupBy("part").applyInArrow(merge_pairs, BLOCK_SCHEMA).repartition(ranges, "part")
     figures = merged.groupBy("part").applyInArrow(merge_words, "kind string, figures array<long>")
     sums = figures.select("kind", F.posexplode("figures")).groupBy("kind", "pos").agg(F.sum("col").alias("n")).collect()
     found = {(r["kind"], r["pos"]): r["n"] for r in sums}
@@ -281,9 +281,9 @@ class Reader:
                 out.write(chunk)
         return local
 
-    def _find(self, kind: str, hashes: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def _find(self, kind: str, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each range: its number, the queries found there and their places. Hashes are sorted."""
-        part = range_of(hashes, self.model.ranges, bits)
+        part = range_of(hashes, self.model.ranges)
         edges = np.searchsorted(part, np.arange(self.model.ranges + 1))
         for number in np.unique(part).tolist():
             keys = self._map(f"{kind}-{number}.hash", "<u8")
@@ -297,7 +297,7 @@ class Reader:
     def pairs(self, hashes: np.ndarray) -> np.ndarray:
         """Counts of pairs by sorted hash."""
         out = np.zeros(len(hashes), np.float64)
-        for number, rows, at in self._find("pair", hashes, 64):
+        for number, rows, at in self._find("pair", hashes):
             counts = self._map(f"pair-{number}.count", np.uint8)[at].astype(np.float64)
             large = self._map(f"pair-{number}.large", "<u8")
             if len(large):
@@ -310,7 +310,7 @@ class Reader:
     def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Count, and words before and kinds of what follows, of words by sorted hash."""
         count, kinds = np.zeros(len(hashes), np.float64), np.zeros((len(hashes), 4), np.float64)
-        for number, rows, at in self._find("word", hashes, 48):
+        for number, rows, at in self._find("word", hashes):
             count[rows] = self._map(f"word-{number}.count", "<u8")[at]
             kinds[rows] = self._map(f"word-{number}.kinds", "<u4").reshape(-1, 4)[at]
         return count, kinds
