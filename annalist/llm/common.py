@@ -4,10 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from annalist.sources import shared
+from annalist.sources.workers import ship as ship
 
 # Words are runs of anything but the six ASCII white-space characters. ``bytes.split()``
 # cuts at exactly these, and ``bytes.lower()`` lowers exactly A-Z.
@@ -23,27 +21,11 @@ WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 # Rows of text handled at once by a task; keeps memory flat when texts are long.
 TEXT_BYTES = 4_000_000
 
-_shipped: set[str] = set()
-
 # What a worker keeps from task to task, and how to let go of it. Workers outlive stages, so
 # the next operator that runs in one frees what the last has kept.
 KEPT: dict[str, Callable[[], None]] = {}
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of every executor."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="annalist-code-")) / "annalist_package.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for path in sorted(root.rglob("*.py")):
-            z.write(path, str(Path(root.name) / path.relative_to(root)))
-    spark.sparkContext.addPyFile(str(target))
-    _shipped.add(app)
-
-
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends in stored files."""
     spark = df.sparkSession
@@ -103,9 +85,16 @@ def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+# Bytes of a frame that is sent to all executors, at most: 16 a value and what texts hold.
+BROADCAST_BYTES = 64_000_000
+
+
 def by_size(spark: SparkSession, df: DataFrame, most_rows: int) -> DataFrame:
-    """Mark a frame of ids for broadcast if a count proves it small; else leave Spark to shuffle."""
-    return F.broadcast(df) if df.count() <= most_rows else df
+    """Mark a frame of ids for broadcast if its rows and bytes prove it small; else leave Spark to shuffle."""
+    texts = [F.octet_length(c) for c, kind in df.dtypes if kind in ("string", "binary")]
+    held = sum((F.coalesce(F.sum(x), F.lit(0)) for x in texts), F.count(F.lit(1)) * 16 * len(df.columns))
+    rows, size = df.agg(F.count(F.lit(1)), held).first()
+    return F.broadcast(df) if rows <= most_rows and size <= BROADCAST_BYTES else df
 
 
 def publish(path: str, data: bytes) -> None:

@@ -50,11 +50,9 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoo
     """log(target / raw) of each bucket: as many numbers as buckets, whatever the corpus."""
     ids = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("_trusted", F.lit(1))
     ids = common.by_size(docs.sparkSession, ids, MOST_TRUSTED)
-    grams = (
-        _word_hashes(common.text_column(docs))
-        .select("doc_id", F.explode(_buckets(buckets)).alias("bucket"))
-        .join(ids, "doc_id", "left")
-    )
+    # Documents are marked before their n-grams are taken apart: what is joined are documents.
+    marked = common.text_column(docs).join(ids, "doc_id", "left")
+    grams = _word_hashes(marked).select("_trusted", F.explode(_buckets(buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_trusted").alias("target"))
     raw, target = [0] * buckets, [0] * buckets
     for row in counts.collect():

@@ -124,6 +124,23 @@ def _table(columns: list, schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
+def anchor_lists(anchors: DataFrame) -> DataFrame:
+    """``key, anchors, least, size`` of each text with anchors that recur; ``size`` is that of all its copies."""
+    recurring = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    lists = anchors.select("anchor", "key", "size").join(recurring, "anchor").groupBy("key")
+    # Each copy of a row has every anchor of its text once.
+    copies = F.ceil(F.sum("size") / F.size(F.collect_set("anchor")))
+    return lists.agg(F.collect_set("anchor").alias("anchors"), F.min("anchor").alias("least"), copies.alias("size"))
+
+
+def bucket_parts(lists: DataFrame) -> DataFrame:
+    """``least, parts``: into how many buckets the texts with the same least anchor go.
+
+    They mostly share passages, so they go to one bucket, or to as many as their size asks for.
+    """
+    return lists.groupBy("least").agg(F.ceil(F.sum("size") * 4 / BUCKET_BYTES).alias("parts"))
+
+
 def remove_repeats(docs: DataFrame, output: str = "digest", window: int = WINDOW, text: str = "text") -> DataFrame:
     """All columns of the rows but the text, and the columns of the output: digests or new text."""
     spark = docs.sparkSession
@@ -151,14 +168,8 @@ def remove_repeats(docs: DataFrame, output: str = "digest", window: int = WINDOW
             )
 
     anchors = common.stage(named.select("key", "text").mapInArrow(find_anchors, "anchor long, key long, n long, size long"), "phrase-anchors")
-    recurring = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    lists = anchors.select("anchor", "key", "size").join(recurring, "anchor").groupBy("key")
-    lists = lists.agg(F.collect_set("anchor").alias("anchors"), F.min("anchor").alias("least"), F.min("size").alias("size"))
-    # Texts with the same least anchor mostly share passages. They go to one bucket, or to as
-    # many as their size asks for.
-    lists_stage = lists = common.stage(lists, "phrase-lists")
-    groups = lists.groupBy("least").agg(F.ceil(F.sum("size") * 4 / BUCKET_BYTES).alias("parts"))
-    lists = lists.drop("size").join(groups, "least")
+    lists_stage = lists = common.stage(anchor_lists(anchors), "phrase-lists")
+    lists = lists.drop("size").join(bucket_parts(lists), "least")
 
     out = T.StructType([named.schema["row"], T.StructField("key", T.LongType()), T.StructField("text", T.StringType())])
     out = T.StructType([*out.fields, T.StructField("anchors", T.ArrayType(T.LongType())), T.StructField("least", T.LongType()), T.StructField("parts", T.LongType()), *T._parse_datatype_string(added.replace("text ", "new_text ")).fields])

@@ -151,3 +151,19 @@ def test_cut_text_keeps_other_columns_and_white_space(odd, odd_rows):
     texts = {r["doc_id"]: r["text"] for r in cut.where(F.col("doc_id") >= 6).collect()}
     assert texts[13] == "one two three" and texts[14] == odd_rows[15][1]
     assert texts[6].split("\n")[0] == odd_rows[7][1].split("\n")[0]
+
+
+def test_repeated_rows_spread_over_buckets(spark, monkeypatch):
+    """3,000 equal rows with one id are as large as 3,000 rows with their own ids."""
+    one = [(a, 7, 1, 1_000) for a in (11, 12)] * 3_000
+    own = [(a, 100 + k, 1, 1_000) for a in (21, 22) for k in range(3_000)]
+    anchors = spark.createDataFrame(one + own + [(31, 8, 2, 500), (32, 9, 1, 500)], "anchor long, key long, n long, size long")
+    lists = phrases.anchor_lists(anchors)
+    sizes = {r["key"]: (r["least"], r["size"]) for r in lists.collect()}
+    assert sizes[7] == (11, 3_000_000) and sizes[100] == (21, 1_000) and sizes[8] == (31, 500) and 9 not in sizes
+    assert {r["least"]: r["parts"] for r in phrases.bucket_parts(lists).collect()} == {11: 3, 21: 3, 31: 1}
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(5, text)] * 300 + [(6, text + " end"), (8, "other words")], "doc_id long, text string")
+    monkeypatch.setattr(phrases, "BUCKET_BYTES", 5_000)
+    got = phrases.remove_repeats(docs.repartition(4)).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, got)) == [(5, 60, 60, 300), (6, 61, 60, 1), (8, 2, 0, 1)]
