@@ -42,9 +42,14 @@ def unstage(*staged: DataFrame) -> None:
         shared.remove(df.sparkSession, df.stage_path)
 
 
+def named(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def text_column(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The two columns an operator reads, under fixed names, whatever else the table has."""
-    return docs.select(docs[key].alias("doc_id"), docs[text].alias("text"))
+    return docs.select(named(key).alias("doc_id"), named(text).alias("text"))
 
 
 def crc_mod(key: Column, modulus: int) -> Column:

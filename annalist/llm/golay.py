@@ -253,7 +253,7 @@ def keep_first(docs: DataFrame, rows: DataFrame, named: DataFrame) -> DataFrame:
     dropped = common.stage(members.where("mark <> kept").select("mark._m1", "mark._m2").distinct(), "near-dropped")
     twice = members.where("mark = kept").groupBy("mark").count().where("count > 1").select("mark._m1", "mark._m2")
     twice = common.stage(twice, "near-twice")
-    spark, names = docs.sparkSession, [docs[c] for c in docs.columns]
+    spark, names = docs.sparkSession, [common.named(c) for c in docs.columns]
     left = docs.select(F.struct(*names).alias("row"), *marks())
     left = left.join(common.by_size(spark, dropped, MOST_DROPPED), ["_m1", "_m2"], "left_anti")
     if twice.count():

@@ -147,7 +147,7 @@ def remove_repeats(docs: DataFrame, output: str = "digest", window: int = WINDOW
     common.ship(spark)
     finish, added = OUTPUTS[output]
     others = [c for c in docs.columns if c != text]
-    named = docs.select(F.struct(*[docs[c] for c in others]).alias("row"), docs[text].alias("text"))
+    named = docs.select(F.struct(*[common.named(c) for c in others]).alias("row"), common.named(text).alias("text"))
     named = named.withColumn("key", F.xxhash64(F.to_json("row"), "text"))
 
     def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +296,7 @@ def remove_repeats(docs: DataFrame, output: str = "digest", window: int = WINDOW
 
     located = dealt.select("bucket", "row", "text").groupBy("bucket").cogroup(sent.groupBy("shard")).applyInArrow(locate, final)
     result = clean.select(located.columns).unionByName(located)
-    named_out = [F.col(f"row.`{c}`").alias(c) for c in others]
+    named_out = [F.col("row")[c].alias(c) for c in others]
     return result.select(*named_out, *[F.col(c).alias("text" if c == "new_text" else c) for c in final.names[1:]])
 
 

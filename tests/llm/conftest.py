@@ -14,7 +14,7 @@ SCHEMA = T.StructType(
         T.StructField("source", T.StringType()),
         T.StructField("n_chars", T.LongType()),
         # Names that operators use for columns of their own.
-        *(T.StructField(x, T.StringType()) for x in ("score", "key", "row", "fp", "anchors", "length", "y", "_row")),
+        *(T.StructField(x, T.StringType()) for x in ("score", "key", "row", "fp", "anchors", "length", "y", "_row", "a.b `c")),
     ]
 )
 
@@ -47,7 +47,7 @@ def odd_rows():
         (14, "\x0b\x0cone\x1ctwo\x85three\xa0four"),
         (None, None),
     ]
-    return [(i, t, None if i == 7 else "en", None if i == 6 else "s", None, *["z"] * 8) for i, t in texts]
+    return [(i, t, None if i == 7 else "en", None if i == 6 else "s", None, *["z"] * 9) for i, t in texts]
 
 
 @pytest.fixture(scope="session")
