@@ -52,6 +52,11 @@ def text_column(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return docs.select(named(key).alias("doc_id"), named(text).alias("text"))
 
 
+def plain_names(docs: DataFrame) -> list[str]:
+    """Names for the columns of a frame that any function of Spark takes: c0, c1 and so on."""
+    return [f"c{n}" for n in range(len(docs.columns))]
+
+
 def crc_mod(key: Column, modulus: int) -> Column:
     """crc32 of a key as text, modulo a number; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % modulus

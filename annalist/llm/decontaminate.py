@@ -226,17 +226,20 @@ def clean(docs: DataFrame, benchmark: DataFrame, item_key: str = "item_id", item
     """The rows in which no passage is found, with all their columns."""
     spark = docs.sparkSession
     common.ship(spark)
+    names, wanted = common.plain_names(docs), docs.columns
+    place = names[wanted.index(text)]
+    docs = docs.toDF(*names)
     schema = docs.schema
     for block in blocks(benchmark, item_key, item_text):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value, rate)
-            for batch in common.slices(batches, text):
+            for batch in common.slices(batches, place):
                 keep = np.ones(batch.num_rows, bool)
-                for row, *_ in index.matches([normalise(x) for x in common.raw_texts(batch, text)]):
+                for row, *_ in index.matches([normalise(x) for x in common.raw_texts(batch, place)]):
                     keep[row] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, schema)
-    return docs
+    return docs.toDF(*wanted)

@@ -49,7 +49,7 @@ SPELT = {"licence": "license", "licences": "licenses", "licenced": "licensed"}
 # Verbs that say the same before "under".
 VERBS = frozenset("released distributed available published provided offered".split())
 #: Words that turn a notice into its opposite, up to ``NEAR`` words before it.
-NOT = frozenset("not never no isn't aren't wasn't weren't nor neither without cannot".split())
+NOT = frozenset("not never longer isn't aren't wasn't weren't nor neither cannot".split())
 NEAR = 3
 # Words that tell licenses apart: all of their titles but those that say nothing alone.
 COMMON = frozenset(

@@ -399,13 +399,17 @@ def reject(docs: DataFrame, model: Model, least: float, text: str = "text") -> D
     """The rows that score below ``least``, with all their columns."""
     common.ship(docs.sparkSession)
 
+    names = common.plain_names(docs)
+    place = names[docs.columns.index(text)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer.of(model)
-        for batch in common.slices(batches, text, keep="toxicity"):
-            scores = (model.score(scorer.evidence(x.decode(errors="replace"))) for x in common.raw_texts(batch, text))
+        for batch in common.slices(batches, place, keep="toxicity"):
+            scores = (model.score(scorer.evidence(x.decode(errors="replace"))) for x in common.raw_texts(batch, place))
             yield batch.filter(pa.array([x < least for x in scores], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = docs.toDF(*names)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 def restore(docs: DataFrame, model: Model) -> DataFrame:

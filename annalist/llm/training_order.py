@@ -9,10 +9,12 @@ is a permutation of 0 to n - 1 that needs a key and no table, so each task compu
 Slots are cut into ranges of a fixed number of sequences, one file each, with two bytes a token
 and no header: the bytes of a slot are found by multiplication, and a reader can stop and go
 on at any slot. Files are written in one step under their final name, so a retried task
-replaces a file by an equal one.
+replaces a file by an equal one. A file is a range of slots and one group of a task, which tasks
+share out by its number. Two bytes hold 65,536 ids; a tokenizer with more is refused.
 
 Defined cases: null text is empty; an empty text is its end id; equal rows are stored each; an
-empty table gives no files and no rows; other columns are left out.
+empty table gives no files and no rows; other columns are left out; a very long text lies over many
+sequences and is encoded in one task.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from dataclasses import asdict, dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from annalist.llm import common
 from annalist.llm.tokens import WordIds
@@ -36,6 +38,8 @@ PER_SHARD = 4096
 ROUNDS = 6
 #: Sequences in one row of the stored stream.
 IN_ROW = 64
+#: Tasks that wrote the stream, up to which their offsets are sent to all executors.
+MOST_PARTS = 1_000_000
 #: Sequences that a task sorts by file before it passes them on.
 IN_BLOCK = 8192
 
@@ -147,11 +151,14 @@ def materialise(docs: DataFrame, tokenizer: str, key: int = 1, length: int = LEN
     found = stream(docs, tokenizer, length)
     found.write.option("compression", "zstd").parquet(f"{path}/stream")
     rows = spark.read.schema(found.schema).parquet(f"{path}/stream")
-    # One row per task that wrote the stream.
-    parts = rows.groupBy("part").agg(F.sum("sequences").alias("n")).orderBy("part").collect()
-    before, total = {}, 0
-    for r in parts:
-        before[r["part"]], total = total, total + r["n"]
+    # One row per task that wrote the stream: where its sequences begin among all.
+    parts = rows.groupBy("part").agg(F.sum("sequences").alias("n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), "n")
+    offsets = common.stage(offsets, "order-offsets")
+    total = offsets.agg(F.sum("n")).first()[0] or 0
+    rows = rows.join(common.by_size(spark, offsets.drop("n"), MOST_PARTS), "part")
+    rows = rows.withColumn("first", F.col("first") + F.col("before"))
     order = Order(path, total, length, per_shard, key)
     common.publish(f"{path}/order.json", json.dumps(asdict(order)).encode())
 
@@ -173,8 +180,8 @@ def materialise(docs: DataFrame, tokenizer: str, key: int = 1, length: int = LEN
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *map(pa.array, out[1:])], ["shard", "rows", "ids"])
 
         for batch in batches:
-            for part, first, n, data in zip(*(batch.column(c).to_pylist() for c in ("part", "first", "sequences", "ids"))):
-                numbers.append(before[part] + first + np.arange(n))
+            for first, n, data in zip(*(batch.column(c).to_pylist() for c in ("first", "sequences", "ids"))):
+                numbers.append(first + np.arange(n))
                 ids.append(np.frombuffer(data, "<u2").reshape(n, length))
                 held += n
                 if held >= IN_BLOCK:
@@ -194,7 +201,7 @@ def materialise(docs: DataFrame, tokenizer: str, key: int = 1, length: int = LEN
         common.publish(order.file(shard), data)
         return pa.table({"shard": [shard], "shard_crc32": [zlib.crc32(data)]})
 
-    dealt = rows.select("part", "first", "sequences", "ids").mapInArrow(deal, "shard long, rows binary, ids binary")
+    dealt = rows.select("first", "sequences", "ids").mapInArrow(deal, "shard long, rows binary, ids binary")
     files = common.stage(dealt.groupBy("shard").applyInArrow(write, "shard long, shard_crc32 long"), "training-shards")
 
     key_type = found.schema["doc_id"].dataType.elementType.simpleString()
@@ -211,7 +218,7 @@ def materialise(docs: DataFrame, tokenizer: str, key: int = 1, length: int = LEN
                 sequence = at[owner] // length + step
                 low = np.maximum(at[owner], sequence * length)
                 high = np.minimum(at[owner] + count[owner], (sequence + 1) * length)
-                slots = order.slots(before[row["part"]] + row["first"] + sequence)
+                slots = order.slots(row["first"] + sequence)
                 ids = pa.array(row["doc_id"], batch.schema.field("doc_id").type.value_type).take(pa.array(owner))
                 columns = [start[owner] + low - at[owner], slots, low - sequence * length, high - low, slots // per_shard]
                 byte = (slots % per_shard * length + low - sequence * length) * 2
@@ -219,7 +226,7 @@ def materialise(docs: DataFrame, tokenizer: str, key: int = 1, length: int = LEN
                     [ids, *map(pa.array, columns), pa.array(byte)], ["doc_id", "start", "slot", "offset", "count", "shard", "byte"]
                 )
 
-    placed = rows.select("part", "first", "doc_id", "start", "at", "count").mapInArrow(
+    placed = rows.select("first", "doc_id", "start", "at", "count").mapInArrow(
         place, f"doc_id {key_type}, start long, slot long, offset long, count long, shard long, byte long"
     )
     return order, placed.join(files, "shard").select("doc_id", "start", "slot", "offset", "count", "shard", "byte", "shard_crc32")

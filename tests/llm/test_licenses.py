@@ -82,6 +82,8 @@ OTHER = [
     ("This code is not licensed under the MIT License.", set()),
     ("It was never released under the MIT License, but licensed under the ISC License.", {"ISC"}),
     ("It isn't under the terms of the Apache License 2.0", set()),
+    ("It is no longer released under the MIT License.", set()),
+    ("A text without an end\nReleased under the MIT License.", {"MIT"}),
     ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", {"CC-BY-SA-4.0"}),
     ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported License.", {"CC-BY-NC-ND-3.0"}),
     ("Content is available under CC BY 4.0 unless noted.", {"CC-BY-4.0"}),
