@@ -22,7 +22,7 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, VectorAssembler
+from pyspark.ml.feature import HashingTF, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
@@ -61,6 +61,8 @@ def features(docs: DataFrame) -> DataFrame:
     df = df.withColumn("tags", F.array(lang, source, F.concat_ws(" ", lang, source)))
     for column, output, size in (("words", "content", WORD_BUCKETS), ("tags", "tag_bits", TAG_BUCKETS)):
         df = HashingTF(inputCol=column, outputCol=output, numFeatures=size, binary=True).transform(df)
+    # Told beforehand, else Spark would run a job to see the length, and fail on no rows.
+    df = VectorSizeHint(inputCol="figures", size=len(figures), handleInvalid="optimistic").transform(df)
     meta = VectorAssembler(inputCols=["tag_bits", "figures"], outputCol="meta")
     return meta.transform(df).select("doc_id", "content", "meta")
 
