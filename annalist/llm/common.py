@@ -11,21 +11,34 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from annalist.sources import shared
-from annalist.sources.workers import ship as ship
+from annalist.sources import shared, workers
 
 # Words are runs of anything but the six ASCII white-space characters. ``bytes.split()``
 # cuts at exactly these, and ``bytes.lower()`` lowers exactly A-Z.
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 
 # Rows of text handled at once by a task; keeps memory flat when texts are long.
-TEXT_BYTES = 4_000_000
+TEXT_BYTES = 2_500_000
 
 # What a worker keeps from task to task, and how to let go of it. Workers outlive stages, so
 # the next operator that runs in one frees what the last has kept.
 KEPT: dict[str, Callable[[], None]] = {}
 
 
+# Bytes of a batch that Spark sends to a Python worker, at most (one row at least). Both sides
+# hold a batch or two beside what they make of it.
+BATCH_BYTES = 8_000_000
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the workers, and let no batch on its way there be large."""
+    workers.ship(spark)
+    now = spark.conf.get(_BATCH, "").rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends in stored files."""
     spark = df.sparkSession

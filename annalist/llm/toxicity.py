@@ -29,10 +29,9 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +47,7 @@ LEAST_WEIGHT = 3.0
 #: Triples that a task gathers before it passes them on.
 MOST_TRIPLES = 100_000
 #: Words remembered by a worker: a matter of speed and memory only.
-MOST_WORDS = 300_000
+MOST_WORDS = 150_000
 
 # Letters that a sign may stand for.
 LOOKS = {
@@ -205,8 +204,6 @@ class Model:
     weights: dict[str, float]
     slope: float = 1.0
     base: float = 0.0
-    #: Tells models apart in a worker.
-    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def score(self, evidence: float) -> float:
         if self.base == -math.inf:
@@ -217,9 +214,6 @@ class Model:
 # Marks in the tree of terms: here a term ends, here a learnt beginning.
 WHOLE, OPENING = "", "+"
 
-_scorers: dict[str, "Scorer"] = {}
-common.KEPT["toxicity"] = _scorers.clear
-
 
 class Scorer:
     """Evidence of texts under a model, with the weights of words seen before."""
@@ -234,13 +228,6 @@ class Scorer:
                 node = node.setdefault(char, {})
             node[OPENING if opening else WHOLE] = {}
 
-    @classmethod
-    def of(cls, model: Model) -> "Scorer":
-        """One instance per worker and model."""
-        if model.name not in _scorers:
-            _scorers[model.name] = cls(model)
-        return _scorers[model.name]
-
     def spells(self, word: str) -> bool:
         """Whether some path of the word's lattice is a term or goes on from a learnt beginning."""
         nodes = [self.tree]
@@ -377,13 +364,15 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float,
 
 def _evidence(df: DataFrame, key: str, kind: str, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer.of(model)
-        for batch in common.slices(batches, keep="toxicity"):
+        scorer = Scorer(model)
+        for batch in common.slices(batches):
             found = [scorer.evidence(x.decode(errors="replace")) for x in common.raw_texts(batch)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(key), pa.array(found, pa.float64()), pa.array(map(model.score, found), pa.float64())],
                 [key, "evidence", "score"],
             )
+        scorer.known.clear()
+        common.give_back()
 
     return df.mapInArrow(run, f"{key} {kind}, evidence double, score double")
 
@@ -403,10 +392,12 @@ def reject(docs: DataFrame, model: Model, least: float, text: str = "text") -> D
     place = names[docs.columns.index(text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer.of(model)
-        for batch in common.slices(batches, place, keep="toxicity"):
+        scorer = Scorer(model)
+        for batch in common.slices(batches, place):
             scores = (model.score(scorer.evidence(x.decode(errors="replace"))) for x in common.raw_texts(batch, place))
             yield batch.filter(pa.array([x < least for x in scores], pa.bool_()))
+        scorer.known.clear()
+        common.give_back()
 
     rows = docs.toDF(*names)
     return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
