@@ -34,9 +34,9 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the workers, and let no batch on its way there be large."""
     workers.ship(spark)
-    now = spark.conf.get(_BATCH, "").rstrip("b")
-    if not now.isdigit() or int(now) > BATCH_BYTES:
-        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH))
+    if size > BATCH_BYTES:
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

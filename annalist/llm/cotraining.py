@@ -32,6 +32,8 @@ from annalist.llm import common
 MOST_LABELLED = 12_000
 MOST_IDS = 2_000_000
 ROUNDS = 3
+#: Steps of a fit on labelled rows, and of one on lent labels too, each a pass over all documents.
+ITERATIONS, LENT_ITERATIONS = 25, 10
 #: A view passes on a label when it is this sure.
 SURE = 0.95
 WORD_BUCKETS = 1 << 15
@@ -103,10 +105,10 @@ class CoTrained:
         )
 
 
-def _fit(rows: DataFrame, view: str):
+def _fit(rows: DataFrame, view: str, iterations: int):
     return LogisticRegression(
         featuresCol=view, labelCol="y", predictionCol="prediction", rawPredictionCol=f"{view}_raw",
-        probabilityCol=f"{view}_probability", regParam=1e-3, maxIter=25, aggregationDepth=2,
+        probabilityCol=f"{view}_probability", regParam=1e-3, maxIter=iterations, aggregationDepth=2,
     ).fit(rows)
 
 
@@ -133,7 +135,10 @@ def fit_rows(rows: DataFrame, labels: DataFrame, label: str = "quality", rounds:
     for number in range(rounds):
         for view in CoTrained.VIEWS:
             rows = base.select("y", view)
-            models[view] = _fit(rows if lent[view] is None else rows.unionByName(lent[view]), view)
+            if lent[view] is None:
+                models[view] = _fit(rows, view, ITERATIONS)
+            else:
+                models[view] = _fit(rows.unionByName(lent[view]), view, LENT_ITERATIONS)
         if number < rounds - 1:
             for view, other in (CoTrained.VIEWS, CoTrained.VIEWS[::-1]):
                 chance = vector_to_array(f"{view}_probability")[1]
