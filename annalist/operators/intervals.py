@@ -8,6 +8,8 @@ bins; a point is put in one bin of each width that some interval has, a few at m
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,3 +68,31 @@ def interval_join(
         return met
     alone = keyed.join(met.select("__row").distinct(), "__row", "left_anti")
     return met.unionByName(alone, allowMissingColumns=True).drop("__row")
+
+
+def interval_sums(
+    points: DataFrame,
+    intervals: DataFrame,
+    at: str,
+    start: str,
+    end: str,
+    sums: Mapping[str, str],
+    count: str,
+    width: int = 1,
+) -> DataFrame:
+    """Each interval that some point lies in, with the number of its points and sums over them.
+
+    ``sums`` gives the columns of ``points`` to add up, by the name of the result. Points of one
+    place are added up first, and intervals with equal ends meet them once, so that the join
+    grows with the different places and ends, not with the pairs of rows.
+    """
+    place = points.filter(F.col(at).isNotNull()).groupBy(F.col(at).alias("__at"))
+    places = place.agg(F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    ranged = intervals.filter(F.col(start) < F.col(end))
+    ends = ranged.select(F.col(start).alias("__start"), F.col(end).alias("__end")).distinct()
+    met = interval_join(places, ends, "__at", "__start", "__end", width)
+    found = met.groupBy("__start", "__end").agg(
+        F.sum("__n").alias(count), *[F.sum(f"__{n}").alias(n) for n in sums]
+    )
+    same = (F.col(start) == F.col("__start")) & (F.col(end) == F.col("__end"))
+    return ranged.join(found, same).drop("__start", "__end")

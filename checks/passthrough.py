@@ -83,8 +83,8 @@ def sql_join_interval(spark, sf_dir):
         key.alias("release"), hour.alias("opens"), (hour + length).alias("closes")
     )
     points = orders.select("o_orderkey", (hour + key % 24).alias("at"))
-    met = intervals.interval_join(points, windows, "at", "opens", "closes", width=24)
-    return met.groupBy("release").agg(F.count(F.lit(1)).alias("orders"), F.sum("o_orderkey").alias("keys"))
+    met = intervals.interval_sums(points, windows, "at", "opens", "closes", {"keys": "o_orderkey"}, "orders", width=24)
+    return met.groupBy("release").agg(F.sum("orders").alias("orders"), F.sum("keys").alias("keys"))
 
 
 _sql(

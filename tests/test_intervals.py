@@ -43,3 +43,30 @@ def test_prefixes_in_a_table(spark):
         given = [p for p in prefixes if p is not None]
         want = [k for k, n in enumerate(names) if n is None or not any(n.startswith(p) for p in given)]
         assert got == want, prefixes
+
+
+def test_sums_equal_those_of_the_pairs(spark):
+    rng = random.Random(5)
+    points = [(rng.choice([None, *range(40)]), rng.choice([None, *range(9)])) for _ in range(300)]
+    ranges = [(k % 20, rng.randrange(45), rng.choice([None, *range(60)])) for k in range(60)]
+    want = {}
+    for k, (of, start, stop) in enumerate(ranges):
+        inside = [v for at, v in points if None not in (at, stop) and start <= at < stop]
+        if inside:
+            known = [v for v in inside if v is not None]
+            want[k] = (of, start, stop, len(inside), sum(known) if known else None)
+    p = spark.createDataFrame(points, "at long, v long")
+    r = spark.createDataFrame(ranges, "of long, start long, stop long")
+    got = intervals.interval_sums(p, r, "at", "start", "stop", {"total": "v"}, "n", width=7)
+    key = lambda row: tuple((x is not None, x) for x in row)
+    assert got.columns == ["of", "start", "stop", "n", "total"]
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want.values(), key=key)
+
+
+def test_rows_of_one_place_meet_an_interval_once(spark):
+    p = spark.range(40_000).selectExpr("id % 2 AS at", "id AS v")
+    r = spark.range(40_000).selectExpr("id AS k", "0L AS start", "2L AS stop")
+    # 1.6 billion pairs if they were made.
+    got = intervals.interval_sums(p, r, "at", "start", "stop", {"total": "v"}, "n")
+    assert got.distinct().count() == 40_000
+    assert got.select("n", "total").distinct().collect() == [(40_000, 40_000 * 39_999 // 2)]
