@@ -225,17 +225,43 @@ def commits(finished: DataFrame) -> DataFrame:
 def changes(finished: DataFrame) -> DataFrame:
     """The ``change`` table: one row per commit and extension, none for an empty commit.
 
-    Change lines are summed by section and extension. A section is one row, so the partial
-    sums stand beside it and the shuffle carries result rows; a commit with any number of
-    extensions costs no more than its lines. ``section`` tells apart the rows of a repository
-    that is listed twice, so use it on a staged table, where the numbers stand still.
+    A section is one row, so its change lines are summed by extension inside that row, without a
+    shuffle, while it has ``_MOST_IN_ROW`` extensions at most. Sections with more of them are
+    summed by section and extension, so that a commit with any number of extensions costs no more
+    than its lines. ``section`` tells apart the rows of a repository that is listed twice, so use
+    it on a staged table, where the numbers stand still.
     """
     commit = [*schemas.columns(schemas.COMMIT), *_TIME]
-    lines = finished.select("section", *commit, F.inline("entries"))
+    few = F.size(_extensions()) <= _MOST_IN_ROW
+    in_row = finished.filter(few).select(*commit, F.inline(_churn()))
+    lines = finished.filter(~few).select("section", *commit, F.inline("entries"))
     sums = lines.groupBy("section", *commit, "ext").agg(
         F.sum("insertion").alias("insertion"), F.sum("deletion").alias("deletion")
     )
-    return sums.select(*schemas.columns(schemas.CHANGE), *_TIME)
+    names = [*schemas.columns(schemas.CHANGE), *_TIME]
+    return in_row.select(*names).unionByName(sums.select(*names))
+
+
+#: Extensions of a section that are summed inside its row; each is one more look at its lines.
+_MOST_IN_ROW = 32
+
+
+def _extensions() -> Column:
+    return F.array_distinct(F.transform("entries", lambda e: e["ext"]))
+
+
+def _churn() -> Column:
+    """``ext, insertion, deletion`` for each extension of ``entries``."""
+
+    def total(ext: Column, name: str) -> Column:
+        # No line is NULL, and the other extensions add nothing.
+        own = lambda e: F.when(e["ext"].eqNullSafe(ext), e[name]).otherwise(F.lit(0).cast("bigint"))
+        return F.aggregate("entries", F.lit(0).cast("bigint"), lambda sum_, e: sum_ + own(e))
+
+    return F.transform(
+        _extensions(),
+        lambda x: F.struct(x.alias("ext"), total(x, "insertion").alias("insertion"), total(x, "deletion").alias("deletion")),
+    )
 
 
 def file_counts(finished: DataFrame) -> DataFrame:

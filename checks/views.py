@@ -73,8 +73,8 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed_commits(spark, sf_dir).select(*schemas.columns(schemas.COMMIT))
 
 
-def _line_ext() -> Column:
-    part = F.col("l_partkey") % 6
+def _line_ext(key: "Column | None" = None) -> Column:
+    part = (F.col("l_partkey") if key is None else key) % 6
     return (
         F.when(part == 0, "py")
         .when(part == 1, "go")
@@ -173,19 +173,13 @@ def mail_date(datetime: str) -> Column:
     )
 
 
-def log_lines(spark: SparkSession, sf_dir: str, damaged: bool = False) -> DataFrame:
-    """``repo_name, hash, line_no, value``: the lines of the exported commit logs.
-
-    With ``damaged``, commits of status P with a low priority get a header without its hash,
-    and the other commits of status P a change line without its counters.
-    """
-    commit = keyed_commits(spark, sf_dir)
-    in_p = F.col("o_orderstatus") == "P"
-    low = F.col("o_orderpriority") == "5-LOW"
+def _log_header(damaged: bool) -> Column:
+    """The header line of an exported commit; damaged, commits of status P and low priority lack their hash."""
     shown_hash = F.concat(F.lit(" <"), F.col("hash"), F.lit(">"))
     if damaged:
+        in_p, low = F.col("o_orderstatus") == "P", F.col("o_orderpriority") == "5-LOW"
         shown_hash = F.when(in_p & low, "").otherwise(shown_hash)
-    header = F.concat(
+    return F.concat(
         F.lit("<"),
         mail_date("datetime"),
         F.lit(">"),
@@ -196,34 +190,78 @@ def log_lines(spark: SparkSession, sf_dir: str, damaged: bool = False) -> DataFr
         F.col("author_email"),
         F.lit(">"),
     )
-    ext = _line_ext()
-    line = F.concat(
-        F.col("l_quantity").cast("bigint").cast("string"),
+
+
+def _log_change(quantity: Column, number: Column, part: Column) -> Column:
+    """The change line of a line item."""
+    ext = _line_ext(part)
+    return F.concat(
+        quantity.cast("bigint").cast("string"),
         F.lit("\t"),
-        F.col("l_linenumber").cast("string"),
+        number.cast("string"),
         F.lit("\tsrc/p"),
-        F.col("l_partkey").cast("string"),
+        part.cast("string"),
         F.when(ext == "", "").otherwise(F.concat(F.lit("."), ext)),
     )
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``repo_name, hash, line_no, value``: the lines of the exported commit logs."""
+    commit = keyed_commits(spark, sf_dir)
+    line = _log_change(F.col("l_quantity"), F.col("l_linenumber"), F.col("l_partkey"))
     item = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", F.col("l_linenumber").cast("bigint").alias("line_no"), line.alias("value")
     )
     key = ["repo_name", "hash"]
-    lines = (
-        commit.select(*key, F.lit(0).cast("bigint").alias("line_no"), header.alias("value"))
-    ).unionByName(
-        commit.join(item, F.col("o_orderkey") == F.col("l_orderkey")).select(
-            *key, "line_no", "value"
-        )
+    header = commit.select(*key, F.lit(0).cast("bigint").alias("line_no"), _log_header(False).alias("value"))
+    return header.unionByName(
+        commit.join(item, F.col("o_orderkey") == F.col("l_orderkey")).select(*key, "line_no", "value")
     )
+
+
+def log_sections(spark: SparkSession, sf_dir: str, damaged: bool = False) -> DataFrame:
+    """``repo_name, value``: the same lines, those of a commit as one text.
+
+    With ``damaged``, commits of status P with a low priority get a header without its hash,
+    and the other commits of status P a change line without its counters. The line items of an
+    order are gathered as numbers, and become text beside their commit. Rows that repeat a commit
+    have all their headers in front, as where its lines are sorted.
+    """
+    commit = keyed_commits(spark, sf_dir)
+    broken = F.lit(None).cast("string")
     if damaged:
-        broken = commit.filter(in_p & ~low).select(
-            *key,
-            F.lit(1_000_000).cast("bigint").alias("line_no"),
-            F.lit("1 file changed").alias("value"),
-        )
-        lines = lines.unionByName(broken)
-    return lines
+        low = F.col("o_orderpriority") == "5-LOW"
+        broken = F.when((F.col("o_orderstatus") == "P") & ~low, "1 file changed")
+    head = F.struct("repo_name", _log_header(damaged).alias("header"), broken.alias("broken"))
+    # Spread before they are gathered, so that no task sorts more than its part.
+    heads = commit.select("o_orderkey", head.alias("head")).repartition("o_orderkey")
+    heads = heads.groupBy("o_orderkey").agg(F.collect_list("head").alias("heads"))
+    item = F.struct("l_linenumber", "l_quantity", "l_partkey")
+    items = table(spark, sf_dir, "lineitem").filter("l_orderkey IS NOT NULL")
+    items = items.select("l_orderkey", item.alias("item")).repartition("l_orderkey")
+    items = items.groupBy("l_orderkey").agg(F.collect_list("item").alias("items"))
+    both = heads.join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    names = F.array_distinct(F.transform("heads", lambda h: h["repo_name"]))
+    named = both.select("heads", "items", F.explode(names).alias("repo_name"))
+    own = named.withColumn("heads", F.filter("heads", lambda h: h["repo_name"].eqNullSafe(F.col("repo_name"))))
+    lines = F.transform("items", lambda i: _log_change(i["l_quantity"], i["l_linenumber"], i["l_partkey"]))
+    # A line of a commit stands there once for each of its rows.
+    times = F.array_repeat(F.array_join(lines, "\n"), F.size("heads"))
+    parts = F.concat(
+        F.transform("heads", lambda h: h["header"]),
+        F.coalesce(times, F.array().cast("array<string>")),
+        F.transform("heads", lambda h: h["broken"]),
+    )
+    return own.select("repo_name", F.array_join(F.filter(parts, lambda x: x != ""), "\n").alias("value"))
+
+
+def write_sections(found: DataFrame, path: str) -> None:
+    """Write whole sections as text below ``repo_name=...``, in files of an even size.
+
+    The rebalance hint splits a large repository over many files; nothing has to be sorted but
+    the repositories of one task.
+    """
+    found.hint("rebalance", "repo_name").write.partitionBy("repo_name").text(path)
 
 
 def write_log(lines: DataFrame, path: str) -> None:
@@ -259,12 +297,12 @@ def stored_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_path(spark: SparkSession, sf_dir: str) -> str:
-    return once(spark, sf_dir, "log", lambda p: write_log(log_lines(spark, sf_dir), p))
+    return once(spark, sf_dir, "log", lambda p: write_sections(log_sections(spark, sf_dir), p))
 
 
 def damaged_log_path(spark: SparkSession, sf_dir: str) -> str:
     return once(
-        spark, sf_dir, "damaged-log", lambda p: write_log(log_lines(spark, sf_dir, True), p)
+        spark, sf_dir, "damaged-log", lambda p: write_sections(log_sections(spark, sf_dir, True), p)
     )
 
 
