@@ -31,6 +31,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(place)
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a path."""
+    system, place = _place(spark, path)
+    return system.getContentSummary(place).getLength()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that a job has made for itself."""
     system, place = _place(spark, path)

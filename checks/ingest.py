@@ -109,7 +109,7 @@ def ingest_giant_commit(spark, sf_dir):
     """One commit with a third of all change lines, read in blocks that end inside it."""
     log = views.giant_log_path(spark, sf_dir)
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", str(_BLOCK_BYTES))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(max(_BLOCK_BYTES, shared.size(spark, log) // _BLOCKS)))
     try:
         _, changes = long_sections.parse(logs.read_log_lines(spark, log), views.stored_manifest(spark, sf_dir))
     finally:
@@ -117,8 +117,9 @@ def ingest_giant_commit(spark, sf_dir):
     return changes.select(*schemas.columns(schemas.CHANGE))
 
 
-# Small enough for the giant commit to lie over several blocks at every size of the tables.
-_BLOCK_BYTES = 65_536
+# Small enough for the giant commit to lie over several blocks at every size of the tables, and few
+# enough of them for the tasks not to grow in number with the log.
+_BLOCK_BYTES, _BLOCKS = 65_536, 256
 
 
 @check("ingest_tags", "SELECT repo_name, branch, datetime, tag FROM f_tag")
