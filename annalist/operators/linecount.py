@@ -2,7 +2,9 @@
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,22 +95,21 @@ _AT_ONCE = 4_000_000
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Line counts of each file of a batch."""
     for batch in batches:
-        repos, names, prefixes, prose, texts = (
-            batch.column(i).to_pylist() if i < 4 else batch.column(i).cast(pa.binary()).to_pylist()
-            for i in range(5)
-        )
-        names = [x.lower() for x in names]
-        own = [syntax.of(n, tuple(p), q) for n, p, q in zip(names, prefixes, prose)]
-        start, size = 0, 0
-        for row, text in enumerate(texts):
-            size += len(text)
-            if size >= _AT_ONCE or row == len(texts) - 1:
-                part, size = slice(start, row + 1), 0
-                start = row + 1
-                counts = syntax.count(texts[part], own[part])
-                columns = [pa.array(repos[part], pa.string()), pa.array(names[part], pa.string())]
-                columns += [pa.array(x, pa.int64()) for x in counts]
-                yield pa.RecordBatch.from_arrays(columns, ["repo_name", "ext", "lines", "comments", "blanks"])
+        sizes = pc.binary_length(batch.column(4)).to_numpy(zero_copy_only=False)
+        # Only the files of one part are Python objects at a time.
+        parts = np.cumsum(sizes) // _AT_ONCE
+        edges = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), batch.num_rows]
+        for start, stop in zip(edges[:-1], edges[1:]):
+            if start == stop:
+                continue
+            repos, names, prefixes, prose, texts = batch.slice(start, stop - start).columns
+            names = [x.lower() for x in names.to_pylist()]
+            kinds = zip(names, prefixes.to_pylist(), prose.to_pylist())
+            own = [syntax.of(n, tuple(p), q) for n, p, q in kinds]
+            counts = syntax.count(texts.cast(pa.binary()).to_pylist(), own)
+            columns = [repos.cast(pa.string()), pa.array(names, pa.string()), *(pa.array(x, pa.int64()) for x in counts)]
+            yield pa.RecordBatch.from_arrays(columns, ["repo_name", "ext", "lines", "comments", "blanks"])
+        pa.default_memory_pool().release_unused()
 
 
 def _name() -> Column:
