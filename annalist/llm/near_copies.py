@@ -1,6 +1,7 @@
 """Near copies by word shingles: sets of five-word shingles with Jaccard similarity 0.8 or more.
 
-Candidates share one of ``BANDS`` keys, each made of ``ROWS`` minima of the shingle hashes under
+Candidates are the rows that operator 4 links, by the Golay keys of their SimHash fingerprints
+(``golay``), and beyond its four bits those that share one of ``BANDS`` keys, each made of ``ROWS`` minima of the shingle hashes under
 random factors: a pair at similarity s is a candidate with probability 1 - (1 - s^5)^25, which is
 0.99995 at 0.8 and more above. Every candidate is verified by its exact shingle sets.
 
@@ -93,23 +94,41 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _sketched(keyed: DataFrame) -> DataFrame:
-    """``doc_id, mark, fp, n, keys`` of every row: digest, number and keys of its shingles."""
+    """``doc_id, mark, fp, n, keys, simhash`` of every row: digest, number and keys of its shingles, its fingerprint."""
     common.ship(keyed.sparkSession)
     kinds = [f"{c} {keyed.schema[c].dataType.simpleString()}" for c in ("doc_id", "mark")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            sets = shingles(common.raw_texts(batch))
+            texts = common.raw_texts(batch)
+            sets = shingles(texts)
             keys = [band_keys(s) for s in sets]
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             columns = [
                 pa.array([digest(s) for s in sets], pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys), pa.int64())),
+                pa.array([golay.fingerprint(x) for x in texts], pa.int64()),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *columns], ["doc_id", "mark", "fp", "n", "keys"])
+            names = ["doc_id", "mark", "fp", "n", "keys", "simhash"]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *columns], names)
 
-    return keyed.mapInArrow(run, ", ".join([*kinds, "fp long", "n long", "keys array<long>"]))
+    return keyed.mapInArrow(run, ", ".join([*kinds, "fp long", "n long", "keys array<long>", "simhash long"]))
+
+
+def _linked(rows: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` of sets whose SimHash fingerprints are equal or linked by operator 4.
+
+    Sets of one fingerprint meet its least one, and the least ones stand for their fingerprints.
+    """
+    held = common.stage(rows.where("n > 0").select("fp", "simhash").distinct(), "copy-simhashes")
+    least = common.stage(held.groupBy("simhash").agg(F.min("fp").alias("least")), "copy-least")
+    equal = held.join(least, "simhash").select("least", "fp")
+    found = golay.links(least.select(F.col("simhash").alias("fp")))
+    one, two = (least.select(F.col("simhash").alias(x), F.col("least").alias(f"of_{x}")) for x in "ab")
+    across = found.join(one, "a").join(two, "b").select("of_a", "of_b")
+    pairs = equal.union(across).toDF("x", "y").where("x <> y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -157,7 +176,8 @@ def _rooted(docs: DataFrame, rows: DataFrame) -> DataFrame:
     keyed = common.stage(nodes.select("fp", "n", F.explode("keys").alias("key")), "copy-keys")
     buckets = keyed.groupBy("key").agg(F.min("fp").alias("a"), F.count("*").alias("size")).where("size > 1")
     held = common.stage(keyed.join(buckets.select("key", "a"), "key"), "copy-buckets")
-    tried = common.stage(held.where("fp <> a").select("a", F.col("fp").alias("b")).distinct(), "copy-pairs")
+    tried = held.where("fp <> a").select("a", F.col("fp").alias("b")).union(_linked(rows))
+    tried = common.stage(tried.distinct(), "copy-pairs")
     texts = _texts(docs, rows, tried)
     links = common.stage(_verified(tried, texts), "copy-links")
     roots = components(links)

@@ -112,3 +112,15 @@ def test_a_large_group_without_a_common_member(spark, monkeypatch):
     assert corpus_pipeline.drop_near_duplicates(spark, docs, "").count() == wanted
     monkeypatch.setattr(near_copies, "SMALL", 10_000)
     assert corpus_pipeline.drop_near_duplicates(spark, docs, "").count() == wanted
+
+
+def test_pairs_of_linked_fingerprints_are_candidates(spark, monkeypatch):
+    rows = [(1, 5, 0b0), (2, 5, 0b1111), (3, 5, 0b11111111), (9, 5, 0b0), (4, 0, 0b0), (1, 5, 1 << 40 | 0b11111)]
+    sets = spark.createDataFrame(rows, "fp long, n long, simhash long")
+    assert {tuple(r) for r in near_copies._linked(sets).collect()} == {(1, 2), (2, 3), (1, 9)}
+    asked = []
+    links = near_copies.golay.links
+    monkeypatch.setattr(near_copies.golay, "links", lambda *a: asked.append(a) or links(*a))
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b  c d e f"), (3, "x")], "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 3] and asked
