@@ -205,34 +205,41 @@ def _log_change(quantity: Column, number: Column, part: Column) -> Column:
     )
 
 
-def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``repo_name, hash, line_no, value``: the lines of the exported commit logs."""
+def log_lines(spark: SparkSession, sf_dir: str, damaged: bool = False) -> DataFrame:
+    """``repo_name, hash, line_no, value``: the lines of the exported commit logs.
+
+    With ``damaged``, commits of status P with a low priority get a header without its hash,
+    and the other commits of status P a change line without its counters.
+    """
+    in_p, low = F.col("o_orderstatus") == "P", F.col("o_orderpriority") == "5-LOW"
     commit = keyed_commits(spark, sf_dir)
     line = _log_change(F.col("l_quantity"), F.col("l_linenumber"), F.col("l_partkey"))
     item = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", F.col("l_linenumber").cast("bigint").alias("line_no"), line.alias("value")
     )
     key = ["repo_name", "hash"]
-    header = commit.select(*key, F.lit(0).cast("bigint").alias("line_no"), _log_header(False).alias("value"))
-    return header.unionByName(
+    header = commit.select(*key, F.lit(0).cast("bigint").alias("line_no"), _log_header(damaged).alias("value"))
+    lines = header.unionByName(
         commit.join(item, F.col("o_orderkey") == F.col("l_orderkey")).select(*key, "line_no", "value")
     )
+    if damaged:
+        broken = commit.filter(in_p & ~low).select(
+            *key,
+            F.lit(1_000_000).cast("bigint").alias("line_no"),
+            F.lit("1 file changed").alias("value"),
+        )
+        lines = lines.unionByName(broken)
+    return lines
 
 
-def log_sections(spark: SparkSession, sf_dir: str, damaged: bool = False) -> DataFrame:
-    """``repo_name, value``: the same lines, those of a commit as one text.
+def log_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``repo_name, hash, value``: the lines of the logs without damage, those of a commit as one text.
 
-    With ``damaged``, commits of status P with a low priority get a header without its hash,
-    and the other commits of status P a change line without its counters. The line items of an
-    order are gathered as numbers, and become text beside their commit. Rows that repeat a commit
+    The line items of an order are gathered as numbers, and become text beside their commit. Rows that repeat a commit
     have all their headers in front, as where its lines are sorted.
     """
     commit = keyed_commits(spark, sf_dir)
-    broken = F.lit(None).cast("string")
-    if damaged:
-        low = F.col("o_orderpriority") == "5-LOW"
-        broken = F.when((F.col("o_orderstatus") == "P") & ~low, "1 file changed")
-    head = F.struct("repo_name", _log_header(damaged).alias("header"), broken.alias("broken"))
+    head = F.struct("repo_name", _log_header(False).alias("header"))
     # Spread before they are gathered, so that no task sorts more than its part.
     heads = commit.select("o_orderkey", head.alias("head")).repartition("o_orderkey")
     heads = heads.groupBy("o_orderkey").agg(F.collect_list("head").alias("heads"))
@@ -242,26 +249,29 @@ def log_sections(spark: SparkSession, sf_dir: str, damaged: bool = False) -> Dat
     items = items.groupBy("l_orderkey").agg(F.collect_list("item").alias("items"))
     both = heads.join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     names = F.array_distinct(F.transform("heads", lambda h: h["repo_name"]))
-    named = both.select("heads", "items", F.explode(names).alias("repo_name"))
+    named = both.select("heads", "items", _key_hash("o_orderkey").alias("hash"), F.explode(names).alias("repo_name"))
     own = named.withColumn("heads", F.filter("heads", lambda h: h["repo_name"].eqNullSafe(F.col("repo_name"))))
-    lines = F.transform("items", lambda i: _log_change(i["l_quantity"], i["l_linenumber"], i["l_partkey"]))
+    # What has no text is an empty line.
+    text = lambda x: F.coalesce(x, F.lit(""))
+    lines = F.transform("items", lambda i: text(_log_change(i["l_quantity"], i["l_linenumber"], i["l_partkey"])))
     # A line of a commit stands there once for each of its rows.
     times = F.array_repeat(F.array_join(lines, "\n"), F.size("heads"))
     parts = F.concat(
-        F.transform("heads", lambda h: h["header"]),
+        F.transform("heads", lambda h: text(h["header"])),
         F.coalesce(times, F.array().cast("array<string>")),
-        F.transform("heads", lambda h: h["broken"]),
     )
-    return own.select("repo_name", F.array_join(F.filter(parts, lambda x: x != ""), "\n").alias("value"))
+    return own.select("repo_name", "hash", F.array_join(parts, "\n").alias("value"))
 
 
 def write_sections(found: DataFrame, path: str) -> None:
-    """Write whole sections as text below ``repo_name=...``, in files of an even size.
+    """Write whole sections as text below ``repo_name=...``, in the order of ``write_log``.
 
-    The rebalance hint splits a large repository over many files; nothing has to be sorted but
-    the repositories of one task.
+    The order matters where a header is missing: such lines belong to the commit before. Ranges
+    and sort see one row a commit here, where those of ``write_log`` see one a line.
     """
-    found.hint("rebalance", "repo_name").write.partitionBy("repo_name").text(path)
+    found.repartitionByRange("repo_name", "hash").sortWithinPartitions("repo_name", "hash").select(
+        "repo_name", "value"
+    ).write.partitionBy("repo_name").text(path)
 
 
 def write_log(lines: DataFrame, path: str) -> None:
@@ -302,7 +312,7 @@ def log_path(spark: SparkSession, sf_dir: str) -> str:
 
 def damaged_log_path(spark: SparkSession, sf_dir: str) -> str:
     return once(
-        spark, sf_dir, "damaged-log", lambda p: write_sections(log_sections(spark, sf_dir, True), p)
+        spark, sf_dir, "damaged-log", lambda p: write_log(log_lines(spark, sf_dir, True), p)
     )
 
 
