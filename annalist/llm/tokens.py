@@ -1,7 +1,9 @@
 """Token ids of whole texts by a public tokenizer, fast enough for corpora.
 
 The tokenizer of words drops white space and never merges across it, so a text's ids are the
-ids of its white-space separated words in order. Each word is encoded once and then looked up.
+ids of its white-space separated words in order; it also always cuts between a plain letter and one
+of some signs. So texts are cut at both, each distinct piece ("word" below) is encoded once and then
+looked up, once for all the texts that a task has in hand.
 The tokenizer's special strings are found first, in the raw text and in exactly their case, and
 have their own ids; in any other case they are text.
 """
@@ -12,9 +14,10 @@ import os
 import re
 import unicodedata
 from array import array
-from itertools import chain, filterfalse
+from itertools import filterfalse
 
 import numpy as np
+import pyarrow as pa
 
 from annalist.llm import common
 
@@ -31,8 +34,10 @@ LETTERS = _byte_letters()
 _known: dict[str, "WordIds"] = {}
 common.KEPT["tokens"] = _known.clear
 
-# A letter run and the signs that close it are cut apart by the tokenizer's own pattern.
-TAIL = re.compile(rb"(.*[a-z])([.,;:!?*%$&#|]+)$", re.DOTALL)
+SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+# Between a letter and one of these signs the tokenizer's own pattern always cuts.
+LETTER = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz"))
+SIGN = np.isin(np.arange(256), list(b".,;:!?*%$&#|"))
 
 
 class WordIds:
@@ -51,11 +56,10 @@ class WordIds:
         added = self.tokenizer.get_added_tokens_decoder()
         if any(x.normalized or x.single_word or x.lstrip or x.rstrip for x in added.values()):
             raise ValueError("special strings that are matched in another way than letter by letter")
-        # A special string is kept behind a space, which no word has.
-        self.special = {b" " + x.content.encode(): np.array([i], "<u4").tobytes() for i, x in added.items()}
-        found = b"|".join(re.escape(x[1:]) for x in self.special)
+        self.special = {x.content.encode(): np.array([i], "<u4").tobytes() for i, x in added.items()}
+        found = b"|".join(re.escape(x) for x in self.special)
         self.marks = re.compile(b"(" + found + b")") if found else None
-        self.words: dict[bytes, bytes] = dict(self.special)
+        self.words: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> "WordIds":
@@ -65,12 +69,8 @@ class WordIds:
         return _known[path]
 
     def learn(self, fresh: list[bytes]) -> None:
-        parts = [(w, None if w.isalpha() else TAIL.match(w)) for w in fresh]
-        cores = {x for w, m in parts for x in (m.groups() if m else (w,))}
         tokenize, other = self.tokenizer.model.tokenize, []
-        for core in cores:
-            if core in self.words:
-                continue
+        for core in fresh:
             # A word of lower-case letters alone is one run of the tokenizer's pattern and
             # already in its normal form, so its merges can be applied to it at once.
             if core.isalpha():
@@ -86,23 +86,55 @@ class WordIds:
         coded = self.tokenizer.encode_batch_fast([w for _, w in other], add_special_tokens=False)
         for (core, _), code in zip(other, coded):
             self.words[core] = np.array(code.ids, "<u4").tobytes()
-        for word, m in parts:
-            if m:
-                self.words[word] = self.words[m[1]] + self.words[m[2]]
+
+    def known(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The table of ids, with all of these words in it."""
+        fresh = list(filterfalse(self.words.__contains__, words))
+        if len(self.words) + len(fresh) > self.MOST_WORDS:
+            # The others make room; those of these texts are likely to come again.
+            self.words = {w: self.words[w] for w in words if w in self.words}
+        self.learn(fresh)
+        return self.words
 
     def documents(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text. A-Z are lowered first, as the tokenizer does by itself."""
-        split = [t.lower().split() for t in texts]
-        if self.marks:
-            for row, text in enumerate(texts):
-                if self.marks.search(text):
-                    parts = enumerate(self.marks.split(text))
-                    split[row] = [w for n, x in parts for w in ([b" " + x] if n % 2 else x.lower().split())]
-        words = chain.from_iterable(split)
-        fresh = set(filterfalse(self.words.__contains__, words))
-        if len(self.words) + len(fresh) > self.MOST_WORDS:
-            self.words = dict(self.special)
-            fresh = set().union(*split).difference(self.words)
-        self.learn(list(fresh))
-        find = self.words.__getitem__
-        return [b"".join(map(find, words)) for words in split]
+        marked = [row for row, text in enumerate(texts) if self.marks and self.marks.search(text)]
+        if not marked:
+            return self._plain(texts)
+        pieces = [self.marks.split(texts[row]) for row in marked]
+        # What stands between special strings is text; they themselves stand at the odd places.
+        found = iter(self._plain([x for parts in pieces for x in parts[::2]]))
+        out = dict(zip(marked, (b"".join([self.special[x] if n % 2 else next(found) for n, x in enumerate(p)]) for p in pieces)))
+        rest = [row for row in range(len(texts)) if row not in out]
+        out.update(zip(rest, self._plain([texts[row] for row in rest])))
+        return [out[row] for row in range(len(texts))]
+
+    def _plain(self, texts: list[bytes]) -> list[bytes]:
+        """The same of texts without special strings. Each word of them all is looked up once."""
+        letters = np.frombuffer(b" " + b" ".join(texts).lower() + b" ", np.uint8)
+        inside = ~SPACE[letters]
+        letter, sign = LETTER[letters], SIGN[letters]
+        cut = letter[:-1] & sign[1:] | sign[:-1] & letter[1:]
+        begins = np.flatnonzero(inside[1:] & (~inside[:-1] | cut)) + 1
+        if not len(begins):
+            return [b""] * len(texts)
+        sizes = np.flatnonzero(inside[:-1] & (~inside[1:] | cut)) + 1 - begins
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        words = pa.Array.from_buffers(
+            pa.large_binary(), len(begins), [None, *(pa.py_buffer(np.ascontiguousarray(x)) for x in (ends, letters[inside]))]
+        ).dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        codes = words.indices.to_numpy()
+        ids = [*map(self.known(distinct).__getitem__, distinct)]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(counts) - counts
+        # The ids of all words in turn: where each word's begin among the distinct words', and on from there.
+        many = counts[codes]
+        upto = np.cumsum(many)
+        at = np.repeat(first[codes] - upto + many, many)
+        at += np.arange(len(at))
+        data = np.frombuffer(b"".join(ids), "<u4")[at].tobytes()
+        # Words before the end of each text, then ids.
+        stops = np.cumsum([len(t) + 1 for t in texts])
+        cuts = np.concatenate([[0], upto])[np.searchsorted(begins, stops)] * 4
+        return [data[x:y] for x, y in zip([0, *cuts.tolist()], cuts.tolist())]

@@ -38,6 +38,28 @@ def test_ids_after_the_words_are_forgotten(monkeypatch):
         assert np.frombuffer(own.documents([text.encode()])[0], "<u4").tolist() == plain_ids(text)[:-1]
 
 
+def test_a_word_is_learned_once_whatever_closes_it(monkeypatch):
+    """Cut at signs like the tokenizer does: in any mixture the ids are its own, and those met again stay."""
+    own = WordIds(PATH)
+    own.documents([b"and, and. AND and!?"])
+    assert set(own.words) == {b"and", b",", b".", b"!?"}
+    rng = random.Random(5)
+    signs = [*".,;:!?*%$&#|'-(<=", "'s", "'.", "ab", "z", "é", "É", "1", " ", "\n", "\u0301", "\u0338", "<|endoftext|>", "日"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(30))) for _ in range(2000)]
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)
+    for text, data, code in zip(texts, own.documents([t.encode() for t in texts]), want):
+        assert np.frombuffer(data, "<u4").tolist() == code.ids, repr(text)
+    monkeypatch.setattr(WordIds, "MOST_WORDS", 4)
+    own, learned = WordIds(PATH), []
+    plain = own.learn
+    own.learn = lambda fresh: (learned.extend(fresh), plain(fresh))
+    for text in [b"a b c", b"a d e", b"a f g"]:
+        own.documents([text])
+    assert learned.count(b"a") == 1
+
+
 def check_sequences(rows, capacity):
     by = {}
     for r in rows:
