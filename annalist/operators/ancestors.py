@@ -3,20 +3,28 @@
 ``git log --no-merges -n 1 <merge>`` walks from a merge to its parents, newest first, and stops at
 the first commit that is no merge. Where no parent is newer than its child this is the newest
 non-merge commit in reach through merges alone. A mainline of merges makes that walk long, so it
-is not followed step by step: each merge holds the merges at a distance of 1, 2, 4, ... steps and
-the best commit found on the way, and each round looks both up in the table itself. A merge lets go
-of those that are older than what it has found, since nothing behind them can be better.
+is not followed step by step. First the merges of a repository lie in ranges of their time, where a
+task walks from merge to merge as far as its range goes; what is left are walks that cross the
+border of a range. Of the merges behind a border each then holds those at a distance of 1, 2, 4, ...
+crossings and the best commit found on the way, and each round looks both up in the table of these
+merges. A merge lets go of those that are older than what it has found, since nothing behind them
+can be better.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.sources import shared
+from annalist.sources import shared, workers
 
 #: Rounds double the distance; a history longer than this many doublings is damaged.
 MOST_ROUNDS = 48
+#: Merges in a range, about, and what a merge holds at most from beyond it before it is left to the rounds.
+IN_RANGE, MOST_OPEN = 50_000, 64
 
 _ID = ("repo_name", "hash")
 
@@ -42,23 +50,77 @@ def first_non_merges(parents: DataFrame) -> DataFrame:
     """
     spark = parents.sparkSession
     known = parents.select(*_ID, F.col("seconds").alias("at"), (F.size("parents") > 1).alias("merge"), "parents")
-    merges = known.filter("merge").select("repo_name", F.col("hash").alias("of"), "parents").distinct()
-    edges = merges.select("repo_name", "of", F.explode("parents").alias("hash"))
-    # Parents are looked up among all commits; the edges of merges are few beside them.
-    ends = edges.join(known.drop("parents"), list(_ID))
+    edges = known.filter("merge").select("repo_name", F.col("hash").alias("of"), F.col("at").alias("own"), F.explode("parents").alias("hash"))
+    # Parents are looked up among all commits; a merge of which none is known has nothing to look up.
+    ends = edges.join(known.drop("parents"), list(_ID), "left")
     end = F.struct("at", "hash")
     first = ends.groupBy("repo_name", "of").agg(
+        F.max("own").alias("own"),
         F.max(F.when(~F.col("merge"), end)).alias("best"),
         F.collect_set(F.when(F.col("merge"), end)).alias("open"),
     )
-    # A merge of which no parent is known has nothing to look up.
-    first = merges.select("repo_name", "of").join(first, ["repo_name", "of"], "left")
-    nothing = F.array().cast(first.schema["open"].dataType)
-    state, path = _stored(_pruned(first.withColumn("open", F.coalesce("open", nothing))))
+    state, whole = _stored(_pruned(first))
+    state, _ = _stored(_within_ranges(state))
+    shared.remove(spark, whole)
+    waiting = state.filter(F.size("open") > 0)
+    steps = waiting.select("repo_name", "of", "best", F.explode("open.hash").alias("via"))
+    found = lambda rows: rows.select("repo_name", F.col("of").alias("hash"), F.col("best.hash").alias("found"))
+    if waiting.isEmpty():
+        return found(state)
+    asked = steps.select("repo_name", F.col("via").alias("of")).distinct()
+    behind = _doubled(state.join(asked, ["repo_name", "of"], "left_semi"))
+    reached = behind.select("repo_name", F.col("of").alias("via"), F.col("best").alias("further"))
+    led = steps.join(reached, ["repo_name", "via"]).groupBy("repo_name", F.col("of").alias("hash"))
+    led = led.agg(F.greatest(F.max("best"), F.max("further"))["hash"].alias("found"))
+    return found(state.filter(F.size("open") == 0)).unionByName(led)
+
+
+def _within_ranges(state: DataFrame) -> DataFrame:
+    """The state with each walk as far on as it stays in a range of its repository's time."""
+    workers.ship(state.sparkSession)
+    ranges = -(-state.count() // IN_RANGE) or 1
+    most = MOST_OPEN
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_rows = [b for b in batches if b.num_rows]
+        if not held_rows:
+            return
+        table = pa.Table.from_batches(held_rows)
+        # By time, so that parents come before their children.
+        table = table.sort_by([("own", "ascending")]).combine_chunks()
+        done: dict[tuple, tuple] = {}
+        for repo, of, best, open_ in zip(*(table.column(c).to_pylist() for c in ("repo_name", "of", "best", "open"))):
+            best = best and (best["at"], best["hash"])
+            direct = {(m["at"], m["hash"]) for m in open_}
+            held = set()
+            for at, via in direct:
+                if (repo, via) in done:
+                    further, beyond = done[repo, via]
+                    best = max(best, further) if best and further else best or further
+                    held |= beyond
+                else:
+                    held.add((at, via))
+            held = {m for m in held if best is None or m[0] >= best[0]}
+            done[repo, of] = best, held if len(held) <= most else direct
+        kind = table.schema
+        rows = [
+            {"repo_name": repo, "of": of, "best": best and dict(zip(("at", "hash"), best)), "open": [dict(zip(("at", "hash"), m)) for m in held]}
+            for (repo, of), (best, held) in done.items()
+        ]
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([kind.field(c) for c in ("repo_name", "of", "best", "open")]))
+
+    schema = state.drop("own").schema
+    return state.repartitionByRange(ranges, "repo_name", "own", "of").mapInArrow(run, schema)
+
+
+def _doubled(state: DataFrame) -> DataFrame:
+    """The state when no walk is left; all merges that one of its walks waits for are in it."""
+    spark = state.sparkSession
+    state, path = _stored(state)
     for _ in range(MOST_ROUNDS):
         waiting = state.filter(F.size("open") > 0)
         if waiting.isEmpty():
-            return state.select("repo_name", F.col("of").alias("hash"), F.col("best.hash").alias("found"))
+            return state
         steps = waiting.select("repo_name", "of", "best", F.explode("open").alias("via"))
         steps = steps.withColumn("via", F.col("via.hash"))
         reached = state.select(

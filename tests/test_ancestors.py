@@ -3,6 +3,7 @@
 import heapq
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from annalist.operators import ancestors, tags
@@ -41,6 +42,24 @@ def history(rng, repo, n, merge_share, tie):
     return rows
 
 
+@pytest.mark.parametrize("in_range, most_open", [(50_000, 64), (40, 64), (40, 1)])
+def test_walks_within_and_across_ranges(spark, monkeypatch, in_range, most_open):
+    monkeypatch.setattr(ancestors, "IN_RANGE", in_range)
+    monkeypatch.setattr(ancestors, "MOST_OPEN", most_open)
+    test_walks_of_random_histories(spark)
+
+
+def test_few_tables_for_a_long_line(spark, monkeypatch):
+    """All walks but those across a border end where their range is; before, each round wrote every merge."""
+    rows = [("r", "c0", 0, []), ("r", "c00", 1, [])]
+    rows += [("r", f"c{i}", i, [f"c{i - 1}", f"c{max(i - 5, 0)}"] if i % 40 else [f"c{i - 1}"]) for i in range(1, 3001)]
+    plain, sizes = ancestors._stored, []
+    monkeypatch.setattr(ancestors, "_stored", lambda df: (out := plain(df), sizes.append(out[0].count()))[0])
+    monkeypatch.setattr(ancestors, "IN_RANGE", 1000)
+    assert ancestors.first_non_merges(spark.createDataFrame(rows, SCHEMA)).count() == 2925
+    assert sum(sizes[2:]) < 100
+
+
 def test_walks_of_random_histories(spark):
     rng = random.Random(2)
     rows = [r for k in range(12) for r in history(rng, f"r{k}", rng.randrange(1, 120), rng.choice([0.3, 0.8, 0.97]), rng.choice([1, 3]))]
