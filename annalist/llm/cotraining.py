@@ -34,6 +34,9 @@ MOST_IDS = 2_000_000
 ROUNDS = 3
 #: Steps of a fit on labelled rows, and of one on lent labels too, each a pass over all documents.
 ITERATIONS, LENT_ITERATIONS = 25, 10
+#: Rows of a task of a fit where there are more than its share by cores. Each step is a job, whose tasks the driver keeps
+#: account of, so their number follows the rows and not the files that they lie in.
+ROWS_A_TASK = 20_000
 #: A view passes on a label when it is this sure.
 SURE = 0.95
 WORD_BUCKETS = 1 << 15
@@ -132,13 +135,14 @@ def fit_rows(rows: DataFrame, labels: DataFrame, label: str = "quality", rounds:
         return CoTrained(None, None)
     lent = {view: None for view in CoTrained.VIEWS}
     models: dict = {}
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(rows.count() / ROWS_A_TASK))
     for number in range(rounds):
         for view in CoTrained.VIEWS:
-            rows = base.select("y", view)
+            known = base.select("y", view)
             if lent[view] is None:
-                models[view] = _fit(rows, view, ITERATIONS)
+                models[view] = _fit(known.coalesce(tasks), view, ITERATIONS)
             else:
-                models[view] = _fit(rows.unionByName(lent[view]), view, LENT_ITERATIONS)
+                models[view] = _fit(known.unionByName(lent[view]).coalesce(tasks), view, LENT_ITERATIONS)
         if number < rounds - 1:
             for view, other in (CoTrained.VIEWS, CoTrained.VIEWS[::-1]):
                 chance = vector_to_array(f"{view}_probability")[1]
@@ -147,5 +151,5 @@ def fit_rows(rows: DataFrame, labels: DataFrame, label: str = "quality", rounds:
     trained = CoTrained(models, None)
     margins = trained.margins(held)
     both = VectorAssembler(inputCols=["content_margin", "meta_margin"], outputCol="both").transform(margins)
-    trained.blend = LogisticRegression(featuresCol="both", labelCol="y", regParam=1e-4, maxIter=50).fit(both.select("both", "y"))
+    trained.blend = LogisticRegression(featuresCol="both", labelCol="y", regParam=1e-4, maxIter=50).fit(both.select("both", "y").coalesce(tasks))
     return trained

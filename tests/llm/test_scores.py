@@ -191,6 +191,28 @@ def test_quality_of_odd_rows_by_fitted_views(odd, odd_rows, none, spark, sf, mon
     assert trained.score(none).count() == 0
 
 
+def test_fits_have_few_tasks_on_many_files(spark, monkeypatch):
+    """Each step of a fit is a job; the driver would keep account of a task for each file in each of them."""
+    docs = spark.range(120, numPartitions=1).selectExpr("id AS doc_id", "concat('word', id) AS text", "'en' AS lang", "'s' AS source")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality")
+    stored = common.stage(cotraining.features(docs).repartition(20), "co-rows")
+
+    def fitted(rows, *_):
+        raise RuntimeError(f"tasks: {rows.rdd.getNumPartitions()}")
+
+    monkeypatch.setattr(cotraining, "_fit", fitted)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "2000")
+        assert stored.rdd.getNumPartitions() >= 20
+        with pytest.raises(RuntimeError, match=f"tasks: [1-{spark.sparkContext.defaultParallelism}]$"):
+            cotraining.fit_rows(stored, labels)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_views_of_rows(spark):
     """The text view is the words alone; a null language or source is not an empty one."""
     rows = [(1, "one text", "en", "s", 5), (2, "one  TEXT", "en", "s", 5), (3, "text one", "de", None, None), (4, "text one", "de", "", None)]
