@@ -17,6 +17,8 @@ from annalist.functions import fields, timefn
 
 # The line shapes, month names and path shapes of the exported text.
 HEADER = r"(?d)<(.*?)> <(.*)> <(.*)> <(.*?)>"
+# A header without other angle brackets, which is its own match; found without backtracking.
+PLAIN_HEADER = r"^<[^<>]*+> <[^<>]*+> <[^<>]*+> <[^<>]*+>\z"
 CHANGE = r"(?d)([0-9-]+)\t([0-9-]+)\t(.*)"
 MAIL_DATE = (
     r"^([A-Za-z]{3}, )?\d{1,2} [A-Za-z]{3} \d{4} "
@@ -80,6 +82,11 @@ def _count(text: Column) -> Column:
     return F.greatest(F.coalesce(text.try_cast("bigint"), F.lit(0)), F.lit(0)).cast("bigint")
 
 
+def matched_header(line: Column) -> Column:
+    """What ``HEADER`` matches in one line; ``''`` if it does not."""
+    return F.when(line.rlike(PLAIN_HEADER), line).otherwise(F.regexp_extract(line, HEADER, 0))
+
+
 def parse_sections(sections: DataFrame) -> DataFrame:
     """One row per section with its header fields, change list and verdict.
 
@@ -94,7 +101,7 @@ def parse_sections(sections: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda line: line != "")
     cut = sections.select(*keep, lines.alias("__lines")).select(
         *keep,
-        F.regexp_extract(F.get("__lines", F.lit(0)), HEADER, 0).alias("__head"),
+        matched_header(F.get("__lines", F.lit(0))).alias("__head"),
         F.transform(
             F.slice("__lines", F.lit(2), F.size("__lines")),
             lambda line: F.regexp_extract(line, CHANGE, 0),
@@ -232,7 +239,9 @@ def changes(finished: DataFrame) -> DataFrame:
     it on a staged table, where the numbers stand still.
     """
     commit = [*schemas.columns(schemas.COMMIT), *_TIME]
-    few = F.size(_extensions()) <= _MOST_IN_ROW
+    # A section has no more extensions than lines; only where it has more lines are they looked at.
+    short = F.size("entries") <= _MOST_IN_ROW
+    few = F.when(short, True).otherwise(F.size(_extensions()) <= _MOST_IN_ROW)
     in_row = finished.filter(few).select(*commit, F.inline(_churn()))
     lines = finished.filter(~few).select("section", *commit, F.inline("entries"))
     sums = lines.groupBy("section", *commit, "ext").agg(
@@ -253,14 +262,16 @@ def _extensions() -> Column:
 def _churn() -> Column:
     """``ext, insertion, deletion`` for each extension of ``entries``."""
 
-    def total(ext: Column, name: str) -> Column:
-        # No line is NULL, and the other extensions add nothing.
-        own = lambda e: F.when(e["ext"].eqNullSafe(ext), e[name]).otherwise(F.lit(0).cast("bigint"))
-        return F.aggregate("entries", F.lit(0).cast("bigint"), lambda sum_, e: sum_ + own(e))
+    def total(own: Column, name: str) -> Column:
+        return F.aggregate(own, F.lit(0).cast("bigint"), lambda sum_, e: sum_ + e[name])
 
+    # The lines of each extension are picked once for both sums; no line is NULL.
+    groups = F.transform(_extensions(), lambda x: F.filter("entries", lambda e: e["ext"].eqNullSafe(x)))
     return F.transform(
-        _extensions(),
-        lambda x: F.struct(x.alias("ext"), total(x, "insertion").alias("insertion"), total(x, "deletion").alias("deletion")),
+        groups,
+        lambda own: F.struct(
+            own[0]["ext"].alias("ext"), total(own, "insertion").alias("insertion"), total(own, "deletion").alias("deletion")
+        ),
     )
 
 

@@ -8,11 +8,26 @@ from annalist.operators import ancestors, sections
 from annalist.sources import manifest as manifests
 
 
+def header_date(header: "Column | str") -> Column:
+    """The date of a commit's header line as it stands there; NULL if it is no header line."""
+    found = F.regexp_extract(header, sections.HEADER, 0)
+    return F.when(found != "", F.regexp_extract(header, sections.HEADER, 1))
+
+
 def header_datetime(header: "Column | str") -> Column:
     """The date of a commit's header line as RFC 3339 text; NULL if it is no header line."""
-    found = F.regexp_extract(header, sections.HEADER, 0)
-    date = F.regexp_extract(header, sections.HEADER, 1)
-    return F.when(found != "", sections.mail_date_to_rfc3339(date))
+    date = header_date(header)
+    return F.when(date.isNotNull(), sections.mail_date_to_rfc3339(date))
+
+
+def with_dates(refs: DataFrame) -> DataFrame:
+    """``repo_name, hash, tag, date`` of references, with the ``header_date`` of each.
+
+    Apart from what becomes of the date, which looks at it many times, so that a header is
+    searched once; stored, it is not searched again for the filters on it either.
+    """
+    header = F.col("header") if "header" in refs.columns else F.lit(None).cast("string")
+    return refs.select("repo_name", "hash", "tag", header_date(header).alias("date"))
 
 
 def dated(refs: DataFrame, commits: DataFrame, parents: "DataFrame | None" = None) -> DataFrame:
@@ -23,12 +38,10 @@ def dated(refs: DataFrame, commits: DataFrame, parents: "DataFrame | None" = Non
     ``parents`` (see ``logs.read_parents``) a merge is first led to the newest commit that is none.
 
     Of the commits only those that some reference asks for go on: a semi join, for which Spark
-    sends the references to the commits while they are few.
+    sends the references to the commits while they are few. ``refs`` may come from ``with_dates``.
     """
-    if "header" not in refs.columns:
-        refs = refs.withColumn("header", F.lit(None).cast("string"))
-    own = refs.select("repo_name", "hash", "tag", header_datetime("header").alias("datetime"))
-    plain = own.filter(F.col("datetime").isNull()).drop("datetime")
+    own = refs if "date" in refs.columns else with_dates(refs)
+    plain = own.filter(F.col("date").isNull()).drop("date")
     if parents is not None:
         led = ancestors.first_non_merges(parents).withColumn("__merge", F.lit(True))
         target = F.when(F.col("__merge"), F.col("found")).otherwise(F.col("hash"))
@@ -37,7 +50,9 @@ def dated(refs: DataFrame, commits: DataFrame, parents: "DataFrame | None" = Non
     known = commits.select("repo_name", "hash", F.col("datetime").alias("__found"))
     known = known.join(asked, ["repo_name", "hash"], "left_semi").dropDuplicates(["repo_name", "hash"])
     looked_up = plain.join(known, ["repo_name", "hash"], "left")
-    done = own.filter(F.col("datetime").isNotNull()).select("repo_name", "tag", "datetime")
+    # Such a text is never NULL.
+    own_date = sections.mail_date_to_rfc3339("date").alias("datetime")
+    done = own.filter(F.col("date").isNotNull()).select("repo_name", "tag", own_date)
     return done.unionByName(looked_up.select("repo_name", "tag", F.col("__found").alias("datetime")))
 
 

@@ -81,7 +81,7 @@ def load(
         tag, snapshot = (spark.createDataFrame([], schemas.TABLES[x]) for x in ("tag", "snapshot"))
         if refs_path is not None:
             # Stored first, so that their size is known before the commits are looked up.
-            refs = _stored(spark, logs.read_refs(spark, refs_path), refs_place)
+            refs = _stored(spark, tags.with_dates(logs.read_refs(spark, refs_path)), refs_place)
             lines = logs.read_heads(spark, refs_path)
             parents = logs.read_parents(spark, parents_path) if parents_path is not None else None
             found = _stored(spark, tags.dated(refs, commits, parents), tags_place)
