@@ -69,7 +69,10 @@ def features(docs: DataFrame) -> DataFrame:
     # Told beforehand, else Spark would run a job to see the length, and fail on no rows.
     df = VectorSizeHint(inputCol="figures", size=len(figures), handleInvalid="optimistic").transform(df)
     meta = VectorAssembler(inputCols=["tag_bits", "figures"], outputCol="meta")
-    return meta.transform(df).select("doc_id", "content", "meta")
+    # Without what the transformers note of the columns: a name for each bucket, which would go with the schema into
+    # every plan, task and file.
+    plain = [F.col(view).alias(view, metadata={}) for view in CoTrained.VIEWS]
+    return meta.transform(df).select("doc_id", *plain)
 
 
 def _thin(df: DataFrame, most: int) -> DataFrame:
