@@ -108,3 +108,62 @@ def test_commits_are_not_shuffled_for_few_tags(spark, tmp_path):
     commits, refs = (spark.read.parquet(str(tmp_path / x)) for x in ("commits", "refs"))
     plan = tags.dated(refs, commits)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "LeftSemi" in plan and "SortMergeJoin" not in plan
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_commits_are_shuffled_once_as_bytes(spark):
+    """Before, each edge and each commit were shuffled to meet, all merges twice more, as text."""
+    rows = [("r", f"{k:032x}", k, [f"{max(k - 1, 0):032x}", f"{max(k - 5, 0):032x}"][: 1 + k % 40]) for k in range(200)]
+    placed, ranges = ancestors._placed(ancestors._once(spark.createDataFrame(rows, SCHEMA)))
+    plan = _plan(ancestors._walked(placed, ranges))
+    assert plan.count("+- Exchange") == 1 and "rangepartitioning" not in plan
+    assert "SortMergeJoin" not in plan and "Aggregate" not in plan
+    assert {(f.name, f.dataType.simpleString()) for f in placed.schema} >= {("id", "binary"), ("ids", "array<binary>")}
+    assert placed.selectExpr("max(length(id))").first()[0] == 17
+
+
+def test_hashes_of_all_shapes_come_back(spark):
+    hashes = ["0a", "0A", "abc", "", "f" * 40, "z", "\u00fc", "0a\n", "00"]
+    rows = [("r", "old", 0, [])] + [("r", x, 1 + k, []) for k, x in enumerate(hashes)]
+    rows += [("r", f"{x}+", 50 + k, ["old", x]) for k, x in enumerate(hashes)] + [("r", x * 2, 80 + k, [x, "old"]) for k, x in enumerate(hashes) if x]
+    rows += [(None, "m", 5, ["old", "z"])]
+    got = {tuple(r) for r in ancestors.first_non_merges(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {("r", f"{x}+", x) for x in hashes} | {("r", x * 2, x) for x in hashes if x} | {(None, "m", None)}
+
+
+@pytest.mark.parametrize("in_range", [50_000, 20])
+def test_parents_newer_than_their_children(spark, monkeypatch, in_range):
+    """A wrong clock: a parent that lies in a later range of time than the merge."""
+    monkeypatch.setattr(ancestors, "IN_RANGE", in_range)
+    rows = [("r", f"c{k}", k, [f"c{k - 1}"]) for k in range(200)]
+    rows += [("r", "m", 30, ["c29", "c190"]), ("r", "on", 31, ["m", "c30"]), ("r", "n", 32, ["c31", "late"]), ("r", "late", 150, ["c140", "c149"])]
+    got = {r["hash"]: r["found"] for r in ancestors.first_non_merges(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {"m": "c190", "on": "c190", "n": "c149", "late": "c149"}
+
+
+def test_borders_of_one_large_repository(spark, monkeypatch):
+    """More ranges than are compared one by one."""
+    monkeypatch.setattr(ancestors, "IN_RANGE", 10)
+    monkeypatch.setattr(ancestors, "_BORDERS", 4)
+    rows = [("r", f"c{k}", k, [f"c{k - 1}", f"c{k - 3}"] if k % 7 and k > 2 else [f"c{k - 1}"][: k]) for k in range(600)]
+    frame = spark.createDataFrame(rows + [("s", "x", 5, [])], SCHEMA)
+    placed, _ = ancestors._placed(ancestors._once(frame))
+    of = placed.groupBy("repo_name", "range").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.count(F.lit(1)).alias("n")).collect()
+    lines = sorted((r["range"], r["a"], r["b"], r["n"]) for r in of if r["repo_name"] == "r")
+    assert len(lines) > 30 and all(x[2] < y[1] for x, y in zip(lines, lines[1:])) and max(x[3] for x in lines) <= 20
+    table = {("r", r[1]): (r[2], r[3]) for r in rows}
+    for r in ancestors.first_non_merges(frame).collect():
+        assert r["found"] == walked(table, "r", r["hash"]), r
+
+
+@pytest.mark.parametrize("in_range", [50_000, 2])
+def test_rows_of_a_commit_that_differ(spark, monkeypatch, in_range):
+    monkeypatch.setattr(ancestors, "IN_RANGE", in_range)
+    rows = [("r", "a", 1, []), ("r", "b", 2, ["a"]), ("r", "m", 8, ["a", "gone"]), ("r", "m", 9, ["b", "a"]), ("r", "n", 10, ["m", "a"])]
+    # A merge in one row and none in the other.
+    rows += [("r", "x", 5, ["a", "b"]), ("r", "x", 3, ["a"]), ("r", "y", 12, ["x", "a"])]
+    got = {r["hash"]: r["found"] for r in ancestors.first_non_merges(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {"m": "b", "n": "b", "x": "b", "y": "x"}

@@ -1,5 +1,6 @@
 """Whole sections hold the lines of the log; changes are summed inside the row of their section."""
 
+import hashlib
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -38,6 +39,45 @@ def test_sections_hold_the_lines(spark, tmp_path):
     assert "rangepartitioning" not in plan
 
 
+def test_numbers_are_stored_and_not_text(spark, tmp_path):
+    """Before, headers were shuffled and whole sections stored and shuffled as text."""
+    _tables(spark, str(tmp_path))
+    parts = views.log_parts(spark, str(tmp_path))
+    assert [f.name for f in parts.schema if "string" in f.dataType.simpleString()] == ["repo_name"]
+    found = views.log_sections(spark, str(tmp_path)).select("repo_name", "value").collect()
+    text = parts.select("repo_name", views.section_text()).collect()
+    assert Counter(map(tuple, text)) == Counter(map(tuple, found))
+    # A hash as bytes is in the order of its text.
+    views.write_sections(parts, str(tmp_path / "log"), F.unhex(F.md5(F.col("o_orderkey").cast("string"))), views.section_text())
+    views.write_sections(views.log_sections(spark, str(tmp_path)), str(tmp_path / "plain"))
+    texts = [[r["value"] for r in spark.read.text(f"{tmp_path}/{x}", wholetext=True).orderBy("value").collect()] for x in ("log", "plain")]
+    assert texts[0] == texts[1]
+
+
+def test_parents_are_written_after_one_shuffle(spark, tmp_path):
+    """The parents of a commit are its neighbours in the window, which no join has to find."""
+    _tables(spark, str(tmp_path))
+    orders = [(k, 1 + k % 7 // 6, "F") for k in range(1, 120)] + [(40, 1, "F"), (None, 1, "F")]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string").selectExpr(
+        "*", "TIMESTAMP_NTZ '1998-02-03 00:00:00' AS o_orderdate", "'1-URGENT' AS o_orderpriority"
+    ).write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
+    lines = views.parent_lines(spark, str(tmp_path))
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    md5 = lambda k: hashlib.md5(str(k).encode()).hexdigest()
+    want = []
+    for repo, cust in (("A/N", 1), (None, 2)):
+        own = sorted((o[0] for o in orders if o[1] == cust), key=lambda k: (k is not None, k))
+        of = {}
+        for n, k in enumerate(own, 1):
+            back = [n - 1] if n % 40 in (0, 17) else [n - 2, n - 5] if n % 40 in (1, 18) else [n - 1, n - 5]
+            of.setdefault(k, []).extend((at, own[p - 1]) for at, p in enumerate(x for x in back if x > 0) if k is not None and repo)
+        for n, k in enumerate(own, 1):
+            named = [md5(p) for _, p in sorted(((at, p) for at, p in of[k] if p is not None), key=lambda x: (x[0], md5(x[1])))]
+            want.append((repo, " ".join([*([md5(k)] if k is not None else []), str(100 * n), *named])))
+    assert Counter((r[0], r[1].rstrip(" ")) for r in lines.collect()) == Counter(want)
+
+
 def test_changes_of_few_extensions_are_summed_in_their_row(spark):
     many = [(f"e{k % 50}", k, 1) for k in range(500)]
     rows = [(0, [("py", 1, 2), ("", 3, 4), ("py", 5, 6)]), (1, many), (2, []), (3, [("go", 1, 1)])]
